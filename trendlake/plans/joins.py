@@ -1,0 +1,34 @@
+"""Joins against small sides.
+
+``bounded_broadcast`` broadcasts a side only after proving, with a cheap
+``limit(n + 1).count()`` on that side, that it has at most ``max_rows`` rows.
+Beyond the bound the side is joined by an ordinary shuffle join (where AQE can
+still switch to a broadcast once it has measured the real size).  Sides that
+are Python lists given by the caller are bounded by construction.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def join_small(
+    big: DataFrame,
+    small: DataFrame,
+    on: str | Sequence[str] | Column,
+    how: str = "inner",
+    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join ``big`` with a side expected to be small, broadcasting it only when bounded."""
+    return big.join(bounded_broadcast(small, max_rows), on=on, how=how)
