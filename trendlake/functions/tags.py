@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from trendlake.functions.text import js_trim
 
-# Tag delimiter, characters turned into a space, characters
-# removed, and the minimum kept tag length (a tag must be longer than 1).
+# Tag delimiter; line-break/tab characters and the delimiters
+# "|", "," and ";" that become a space; the double quote that is removed; the
+# minimum kept tag length (a tag must be longer than 1).
 TAG_SEPARATOR = ","
-TAG_SPACE_CHARS = "\n\r\t|,;"
+TAG_BREAK_CHARS = "\n\r\t"
+TAG_DELIMITER_CHARS = "|,;"
 TAG_DROP_CHARS = '"'
 TAG_MIN_LENGTH_EXCLUSIVE = 1
 
@@ -26,12 +28,22 @@ def normalize_tag(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
+# Java's ``\s`` class; after cleaning, any run of these is a single space.
+_JAVA_SPACE_CHARS = " \t\n\x0b\f\r"
+
+
 def clean_tag(c: Column) -> Column:
-    """control and delimiter characters become spaces, quotes vanish, and
+    """line breaks, tabs and delimiters become spaces, quotes vanish, and
     whitespace runs collapse to one space.  No trim afterwards, so a trailing
-    delimiter leaves a trailing space."""
-    spaced = F.translate(c, TAG_SPACE_CHARS + TAG_DROP_CHARS, " " * len(TAG_SPACE_CHARS))
-    return F.regexp_replace(spaced, r"\s+", " ")
+    delimiter leaves a trailing space.
+
+    Every character rule is a one-to-one map, so one ``translate`` applies
+    them all (each whitespace character also maps to a plain space); the
+    regex collapse then runs only on the few tags holding a double space.
+    """
+    to_space = "".join(dict.fromkeys(TAG_BREAK_CHARS + TAG_DELIMITER_CHARS + _JAVA_SPACE_CHARS))
+    spaced = F.translate(c, to_space + TAG_DROP_CHARS, " " * len(to_space))
+    return F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
 
 
 def long_enough(c: Column) -> Column:

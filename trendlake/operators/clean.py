@@ -38,6 +38,15 @@ def clean_snapshots(raw: DataFrame) -> DataFrame:
     return df.filter(keep).withColumns({c: F.col(c).try_cast("bigint") for c in COUNT_COLUMNS})
 
 
+def drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop rows with a NULL in any of ``keys``: the rows an inner join on those
+    keys would lose.  Written as ``isNotNull`` so it reaches the Parquet scan."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return df.filter(cond)
+
+
 def with_trending_month(snap: DataFrame) -> DataFrame:
     """Add ``trending_date`` (strictly parsed, NULL when invalid), year and month."""
     d = parse_trending_date(TRENDING_DATE)

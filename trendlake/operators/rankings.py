@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.metrics import engagement_rating
+from trendlake.operators.clean import drop_null_keys
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -37,7 +38,7 @@ def top_categories(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """R2: categories per country by sightings, then by summed per-video peak views."""
     keys = [COUNTRY, CATEGORY]
     per_video = (
-        snap.dropna(subset=keys)
+        drop_null_keys(snap, keys)
         .groupBy(*keys, VIDEO)
         .agg(
             F.count(VIDEO).alias("n"),
@@ -63,7 +64,7 @@ def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """(channel, category) pairs per country by sightings, then summed peak views."""
     keys = [COUNTRY, CHANNEL, CATEGORY]
     per_video = (
-        snap.dropna(subset=keys)
+        drop_null_keys(snap, keys)
         .groupBy(*keys, VIDEO)
         .agg(
             F.count(VIDEO).alias("n"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.tags import clean_tag, long_enough, normalize_tag, split_tags
-from trendlake.operators.clean import with_trending_month
+from trendlake.operators.clean import drop_null_keys, with_trending_month
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -30,7 +30,7 @@ DEFAULT_TAGS = 5
 
 
 def _monthly(snap: DataFrame, keys: list[str]) -> DataFrame:
-    return with_trending_month(snap).dropna(subset=keys)
+    return drop_null_keys(with_trending_month(drop_null_keys(snap, [k for k in keys if k in snap.columns])), keys)
 
 
 def tag_counts(snap: DataFrame) -> DataFrame:
