@@ -1,0 +1,32 @@
+from pyspark.sql import functions as F
+
+from trendlake.fixtures import trending_raw
+from trendlake.operators import clean_snapshots
+from trendlake.session import scratch_dir
+from trendlake.streaming import run_incremental_clean
+
+from tests.conftest import SF_SMALL
+
+
+def test_incremental_clean_processes_new_files_once(spark):
+    raw = trending_raw(spark, SF_SMALL)
+    src = scratch_dir(spark, "raw-src")
+    sink = scratch_dir(spark, "clean-sink")
+    ckpt = scratch_dir(spark, "clean-ckpt")
+    early = raw.filter(F.col("video_trending__date") < "1996.01.01")
+    late = raw.filter(F.col("video_trending__date") >= "1996.01.01")
+    early.write.mode("append").parquet(src)
+    run_incremental_clean(spark, src, sink, ckpt).awaitTermination()
+    first = spark.read.parquet(sink).count()
+    assert first == clean_snapshots(early).count()
+
+    late.write.mode("append").parquet(src)
+    run_incremental_clean(spark, src, sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
+    expected = clean_snapshots(raw)
+    assert out.count() == expected.count()
+    assert out.exceptAll(expected).count() == 0 and expected.exceptAll(out).count() == 0
+
+    # a re-run with no new files adds nothing
+    run_incremental_clean(spark, src, sink, ckpt).awaitTermination()
+    assert spark.read.parquet(sink).count() == expected.count()

@@ -1,0 +1,12 @@
+"""Incremental form of the cleaning job (R0) on Structured Streaming.
+
+The product re-runs its batch jobs when new snapshot files arrive.  Run as
+a file stream with ``Trigger.AvailableNow``, cleaning processes only the
+files not seen before, and the checkpoint (in the shared checkpoint folder)
+makes the Parquet sink exactly-once across executor or driver loss.  The
+analyses then read the cleaned table as a batch.
+"""
+
+from trendlake.streaming.incremental import clean_snapshots_stream, run_incremental_clean
+
+__all__ = ["clean_snapshots_stream", "run_incremental_clean"]
