@@ -54,7 +54,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = get_session(f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": str(2 * int(cpus))})
+    parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)
+    spark = get_session(f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": parts})
 
     snap_path = scratch_dir(spark, "snapshots")
     q: dict[str, float] = {}
