@@ -84,3 +84,9 @@ def test_catalog_listing_and_describe(spark):
     assert [(r.field, r.type, r.default) for r in d] == [("a", "int", None), ("b", "string", None)]
     with pytest.raises(KeyError):
         require_table(spark, "no_such_table")
+
+
+def test_readonly_sql_refuses_reflection(spark):
+    for bad in ("SELECT reflect('java.lang.System', 'exit', 0)", "select JAVA_METHOD ('java.lang.Thread', 'sleep', 1L)"):
+        with pytest.raises(ReadOnlyViolation):
+            readonly_sql(spark, bad)

@@ -65,3 +65,8 @@ def test_country_filter_pushes_below_the_rank_window(snap):
     plan = physical_plan(country_top(top_categories(snap), "ASIA"), "formatted")
     scan = [l for l in plan.splitlines() if "PushedFilters" in l]
     assert any("EqualTo(video_trending_country,ASIA)" in l for l in scan)
+
+
+def test_large_k_keeps_the_partial_group_limit(spark, snap):
+    plan = physical_plan(top_channels(snap, k=5000), "simple")
+    assert "WindowGroupLimit" in plan and ", Partial" in plan

@@ -64,3 +64,11 @@ def test_publish_all_stops_at_first_failure(spark):
     bad = good.selectExpr("video_trending_country")  # missing columns
     with pytest.raises(Exception):
         publish_all({"top10_channels_per_country": bad, "top10_categories_per_country": good}, scratch_dir(spark, "puball2"))
+
+
+def test_catalog_publish_swaps_in_a_complete_table(spark):
+    df = spark.createDataFrame([("US", "c", 1, 2, 3, 4, 1)], "video_trending_country string, video_category_id string, trending_appearances bigint, total_views bigint, avg_views bigint, total_likes bigint, rank int")
+    publish(df, "top10_categories_per_country")
+    publish(df.union(df.withColumn("rank", df["rank"] + 1)), "top10_categories_per_country")
+    assert spark.table("top10_categories_per_country").count() == 2
+    assert spark.table("top10_categories_per_country").filter("video_trending_country = 'US'").count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 # Statement kinds the ad-hoc endpoint accepts.
 READ_ONLY_PREFIXES = ("SELECT", "SHOW", "DESCRIBE", "WITH")
+# Built-in functions that call arbitrary JVM methods; refused in ad-hoc SQL.
+_SIDE_EFFECT_FUNCTIONS = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -63,6 +66,8 @@ def readonly_sql(spark: SparkSession, sql: str) -> DataFrame:
     head = text.upper()
     if not head.startswith(READ_ONLY_PREFIXES):
         raise ReadOnlyViolation("Only SELECT / SHOW / DESCRIBE / WITH queries are allowed")
+    if _SIDE_EFFECT_FUNCTIONS.search(text):
+        raise ReadOnlyViolation("JVM reflection functions are not allowed")
     if head.startswith(("SELECT", "WITH")):
         probe = f"_readonly_probe_{uuid.uuid4().hex}"
         try:

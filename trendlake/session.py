@@ -34,7 +34,13 @@ _LOCAL_DEFAULTS = {
 def get_session(master: str | None = None, app: str = "trendlake", **conf: str) -> SparkSession:
     """Local session with AQE on and the UI off.  Extra ``conf`` overrides defaults."""
     builder = SparkSession.builder.master(master or "local[*]").appName(app)
-    for key, value in {**_LOCAL_DEFAULTS, **conf}.items():
+    settings = {**_LOCAL_DEFAULTS, **conf}
+    # Local runs keep managed tables out of the working directory.
+    settings.setdefault(
+        "spark.sql.warehouse.dir",
+        tempfile.mkdtemp(prefix="trendlake-warehouse-", dir=os.environ.get("TMPDIR", "/tmp")),
+    )
+    for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ from trendlake.sources.sinks import (
     export_csv,
     publish,
     publish_all,
+    publish_jdbc,
     publishable,
     write_snapshots,
 )
@@ -18,5 +19,6 @@ __all__ = [
     "export_csv",
     "publish",
     "publish_all",
+    "publish_jdbc",
     "publishable",
 ]

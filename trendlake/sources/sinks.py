@@ -9,6 +9,7 @@ task; it is meant for the small top-k tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -95,10 +96,43 @@ def publish(
     writer = out.write.mode("overwrite")
     if parts:
         writer = writer.partitionBy(*parts)
-    if path is None:
-        writer.format("parquet").saveAsTable(table)
-    else:
+    if path is not None:
         writer.parquet(path)
+        return
+    # Catalog table: the new version is written completely to its own folder
+    # under the warehouse, and only then is the catalog entry pointed at it.
+    # A failed or lost job leaves the previous version in place; readers never
+    # see a half-written table.
+    spark = df.sparkSession
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    location = f"{root}/{table}/v-{uuid.uuid4().hex}"
+    writer.parquet(location)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.catalog.createTable(table, path=location, source="parquet")
+    if parts:
+        spark.catalog.recoverPartitions(table)
+
+
+# The result store's load batch size.
+JDBC_BATCH_SIZE = 500
+
+
+def publish_jdbc(df: DataFrame, table: str, url: str, properties: Mapping[str, str] | None = None) -> None:
+    """S8 for a relational store: full refresh through JDBC.
+
+    ``truncate`` keeps the table and its declared constraints and indexes;
+    rows go in batches of 500 inside each task's transaction.  Needs the
+    store's JDBC driver on the classpath.
+    """
+    spec = RESULT_TABLES.get(table)
+    out = conform(df, spec) if spec else publishable(df)
+    (
+        out.write.mode("overwrite")
+        .option("truncate", "true")
+        .option("batchsize", str(JDBC_BATCH_SIZE))
+        .option("isolationLevel", "READ_COMMITTED")
+        .jdbc(url, table, properties=dict(properties or {}))
+    )
 
 
 def publish_all(tables: Mapping[str, DataFrame], base_path: str | None = None) -> list[str]:
