@@ -282,6 +282,8 @@ def queries() -> dict[str, Q]:
         "parse_tags": _q_parse_tags,
         "display_videos": lambda spark, sf: display_rows(top_videos(snapshots(spark, sf)), "videos"),
         "display_channels": lambda spark, sf: display_rows(top_channels(snapshots(spark, sf)), "channels"),
+        "display_categories": lambda spark, sf: display_rows(top_categories(snapshots(spark, sf)), "categories"),
+        "display_video_trends": lambda spark, sf: display_rows(video_trends(snapshots(spark, sf)), "video_trends"),
         # R14, R15
         "enrich_country": _q_enrich,
         "country_coverage": _q_coverage,
@@ -332,6 +334,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_tags": o.PARSE_TAGS,
         "display_videos": o.DISPLAY_VIDEOS,
         "display_channels": o.DISPLAY_CHANNELS,
+        "display_categories": o.DISPLAY_CATEGORIES,
+        "display_video_trends": o.DISPLAY_VIDEO_TRENDS,
         "enrich_country": o.ENRICH_COUNTRY,
         "country_coverage": o.COUNTRY_COVERAGE,
         "countries_without_data": o.COUNTRIES_WITHOUT_DATA,

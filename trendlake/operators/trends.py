@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.functions.tags import clean_tag, long_enough, normalize_tag, split_tags
+from trendlake.functions.tags import clean_tag, long_enough, split_tags
 from trendlake.operators.clean import drop_null_keys, with_trending_month
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
@@ -39,11 +39,14 @@ def tag_counts(snap: DataFrame) -> DataFrame:
     Explode, normalise and clean happen in one narrow stage; the count is
     combined map-side before the shuffle on (keys, tag).
     """
+    # F3 lower-cases each trimmed tag; lower-casing the whole text once before
+    # the split gives the same tags (the comma and the spaces trim removes are
+    # unchanged by lower-casing) with one call per row instead of per tag.
     tags = (
         _monthly(snap, TREND_KEYS)
         .filter(F.col("video_tags").isNotNull())
-        .select(*TREND_KEYS, F.explode(split_tags("video_tags")).alias("tag"))
-        .withColumn("tag", normalize_tag(F.col("tag")))
+        .select(*TREND_KEYS, F.explode(split_tags(F.lower("video_tags"))).alias("tag"))
+        .withColumn("tag", F.trim(F.col("tag")))
         .filter(long_enough(F.col("tag")))
         .withColumn("tag", clean_tag(F.col("tag")))
         .filter(long_enough(F.col("tag")))

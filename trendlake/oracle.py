@@ -527,3 +527,26 @@ PUBLISH_AND_LOOKUP = on_results(
        peak_trending_date, rank
 FROM top_videos WHERE {C} = '{LOOKUP_COUNTRY}'"""
 )
+
+# ================================================================ more display
+DISPLAY_CATEGORIES = on_results(
+    final=f"""SELECT {C}, rank, video_category_id AS category,
+       (CAST(coalesce(total_views, 0) AS DOUBLE)
+        / max(CAST(coalesce(total_views, 0) AS DOUBLE)) OVER (PARTITION BY {C})) * 100 AS bar_pct,
+       {fmt_count('coalesce(total_views, 0)')} AS total_views_text,
+       {fmt_count('coalesce(avg_views, 0)')} AS avg_views_text,
+       {fmt_count('coalesce(total_likes, 0)')} AS likes_text,
+       CAST(coalesce(trending_appearances, 0) AS VARCHAR) || 'x' AS trending_text
+FROM top_categories"""
+)
+DISPLAY_VIDEO_TRENDS = on_results(
+    final=f"""SELECT {C}, strftime(make_date(trending_year, trending_month, 1), '%Y-%m') AS month,
+       coalesce(nullif(video_title, ''), 'Top Video') AS title,
+       coalesce(nullif(channel_title, ''), '—') AS channel,
+       coalesce({fmt_duration('video_duration')}, '—') AS duration_text,
+       {fmt_count('coalesce(video_view_count, 0)')} AS views_text,
+       {fmt_count('coalesce(video_like_count, 0)')} AS likes_text,
+       {fmt_count('coalesce(video_comment_count, 0)')} AS comments_text,
+       coalesce(trending_appearances, 0) AS trending_appearances
+FROM video_trends"""
+)
