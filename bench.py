@@ -4,10 +4,15 @@ Prints one JSON line.  Stages timed:
 
 * ``clean_snapshots`` -- driver tables -> trending snapshots -> cleaned Parquet
   (written once to the shared checkpoint location, as the product does);
-* R1-R5 over that cleaned table, each run to completion with the ``noop`` sink;
-* ``publish_all`` -- the five result tables to partitioned Parquet;
+* ``sighting_summary`` -- cleaned snapshots -> sighting summary Parquet;
+* R1-R5 over the summary, each run to completion with the ``noop`` sink;
+* ``publish_all`` -- the five result tables (from the summary) to
+  partitioned Parquet;
 * country lookups (R6/R7) against the published tables.
 
+``direct_from_snapshots`` reports R1-R5 run straight on the cleaned table
+(same rows; not part of ``value``).
+
 Each query runs once to warm the JVM, then ``BENCH_REPEAT`` (default 3) times;
 the median is reported.  ``value`` is the sum of the medians.
 """
@@ -26,6 +31,7 @@ from trendlake.fixtures import trending_raw  # noqa: E402
 from trendlake.operators import (  # noqa: E402
     category_trends,
     clean_snapshots,
+    sighting_summary,
     top_categories,
     top_channels,
     top_videos,
@@ -63,6 +69,9 @@ def main() -> None:
         lambda: write_snapshots(clean_snapshots(trending_raw(spark, sf_dir)), snap_path), repeat
     )
     snap = spark.read.parquet(snap_path)
+    summary_path = scratch_dir(spark, "summary")
+    q["sighting_summary"] = timed(lambda: write_snapshots(sighting_summary(snap), summary_path), repeat)
+    summary = spark.read.parquet(summary_path)
     ops = {
         "top_channels": top_channels,
         "top_categories": top_categories,
@@ -71,15 +80,16 @@ def main() -> None:
         "video_trends": video_trends,
     }
     for name, op in ops.items():
-        q[name] = timed(lambda op=op: run(op(snap)), repeat)
+        q[name] = timed(lambda op=op: run(op(summary)), repeat)
+    direct = {name: timed(lambda op=op: run(op(snap)), repeat) for name, op in ops.items()}
 
     pub = scratch_dir(spark, "published")
     tables = {
-        "top10_channels_per_country": top_channels(snap),
-        "top10_categories_per_country": top_categories(snap),
-        "top10_videos_per_country": top_videos(snap),
-        "category_trends_over_time": category_trends(snap),
-        "video_trends_over_time": video_trends(snap),
+        "top10_channels_per_country": top_channels(summary),
+        "top10_categories_per_country": top_categories(summary),
+        "top10_videos_per_country": top_videos(summary),
+        "category_trends_over_time": category_trends(summary),
+        "video_trends_over_time": video_trends(summary),
     }
     q["publish_all"] = timed(lambda: publish_all(tables, pub), repeat)
     country = snap.select("video_trending_country").where("video_trending_country is not null").first()[0]
@@ -94,6 +104,7 @@ def main() -> None:
         repeat,
     )
     rows = spark.read.parquet(snap_path).count()
+    summary_rows = summary.count()
     spark.stop()
     print(
         json.dumps(
@@ -104,6 +115,8 @@ def main() -> None:
                 "queries": {k: round(v, 3) for k, v in q.items()},
                 "sf": os.path.basename(sf_dir).replace("sf", ""),
                 "snapshot_rows": rows,
+                "summary_rows": summary_rows,
+                "direct_from_snapshots": {k: round(v, 3) for k, v in direct.items()},
                 "cpus": int(cpus),
                 "repeat": repeat,
             }

@@ -8,6 +8,7 @@ from trendlake.operators.rankings import (
     top_channels,
     top_videos,
 )
+from trendlake.operators.summary import as_sightings, sighting_summary
 from trendlake.operators.trends import (
     category_trends,
     tag_counts,
@@ -26,4 +27,6 @@ __all__ = [
     "tag_counts",
     "top_tags",
     "video_trends",
+    "sighting_summary",
+    "as_sightings",
 ]

@@ -9,6 +9,8 @@ rule that groups with a NULL key vanish is kept by dropping NULL keys before
 level 1.  Both levels combine map-side, so a hot group never reaches one task
 whole.  The country rank is ``row_number() <= k`` with a total tie-break,
 which Catalyst turns into a partial WindowGroupLimit before the shuffle.
+
+Inputs are cleaned snapshots or their sighting summary (operators.summary).
 """
 
 from __future__ import annotations
@@ -16,16 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.functions.metrics import engagement_rating
 from trendlake.operators.clean import drop_null_keys
-from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
+from trendlake.operators.summary import PEAK_VIDEO, SIGHTINGS, as_sightings
+from trendlake.plans.ordering import asc, desc, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
     CATEGORY,
     CHANNEL,
-    COMMENTS,
     COUNTRY,
-    LIKES,
     TRENDING_DATE,
     VIDEO,
     VIEWS,
@@ -38,12 +38,12 @@ def top_categories(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """R2: categories per country by sightings, then by summed per-video peak views."""
     keys = [COUNTRY, CATEGORY]
     per_video = (
-        drop_null_keys(snap, keys)
+        drop_null_keys(as_sightings(snap), keys)
         .groupBy(*keys, VIDEO)
         .agg(
-            F.count(VIDEO).alias("n"),
-            F.max(VIEWS).alias("v"),
-            F.max(LIKES).alias("l"),
+            F.sum(SIGHTINGS).alias("n"),
+            F.max("max_views").alias("v"),
+            F.max("max_likes").alias("l"),
         )
     )
     groups = per_video.groupBy(*keys).agg(
@@ -64,14 +64,14 @@ def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """(channel, category) pairs per country by sightings, then summed peak views."""
     keys = [COUNTRY, CHANNEL, CATEGORY]
     per_video = (
-        drop_null_keys(snap, keys)
+        drop_null_keys(as_sightings(snap), keys)
         .groupBy(*keys, VIDEO)
         .agg(
-            F.count(VIDEO).alias("n"),
-            F.max(VIEWS).alias("v"),
-            F.max("channel_subscriber_count").alias("subs"),
-            F.max("channel_view_count").alias("cviews"),
-            F.min("channel_custom_url").alias("url"),
+            F.sum(SIGHTINGS).alias("n"),
+            F.max("max_views").alias("v"),
+            F.max("max_subscribers").alias("subs"),
+            F.max("max_channel_views").alias("cviews"),
+            F.min("min_custom_url").alias("url"),
         )
     )
     groups = per_video.groupBy(*keys).agg(
@@ -94,29 +94,17 @@ def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     )
 
 
-# Total order of the peak sighting of a video in a country: most views, then
-# earliest trending date, then every carried column ascending (NULLs last).
-PEAK_ORDER = [
-    desc(VIEWS),
-    asc(TRENDING_DATE),
-    asc(CATEGORY),
-    asc("video_title"),
-    asc("engagement_rating"),
-    asc(CHANNEL),
-    asc("video_duration"),
-]
-
-
 def peak_snapshots(snap: DataFrame) -> DataFrame:
     """W4 + J2: one row per (video, country) -- the peak-views sighting with its
     engagement -- and the number of sightings.  Sightings with a NULL country
     keep their peak row but get NULL appearances (a left join in the reference).
     """
-    rows = snap.select(
-        VIDEO, COUNTRY, CATEGORY, "video_title", TRENDING_DATE, VIEWS, CHANNEL, "video_duration",
-        engagement_rating(VIEWS, LIKES, COMMENTS).alias("engagement_rating"),
+    peak = (
+        as_sightings(snap)
+        .groupBy(VIDEO, COUNTRY)
+        .agg(F.sum(SIGHTINGS).alias("_n"), F.min("peak_video").alias("_first"))
+        .select(VIDEO, COUNTRY, "_n", *PEAK_VIDEO.restore("_first"))
     )
-    peak = first_per_group(rows, [VIDEO, COUNTRY], PEAK_ORDER, count_as="_n")
     return peak.select(
         VIDEO, COUNTRY, CATEGORY, "video_title", CHANNEL, "video_duration", VIEWS,
         "engagement_rating",

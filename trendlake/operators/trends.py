@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.tags import clean_tag, long_enough, split_tags
-from trendlake.operators.clean import drop_null_keys, with_trending_month
+from trendlake.operators.clean import drop_null_keys
+from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -30,7 +31,8 @@ DEFAULT_TAGS = 5
 
 
 def _monthly(snap: DataFrame, keys: list[str]) -> DataFrame:
-    return drop_null_keys(with_trending_month(drop_null_keys(snap, [k for k in keys if k in snap.columns])), keys)
+    """Summary-shaped rows with all ``keys`` present (NULL keys dropped)."""
+    return drop_null_keys(as_sightings(snap), keys)
 
 
 def tag_counts(snap: DataFrame) -> DataFrame:
@@ -45,13 +47,13 @@ def tag_counts(snap: DataFrame) -> DataFrame:
     tags = (
         _monthly(snap, TREND_KEYS)
         .filter(F.col("video_tags").isNotNull())
-        .select(*TREND_KEYS, F.explode(split_tags(F.lower("video_tags"))).alias("tag"))
+        .select(*TREND_KEYS, SIGHTINGS, F.explode(split_tags(F.lower("video_tags"))).alias("tag"))
         .withColumn("tag", F.trim(F.col("tag")))
         .filter(long_enough(F.col("tag")))
         .withColumn("tag", clean_tag(F.col("tag")))
         .filter(long_enough(F.col("tag")))
     )
-    return tags.groupBy(*TREND_KEYS, "tag").agg(F.count(F.lit(1)).alias("tag_count"))
+    return tags.groupBy(*TREND_KEYS, "tag").agg(F.sum(SIGHTINGS).alias("tag_count"))
 
 
 def top_tags(snap: DataFrame, n: int = DEFAULT_TAGS) -> DataFrame:
@@ -67,7 +69,7 @@ def category_trends(snap: DataFrame, n_tags: int = DEFAULT_TAGS) -> DataFrame:
     per_video = (
         _monthly(snap, TREND_KEYS)
         .groupBy(*TREND_KEYS, VIDEO)
-        .agg(F.count(VIDEO).alias("n"), F.max(VIEWS).alias("v"))
+        .agg(F.sum(SIGHTINGS).alias("n"), F.max("max_views").alias("v"))
     )
     months = per_video.groupBy(*TREND_KEYS).agg(
         F.sum("n").alias(APPEARANCES), F.sum("v").alias("total_views")
@@ -83,17 +85,6 @@ def category_trends(snap: DataFrame, n_tags: int = DEFAULT_TAGS) -> DataFrame:
     )
 
 
-# Peak sighting of a video in a month: most views, then every carried column
-# ascending (NULLs last).
-MONTH_PEAK_ORDER = [
-    desc(VIEWS),
-    asc("video_title"),
-    asc(CATEGORY),
-    asc(CHANNEL),
-    asc(LIKES),
-    asc(COMMENTS),
-    asc("video_duration"),
-]
 # Top video of a (country, year, month): most sightings, most views, video id.
 MONTH_TOP_ORDER = [desc(APPEARANCES), desc(VIEWS), asc(VIDEO)]
 
@@ -105,8 +96,12 @@ def video_trends(snap: DataFrame) -> DataFrame:
     arg-min aggregates, so hot videos and hot months combine map-side.
     """
     keys = [COUNTRY, YEAR, MONTH]
-    rows = _monthly(snap, keys)
-    peak = first_per_group(rows, [VIDEO, *keys], MONTH_PEAK_ORDER, count_as=APPEARANCES)
+    peak = (
+        _monthly(snap, keys)
+        .groupBy(VIDEO, *keys)
+        .agg(F.sum(SIGHTINGS).alias(APPEARANCES), F.min("peak_month").alias("_first"))
+        .select(VIDEO, *keys, APPEARANCES, *PEAK_MONTH.restore("_first"))
+    )
     top = first_per_group(
         peak,
         keys,

@@ -8,9 +8,10 @@
 
 from trendlake.plans.inspect import physical_plan, plan_nodes
 from trendlake.plans.joins import bounded_broadcast, join_small
-from trendlake.plans.ordering import Order, asc, desc, first_per_group, top_k_per_group
+from trendlake.plans.ordering import ArgMin, Order, asc, desc, first_per_group, top_k_per_group
 
 __all__ = [
+    "ArgMin",
     "Order",
     "asc",
     "desc",

@@ -75,6 +75,53 @@ def _descending_value(c: Column, dtype: T.DataType) -> Column:
     raise TypeError(f"descending order on {dtype.simpleString()} is not supported in first_per_group")
 
 
+@dataclass(frozen=True)
+class ArgMin:
+    """A total order packed into one struct that ``min`` reduces.
+
+    Fields per order column: a NULL flag (so NULLs sort last) and the value,
+    order-reversed for descending columns; then the payload columns.  Because
+    ``min`` is associative, the struct can be reduced in steps -- per map task,
+    per shuffle partition, or from a pre-aggregated table.
+    """
+
+    order: tuple[Order, ...]
+    payload: tuple[str, ...]
+    dtypes: tuple[tuple[str, T.DataType], ...]
+
+    @classmethod
+    def of(cls, dtypes: dict[str, T.DataType], order: Sequence[Order], payload: Sequence[str] = ()) -> "ArgMin":
+        ordered = {o.column for o in order}
+        extra = tuple(p for p in payload if p not in ordered)
+        needed = [o.column for o in order] + list(extra)
+        return cls(tuple(order), extra, tuple((c, dtypes[c]) for c in needed))
+
+    def key(self) -> Column:
+        types = dict(self.dtypes)
+        fields: list[Column] = []
+        for i, o in enumerate(self.order):
+            c = F.col(o.column)
+            fields.append(c.isNull().alias(f"n{i}"))
+            v = c if o.ascending else _descending_value(c, types[o.column])
+            fields.append(v.alias(f"v{i}"))
+        fields += [F.col(p).alias(f"p{j}") for j, p in enumerate(self.payload)]
+        return F.struct(*fields)
+
+    def restore(self, struct_col: str, skip: Sequence[str] = ()) -> list[Column]:
+        """The original columns (names and types) from a reduced struct."""
+        types = dict(self.dtypes)
+        out: list[Column] = []
+        for i, o in enumerate(self.order):
+            if o.column in skip:
+                continue
+            v = F.col(f"{struct_col}.v{i}")
+            if not o.ascending:
+                v = _descending_value(v, types[o.column]).cast(types[o.column])
+            out.append(v.alias(o.column))
+        out += [F.col(f"{struct_col}.p{j}").alias(p) for j, p in enumerate(self.payload) if p not in skip]
+        return out
+
+
 def first_per_group(
     df: DataFrame,
     group_by: Sequence[str],
@@ -88,29 +135,12 @@ def first_per_group(
     values.  ``count_as`` additionally returns the number of rows in the group.
     """
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    fields: list[Column] = []
-    restore: list[Column] = []
-    for i, o in enumerate(order):
-        c = F.col(o.column)
-        fields.append(c.isNull().alias(f"n{i}"))
-        if o.ascending:
-            fields.append(c.alias(f"v{i}"))
-            restore.append(F.col(f"_first.v{i}").alias(o.column))
-        else:
-            fields.append(_descending_value(c, dtypes[o.column]).alias(f"v{i}"))
-            back = _descending_value(F.col(f"_first.v{i}"), dtypes[o.column])
-            restore.append(back.cast(dtypes[o.column]).alias(o.column))
-    ordered = {o.column for o in order}
-    extra = [p for p in payload if p not in ordered and p not in group_by]
-    for j, p in enumerate(extra):
-        fields.append(F.col(p).alias(f"p{j}"))
-        restore.append(F.col(f"_first.p{j}").alias(p))
-    aggs = [F.min(F.struct(*fields)).alias("_first")]
+    am = ArgMin.of(dtypes, order, [p for p in payload if p not in group_by])
+    aggs = [F.min(am.key()).alias("_first")]
     if count_as:
         aggs.append(F.count(F.lit(1)).alias(count_as))
     out = df.groupBy(*group_by).agg(*aggs)
-    keep_order = [r for r, o in zip(restore, order) if o.column not in group_by]
-    cols = [F.col(g) for g in group_by] + keep_order + restore[len(order):]
+    cols = [F.col(g) for g in group_by] + am.restore("_first", skip=group_by)
     if count_as:
         cols.append(F.col(count_as))
     return out.select(*cols)
