@@ -28,6 +28,7 @@ from trendlake.operators import (
     category_trends,
     clean_snapshots,
     peak_snapshots,
+    sighting_summary,
     tag_counts,
     top_categories,
     top_channels,
@@ -255,6 +256,7 @@ def queries() -> dict[str, Q]:
         "top_tags": _on_snap(top_tags),
         "category_trends": lambda spark, sf: publishable(_ct(spark, sf)),
         "video_trends": _on_snap(video_trends),
+        "sighting_summary": lambda spark, sf: sighting_summary(snapshots(spark, sf)).drop("peak_video", "peak_month"),
         # R6, R7, L4, C5
         "country_top_channels": lambda spark, sf: country_top(top_channels(snapshots(spark, sf)), c),
         "country_top_categories": lambda spark, sf: country_top(top_categories(snapshots(spark, sf)), c),
@@ -310,6 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "top_tags": o.TOP_TAGS,
         "category_trends": o.CATEGORY_TRENDS,
         "video_trends": o.VIDEO_TRENDS,
+        "sighting_summary": o.SIGHTING_SUMMARY,
         "country_top_channels": o.COUNTRY_TOP_CHANNELS,
         "country_top_categories": o.COUNTRY_TOP_CATEGORIES,
         "country_top_videos": o.COUNTRY_TOP_VIDEOS,

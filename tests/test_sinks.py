@@ -72,3 +72,15 @@ def test_catalog_publish_swaps_in_a_complete_table(spark):
     publish(df.union(df.withColumn("rank", df["rank"] + 1)), "top10_categories_per_country")
     assert spark.table("top10_categories_per_country").count() == 2
     assert spark.table("top10_categories_per_country").filter("video_trending_country = 'US'").count() == 2
+
+
+def test_publish_writes_one_file_per_country(spark):
+    import os
+
+    rows = [(c, f"cat{i}", i, i, i, i, i) for c in ("US", "DE") for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "video_trending_country string, video_category_id string, trending_appearances bigint, total_views bigint, avg_views bigint, total_likes bigint, rank int").repartition(6)
+    path = scratch_dir(spark, "one-file")
+    publish(df, "top10_categories_per_country", path)
+    for country in ("US", "DE"):
+        files = [f for f in os.listdir(f"{path}/video_trending_country={country}") if f.endswith(".parquet")]
+        assert len(files) == 1

@@ -550,3 +550,13 @@ DISPLAY_VIDEO_TRENDS = on_results(
        coalesce(trending_appearances, 0) AS trending_appearances
 FROM video_trends"""
 )
+
+# ================================================================ sighting summary
+SIGHTING_SUMMARY = with_ctes(
+    final=f"""SELECT {C}, video_category_id, channel_title, video_id, trending_year, trending_month, video_tags,
+       CAST(count(*) AS BIGINT) AS sightings, max(video_view_count) AS max_views,
+       max(video_like_count) AS max_likes, max(channel_subscriber_count) AS max_subscribers,
+       max(channel_view_count) AS max_channel_views, min(channel_custom_url) AS min_custom_url
+FROM msnap
+GROUP BY {C}, video_category_id, channel_title, video_id, trending_year, trending_month, video_tags"""
+)

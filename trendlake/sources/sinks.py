@@ -91,6 +91,11 @@ def publish(
     keys = list(sort_by if sort_by is not None else (spec.sort_by if spec else ()))
     parts = [p for p in (partition_by or ()) if p in out.columns]
     order = parts + [k for k in keys if k not in parts]
+    if parts and spec is not None:
+        # Result tables are bounded (top-k lists, months x categories per
+        # country), so one file per country folder is cheap to produce and a
+        # lookup then opens a single file.
+        out = out.repartition(*parts)
     if order:
         out = out.sortWithinPartitions(*order)
     writer = out.write.mode("overwrite")
