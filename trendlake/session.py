@@ -33,13 +33,15 @@ _LOCAL_DEFAULTS = {
 
 def get_session(master: str | None = None, app: str = "trendlake", **conf: str) -> SparkSession:
     """Local session with AQE on and the UI off.  Extra ``conf`` overrides defaults."""
-    builder = SparkSession.builder.master(master or "local[*]").appName(app)
+    master = master or "local[*]"
+    builder = SparkSession.builder.master(master).appName(app)
     settings = {**_LOCAL_DEFAULTS, **conf}
-    # Local runs keep managed tables out of the working directory.
-    settings.setdefault(
-        "spark.sql.warehouse.dir",
-        tempfile.mkdtemp(prefix="trendlake-warehouse-", dir=os.environ.get("TMPDIR", "/tmp")),
-    )
+    if master.startswith("local"):
+        # Local runs keep managed tables out of the working directory.
+        settings.setdefault(
+            "spark.sql.warehouse.dir",
+            tempfile.mkdtemp(prefix="trendlake-warehouse-", dir=os.environ.get("TMPDIR", "/tmp")),
+        )
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -51,10 +53,24 @@ def get_session(master: str | None = None, app: str = "trendlake", **conf: str)
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext
+        return str(spark.conf.get("spark.master", "")).startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a local one only when it is unset."""
+    """Return ``spark.checkpoint.dir``.
+
+    When it is unset, a local session (tests, bench) gets a fresh folder under
+    /tmp; any other session must name a shared folder, because executors
+    cannot see a folder local to one machine.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         current = tempfile.mkdtemp(prefix="trendlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     try:  # classic sessions only; Spark Connect has no SparkContext
