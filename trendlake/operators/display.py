@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.dates import month_label
@@ -16,6 +16,8 @@ from trendlake.functions.text import (
 )
 from trendlake.functions.values import first_present
 from trendlake.operators.explore import category_share
+from trendlake.operators.lookups import LIST_LENGTH
+from trendlake.plans.ordering import Order, asc, desc, top_k_per_group
 from trendlake.schema import APPEARANCES, COUNTRY
 
 # Display placeholders.
@@ -37,9 +39,20 @@ def _text(c: str) -> F.Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def display_rows(df: DataFrame, kind: str, link_host: str | None = None) -> DataFrame:
+def _list_order(df: DataFrame) -> list[Order]:
+    """The order a country list arrives in: most appearances first, then rank."""
+    return [desc(APPEARANCES)] + ([asc("rank")] if "rank" in df.columns else [])
+
+
+def display_rows(df: DataFrame, kind: str, link_host: str | None = None, n: int = LIST_LENGTH) -> DataFrame:
     """Display fields for a country list (``channels``, ``categories``,
-    ``videos``) or for video trend points (``video_trends``)."""
+    ``videos``) or for video trend points (``video_trends``).
+
+    Lists are capped at ``n`` rows per country (L6) with a per-country top-k,
+    which keeps the partial group limit even for a large input.
+    """
+    if kind in ("channels", "categories", "videos"):
+        df = top_k_per_group(df, [COUNTRY], _list_order(df), n, rank_col="_pos")
     if kind == "channels":
         link = channel_link("channel_custom_url") if link_host is None else channel_link("channel_custom_url", link_host)
         subs = F.col("channel_subscribers")
@@ -64,15 +77,11 @@ def display_rows(df: DataFrame, kind: str, link_host: str | None = None) -> Data
             _trending_text().alias("trending_text"),
         )
     if kind == "videos":
-        # The list arrives ordered by appearances; its position is the shown rank.
-        order = [F.col(APPEARANCES).desc_nulls_last()]
-        if "rank" in df.columns:
-            order.append(F.col("rank").asc_nulls_last())
-        w = Window.partitionBy(COUNTRY).orderBy(*order)
+        # The shown rank is the position in the list, not the stored rank.
         title = first_present(df, ("video_title", "title"))
         return df.select(
             COUNTRY,
-            F.row_number().over(w).alias("display_rank"),
+            F.col("_pos").alias("display_rank"),
             with_default(title, UNTITLED_VIDEO).alias("title"),
             with_default("channel_title", UNKNOWN_CHANNEL).alias("channel"),
             F.col("video_category_id").alias("category"),

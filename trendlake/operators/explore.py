@@ -213,7 +213,16 @@ def normalize_results(df: DataFrame, kind: str) -> DataFrame:
 
 def category_share(top_categories: DataFrame, by: Sequence[str] = (COUNTRY,)) -> DataFrame:
     """R12 (A14, W8): each category's total views as a percentage of the
-    largest total in its country's list (the bar length)."""
+    largest total in its country's list (the bar length).
+
+    The per-country maximum is a partially aggregated group-by (one row per
+    country), joined back under a row bound, so even a large input with one
+    dominant country never gathers that country in a single task.
+    """
     v = F.coalesce(F.col("total_views").cast("double"), F.lit(0.0))
-    mx = F.max(v).over(Window.partitionBy(*by))
-    return top_categories.withColumn("share_pct", F.try_divide(v, mx) * 100)
+    keyed = top_categories.withColumn("_v", v)
+    mx = keyed.groupBy(*by).agg(F.max("_v").alias("_max"))
+    joined = keyed.join(bounded_broadcast(mx), on=list(by), how="left")
+    return joined.withColumn("share_pct", F.try_divide(F.col("_v"), F.col("_max")) * 100).drop("_v", "_max").select(
+        *top_categories.columns, "share_pct"
+    )
