@@ -66,6 +66,8 @@ def test_readonly_sql_guard(spark, cats):
         "INSERT INTO guard_target VALUES (1)",
         "WITH x AS (SELECT 1 AS a) INSERT INTO guard_target SELECT a FROM x",
         "SELECT 1; DROP TABLE guard_target",
+        "SHOW TABLES; DROP TABLE guard_target",
+        "DESCRIBE guard_target; DROP TABLE guard_target",
     ):
         with pytest.raises(ReadOnlyViolation):
             readonly_sql(spark, bad)

@@ -82,4 +82,9 @@ def readonly_sql(spark: SparkSession, sql: str) -> DataFrame:
     first = head.split(None, 1)[0]
     if first not in ("SHOW", "DESCRIBE"):
         raise ReadOnlyViolation("Only SELECT / SHOW / DESCRIBE / WITH queries are allowed")
-    return spark.sql(text)
+    try:
+        return spark.sql(text)
+    except AnalysisException as e:  # e.g. a second statement after the command
+        if "PARSE_SYNTAX_ERROR" in str(e) or "ParseException" in type(e).__name__:
+            raise ReadOnlyViolation(f"not a single read-only command: {e}") from e
+        raise
