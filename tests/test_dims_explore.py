@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from trendlake.operators.dims import countries_without_data, country_coverage, enrich_country, search_names
 from trendlake.operators.display import display_rows

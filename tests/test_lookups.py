@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from trendlake.operators import clean_snapshots, top_categories
 from trendlake.operators.catalog import (
