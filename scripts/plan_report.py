@@ -32,7 +32,11 @@ def tidy(plan: str) -> str:
     plan = re.sub(r"#\d+L?", "", plan)
     plan = re.sub(r", \[plan_id=\d+\]", "", plan)
     plan = re.sub(r"Location: InMemoryFileIndex\(1 paths\)\[[^\]]*\]", "Location: <table>", plan)
-    lines = [ln if len(ln) <= 220 else ln[:217] + "..." for ln in plan.strip().splitlines()]
+    lines = []
+    for ln in plan.strip().splitlines():
+        if "FileScan" in ln:  # keep pushed / partition filters visible
+            ln = re.sub(r", ReadSchema: .*$", "", re.sub(r"FileScan parquet \[[^\]]*\]", "FileScan parquet", ln))
+        lines.append(ln if len(ln) <= 260 else ln[:257] + "...")
     return "\n".join(lines)
 
 
