@@ -24,6 +24,7 @@ from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, YEAR
 
 LEADING = 5
 PINNED_TAGS = 5
+MAX_LISTED_KEYS = 100_000
 # Y-axis head room of the trend charts and the smallest axis top.
 Y_HEADROOM = 1.1
 Y_MIN_TOP = 1.0
@@ -154,7 +155,9 @@ def pinned_points(rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str =
         key_df = bounded_broadcast(keys.select("pos", "key"))
     else:
         spark = rows.sparkSession
-        key_df = F.broadcast(spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "pos int, key string"))
+        listed = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "pos int, key string")
+        # the list's length is its proven size; very long lists take the checked path
+        key_df = F.broadcast(listed) if len(keys) <= MAX_LISTED_KEYS else bounded_broadcast(listed)
     if kind == "category":
         name = F.coalesce(F.col("category").cast("string"), F.lit("null"))
     else:
