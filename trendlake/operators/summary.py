@@ -37,7 +37,9 @@ from trendlake.schema import (
 )
 
 SIGHTINGS = "sightings"
-SUMMARY_KEYS = [COUNTRY, CATEGORY, CHANNEL, VIDEO, YEAR, MONTH, "video_tags"]
+# The video id leads: the sort of the (sort-based) aggregate compares an
+# 8-byte prefix of the first key, and the video id almost always decides it.
+SUMMARY_KEYS = [VIDEO, CHANNEL, COUNTRY, CATEGORY, YEAR, MONTH, "video_tags"]
 
 _TYPES = {
     VIEWS: T.LongType(),
