@@ -62,10 +62,12 @@ def top_categories(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """(channel, category) pairs per country by sightings, then summed peak views."""
-    keys = [COUNTRY, CHANNEL, CATEGORY]
+    # High-cardinality keys first: both levels are sort-based (string min), and
+    # the sort compares a prefix of the first key.
+    keys = [CHANNEL, COUNTRY, CATEGORY]
     per_video = (
         drop_null_keys(as_sightings(snap), keys)
-        .groupBy(*keys, VIDEO)
+        .groupBy(VIDEO, *keys)
         .agg(
             F.sum(SIGHTINGS).alias("n"),
             F.max("max_views").alias("v"),
