@@ -47,10 +47,14 @@ def test_month_without_tags_keeps_row_with_null(spark):
     assert out.top5_tags is None and out.trending_appearances == 1
 
 
-def test_bad_date_vanishes_from_trends(spark):
-    rows = [snap_row(video_id="a", video_trending__date="2024-01-01"), snap_row(video_id="b")]
-    assert category_trends(snaps(spark, rows)).count() == 1
+def test_bad_date_vanishes_from_trends_but_stays_in_rankings(spark):
+    from trendlake.operators import top_categories, top_videos
+
+    rows = [snap_row(video_id="a", video_trending__date="2024-01-01"), snap_row(video_id="b"), snap_row(video_id="c", video_trending__date=None)]
+    assert category_trends(snaps(spark, rows)).collect()[0].trending_appearances == 1
     assert video_trends(snaps(spark, rows)).collect()[0].trending_appearances == 1
+    assert top_categories(snaps(spark, rows)).collect()[0].trending_appearances == 3
+    assert top_videos(snaps(spark, rows)).count() == 3
 
 
 def test_video_trend_picks_most_sighted_then_most_viewed(spark):
