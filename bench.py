@@ -23,6 +23,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -38,6 +39,7 @@ from trendlake.operators import (  # noqa: E402
     video_trends,
 )
 from trendlake.operators.lookups import country_category_trends, country_top  # noqa: E402
+from trendlake.plans.eventlog import event_log_conf, group_metrics  # noqa: E402
 from trendlake.session import get_session, scratch_dir  # noqa: E402
 from trendlake.sources.sinks import publish_all, write_snapshots  # noqa: E402
 
@@ -46,13 +48,23 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(fn, repeat: int) -> float:
+_SPARK = None
+
+
+def timed(fn, repeat: int, group: str | None = None) -> float:
+    """Median wall time of ``repeat`` runs after one warm-up run.  The timed
+    runs are tagged with ``group`` so their shuffle volume can be read back
+    from the event log."""
     fn()
     runs = []
+    if group and _SPARK is not None:
+        _SPARK.sparkContext.setJobGroup(group, group)
     for _ in range(repeat):
         t0 = time.perf_counter()
         fn()
         runs.append(time.perf_counter() - t0)
+    if group and _SPARK is not None:
+        _SPARK.sparkContext.setJobGroup("", "")
     return statistics.median(runs)
 
 
@@ -61,16 +73,23 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)
-    spark = get_session(f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": parts})
+    logdir = tempfile.mkdtemp(prefix="trendlake-bench-eventlog-")
+    spark = get_session(
+        f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": parts, **event_log_conf(logdir)}
+    )
+    global _SPARK
+    _SPARK = spark
 
     snap_path = scratch_dir(spark, "snapshots")
     q: dict[str, float] = {}
     q["clean_snapshots"] = timed(
-        lambda: write_snapshots(clean_snapshots(trending_raw(spark, sf_dir)), snap_path), repeat
+        lambda: write_snapshots(clean_snapshots(trending_raw(spark, sf_dir)), snap_path), repeat, "clean_snapshots"
     )
     snap = spark.read.parquet(snap_path)
     summary_path = scratch_dir(spark, "summary")
-    q["sighting_summary"] = timed(lambda: write_snapshots(sighting_summary(snap), summary_path), repeat)
+    q["sighting_summary"] = timed(
+        lambda: write_snapshots(sighting_summary(snap), summary_path), repeat, "sighting_summary"
+    )
     summary = spark.read.parquet(summary_path)
     ops = {
         "top_channels": top_channels,
@@ -80,7 +99,7 @@ def main() -> None:
         "video_trends": video_trends,
     }
     for name, op in ops.items():
-        q[name] = timed(lambda op=op: run(op(summary)), repeat)
+        q[name] = timed(lambda op=op: run(op(summary)), repeat, name)
     direct = {name: timed(lambda op=op: run(op(snap)), repeat) for name, op in ops.items()}
 
     pub = scratch_dir(spark, "published")
@@ -91,7 +110,7 @@ def main() -> None:
         "category_trends_over_time": category_trends(summary),
         "video_trends_over_time": video_trends(summary),
     }
-    q["publish_all"] = timed(lambda: publish_all(tables, pub), repeat)
+    q["publish_all"] = timed(lambda: publish_all(tables, pub), repeat, "publish_all")
     country = snap.select("video_trending_country").where("video_trending_country is not null").first()[0]
     published = {n: spark.read.parquet(f"{pub}/{n}") for n in tables}
     q["country_lookups"] = timed(
@@ -102,10 +121,16 @@ def main() -> None:
             run(country_category_trends(published["category_trends_over_time"], country)),
         ],
         repeat,
+        "country_lookups",
     )
     rows = spark.read.parquet(snap_path).count()
     summary_rows = summary.count()
     spark.stop()
+    try:
+        metrics = group_metrics(logdir)
+        shuffle_mb = {k: round(metrics[k]["shuffle_write_bytes"] / repeat / 2**20, 2) for k in q if k in metrics}
+    except Exception:  # noqa: BLE001 - measurement only; never lose the timing line
+        shuffle_mb = {}
     print(
         json.dumps(
             {
@@ -117,6 +142,7 @@ def main() -> None:
                 "snapshot_rows": rows,
                 "summary_rows": summary_rows,
                 "direct_from_snapshots": {k: round(v, 3) for k, v in direct.items()},
+                "shuffle_write_mb_per_run": shuffle_mb,
                 "cpus": int(cpus),
                 "repeat": repeat,
             }

@@ -7,7 +7,6 @@ The event log goes to a fresh folder under /tmp; nothing is served.
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import sys
@@ -18,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from trendlake.fixtures import trending_raw  # noqa: E402
 from trendlake.operators import category_trends, clean_snapshots, top_categories, top_channels, top_videos, video_trends  # noqa: E402
+from trendlake.plans.eventlog import event_log_conf, group_metrics  # noqa: E402
 from trendlake.session import get_session, scratch_dir  # noqa: E402
 from trendlake.sources import write_snapshots  # noqa: E402
 from tests import forms  # noqa: E402
@@ -26,10 +26,7 @@ from tests import forms  # noqa: E402
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     logdir = tempfile.mkdtemp(prefix="trendlake-eventlog-")
-    spark = get_session(
-        "local[8]", "shuffle-report",
-        **{"spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir, "spark.sql.shuffle.partitions": "8"},
-    )
+    spark = get_session("local[8]", "shuffle-report", **{**event_log_conf(logdir), "spark.sql.shuffle.partitions": "8"})
     snap_path = scratch_dir(spark, "report-snap")
     write_snapshots(clean_snapshots(trending_raw(spark, sf)), snap_path)
     snap = spark.read.parquet(snap_path)
@@ -55,28 +52,13 @@ def main() -> None:
             spark.sparkContext.setJobGroup("", "")
     spark.stop()
 
-    # sum shuffle bytes written per job group from the event log
-    job_group, stage_job, written, stages = {}, {}, {}, {}
-    for path in sorted(p for p in glob.glob(os.path.join(logdir, "**", "*"), recursive=True) if os.path.isfile(p)):
-        opener = __import__("zstandard").open if path.endswith(".zstd") else open
-        with opener(path, "rt") as f:
-            for line in f:
-                e = json.loads(line)
-                ev = e.get("Event")
-                if ev == "SparkListenerJobStart":
-                    g = (e.get("Properties") or {}).get("spark.jobGroup.id")
-                    for s in e.get("Stage IDs", []):
-                        stage_job[s] = g
-                elif ev == "SparkListenerTaskEnd":
-                    g = stage_job.get(e.get("Stage ID"))
-                    m = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
-                    written[g] = written.get(g, 0) + m.get("Shuffle Bytes Written", 0)
-                elif ev == "SparkListenerStageCompleted":
-                    g = stage_job.get(e["Stage Info"]["Stage ID"])
-                    if e["Stage Info"].get("Number of Tasks", 0) and "Submission Time" in e["Stage Info"]:
-                        stages[g] = stages.get(g, 0) + 1
+    metrics = group_metrics(logdir)
     rows = [
-        {"query": n, "form": l, "seconds": round(t, 3), "shuffle_bytes": written.get(g, 0), "stages": stages.get(g, 0)}
+        {
+            "query": n, "form": l, "seconds": round(t, 3),
+            "shuffle_bytes": metrics.get(g, {}).get("shuffle_write_bytes", 0),
+            "stages": metrics.get(g, {}).get("stages", 0),
+        }
         for n, l, t, g in marks
     ]
     print(json.dumps({"sf": sf, "rows": rows}, indent=1))

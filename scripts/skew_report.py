@@ -8,7 +8,6 @@ usage: python scripts/skew_report.py [sf_dir]   (prints one JSON object)
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import sys
@@ -27,6 +26,7 @@ from trendlake.operators import (  # noqa: E402
     top_videos,
     video_trends,
 )
+from trendlake.plans.eventlog import event_log_conf, group_metrics  # noqa: E402
 from trendlake.session import get_session, scratch_dir  # noqa: E402
 from trendlake.sources import write_snapshots  # noqa: E402
 
@@ -50,9 +50,7 @@ def main() -> None:
     spark = get_session(
         "local[8]", "skew-report",
         **{
-            "spark.eventLog.enabled": "true",
-            "spark.eventLog.dir": logdir,
-            "spark.eventLog.compress": "false",
+            **event_log_conf(logdir),
             "spark.sql.shuffle.partitions": "16",
             "spark.sql.files.maxPartitionBytes": "1m",  # several map tasks even on small input
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -76,26 +74,13 @@ def main() -> None:
     spark.sparkContext.setJobGroup("", "")
     spark.stop()
 
-    stage_group, per_stage = {}, {}
-    files = sorted(p for p in glob.glob(os.path.join(logdir, "**", "*"), recursive=True) if os.path.isfile(p))
-    for p in files:
-        with open(p) as f:
-            for line in f:
-                e = json.loads(line)
-                if e.get("Event") == "SparkListenerJobStart":
-                    g = (e.get("Properties") or {}).get("spark.jobGroup.id")
-                    for s in e.get("Stage IDs", []):
-                        stage_group[s] = g
-                elif e.get("Event") == "SparkListenerTaskEnd":
-                    key = (stage_group.get(e["Stage ID"]), e["Stage ID"])
-                    r = ((e.get("Task Metrics") or {}).get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
-                    per_stage.setdefault(key, []).append(r)
+    metrics = group_metrics(logdir)
     report = {"sf": sf, "rows": total, "hot_rows": hot_rows, "operators": {}}
-    for (g, sid), reads in sorted(per_stage.items(), key=lambda kv: kv[0][1]):
-        if g in ops and sum(reads):
-            report["operators"].setdefault(g, []).append(
-                {"stage": sid, "tasks": len(reads), "records_read": sum(reads), "max_task_records": max(reads)}
-            )
+    for name in ops:
+        per_stage = metrics.get(name, {}).get("max_task_records", {})
+        report["operators"][name] = [
+            {"stage": sid, "max_task_records": n} for sid, n in sorted(per_stage.items()) if n
+        ]
     report["max_task_records_any_stage"] = max(
         (s["max_task_records"] for v in report["operators"].values() for s in v), default=0
     )
