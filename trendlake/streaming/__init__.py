@@ -3,10 +3,13 @@
 The product re-runs its batch jobs when new snapshot files arrive.  Run as
 a file stream with ``Trigger.AvailableNow``, cleaning processes only the
 files not seen before, and the checkpoint (in the shared checkpoint folder)
-makes the Parquet sink exactly-once across executor or driver loss.  The
-analyses then read the cleaned table as a batch.
+makes the Parquet sink exactly-once across executor or driver loss.
+``run_summary_stream`` then keeps the sighting summary current with a
+stateful aggregation, rewriting only the months that changed.  The analyses
+read the summary as a batch.
 """
 
 from trendlake.streaming.incremental import clean_snapshots_stream, run_incremental_clean
+from trendlake.streaming.summary import run_summary_stream
 
-__all__ = ["clean_snapshots_stream", "run_incremental_clean"]
+__all__ = ["clean_snapshots_stream", "run_incremental_clean", "run_summary_stream"]
