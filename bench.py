@@ -68,20 +68,8 @@ def timed(fn, repeat: int, group: str | None = None) -> float:
     return statistics.median(runs)
 
 
-def main() -> None:
-    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)
-    logdir = tempfile.mkdtemp(prefix="trendlake-bench-eventlog-")
-    spark = get_session(
-        f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": parts, **event_log_conf(logdir)}
-    )
-    global _SPARK
-    _SPARK = spark
-
+def _stages(spark, sf_dir: str, repeat: int, q: dict, info: dict) -> None:
     snap_path = scratch_dir(spark, "snapshots")
-    q: dict[str, float] = {}
     q["clean_snapshots"] = timed(
         lambda: write_snapshots(clean_snapshots(trending_raw(spark, sf_dir)), snap_path), repeat, "clean_snapshots"
     )
@@ -125,6 +113,29 @@ def main() -> None:
     )
     rows = spark.read.parquet(snap_path).count()
     summary_rows = summary.count()
+    info["snapshot_rows"] = rows
+    info["summary_rows"] = summary_rows
+    info["direct_from_snapshots"] = {k: round(v, 3) for k, v in direct.items()}
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)
+    logdir = tempfile.mkdtemp(prefix="trendlake-bench-eventlog-")
+    spark = get_session(
+        f"local[{cpus}]", "trendlake-bench", **{"spark.sql.shuffle.partitions": parts, **event_log_conf(logdir)}
+    )
+    global _SPARK
+    _SPARK = spark
+
+    q: dict[str, float] = {}
+    info: dict[str, object] = {}
+    try:
+        _stages(spark, sf_dir, repeat, q, info)
+    except Exception as e:  # noqa: BLE001 - report what ran; never lose the JSON line
+        info["error"] = f"{type(e).__name__}: {e}"[:500]
     spark.stop()
     try:
         metrics = group_metrics(logdir)
@@ -139,9 +150,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": {k: round(v, 3) for k, v in q.items()},
                 "sf": os.path.basename(sf_dir).replace("sf", ""),
-                "snapshot_rows": rows,
-                "summary_rows": summary_rows,
-                "direct_from_snapshots": {k: round(v, 3) for k, v in direct.items()},
+                **info,
                 "shuffle_write_mb_per_run": shuffle_mb,
                 "cpus": int(cpus),
                 "repeat": repeat,
