@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.operators.clean import drop_null_keys
-from trendlake.operators.summary import PEAK_VIDEO, SIGHTINGS, as_sightings
+from trendlake.operators.summary import PEAK_VIDEO, SIGHTINGS, as_sightings, peak_video_key
 from trendlake.plans.ordering import asc, desc, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -104,7 +104,7 @@ def peak_snapshots(snap: DataFrame) -> DataFrame:
     peak = (
         as_sightings(snap)
         .groupBy(VIDEO, COUNTRY)
-        .agg(F.sum(SIGHTINGS).alias("_n"), F.min("peak_video").alias("_first"))
+        .agg(F.sum(SIGHTINGS).alias("_n"), F.min(peak_video_key()).alias("_first"))
         .select(VIDEO, COUNTRY, "_n", *PEAK_VIDEO.restore("_first"))
     )
     return peak.select(

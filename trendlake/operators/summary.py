@@ -16,7 +16,7 @@ snapshots costs nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,23 @@ PEAK_MONTH = ArgMin.of(
 )
 
 
+# Inside a summary row, category and channel are grouping keys, so the
+# stored peak keys leave them out; readers widen them back (``peak_video_key``).
+_CONSTANT = (CATEGORY, CHANNEL)
+PEAK_VIDEO_SLIM = PEAK_VIDEO.without(_CONSTANT)
+PEAK_MONTH_SLIM = PEAK_MONTH.without(_CONSTANT)
+
+
+def peak_video_key() -> Column:
+    """The full W4 key of each summary row, ready for ``min``."""
+    return PEAK_VIDEO.widen(PEAK_VIDEO_SLIM, "peak_video")
+
+
+def peak_month_key() -> Column:
+    """The full W5 key of each summary row, ready for ``min``."""
+    return PEAK_MONTH.widen(PEAK_MONTH_SLIM, "peak_month")
+
+
 def is_summary(df: DataFrame) -> bool:
     return SIGHTINGS in df.columns
 
@@ -93,8 +110,8 @@ def as_sightings(snap: DataFrame) -> DataFrame:
         F.col("channel_subscriber_count").cast("long").alias("max_subscribers"),
         F.col("channel_view_count").cast("long").alias("max_channel_views"),
         F.col("channel_custom_url").alias("min_custom_url"),
-        PEAK_VIDEO.key().alias("peak_video"),
-        PEAK_MONTH.key().alias("peak_month"),
+        PEAK_VIDEO_SLIM.key().alias("peak_video"),
+        PEAK_MONTH_SLIM.key().alias("peak_month"),
     )
 
 

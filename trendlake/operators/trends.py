@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trendlake.functions.tags import clean_tag, long_enough, split_tags
 from trendlake.operators.clean import drop_null_keys
-from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings
+from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, peak_month_key
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -99,7 +99,7 @@ def video_trends(snap: DataFrame) -> DataFrame:
     peak = (
         _monthly(snap, keys)
         .groupBy(VIDEO, *keys)
-        .agg(F.sum(SIGHTINGS).alias(APPEARANCES), F.min("peak_month").alias("_first"))
+        .agg(F.sum(SIGHTINGS).alias(APPEARANCES), F.min(peak_month_key()).alias("_first"))
         .select(VIDEO, *keys, APPEARANCES, *PEAK_MONTH.restore("_first"))
     )
     top = first_per_group(

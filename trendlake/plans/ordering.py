@@ -107,6 +107,33 @@ class ArgMin:
         fields += [F.col(p).alias(f"p{j}") for j, p in enumerate(self.payload)]
         return F.struct(*fields)
 
+    def without(self, constant: Sequence[str]) -> "ArgMin":
+        """The same order with ``constant`` columns left out.  Inside a group
+        where those columns are constant both orders agree, so the slimmer key
+        can be reduced first and widened again with ``widen``."""
+        order = tuple(o for o in self.order if o.column not in constant)
+        return ArgMin(order, self.payload, tuple((c, t) for c, t in self.dtypes if c not in constant))
+
+    def widen(self, slim: "ArgMin", struct_col: str) -> Column:
+        """The full key from a reduced ``slim`` key (``self.without(...)``) plus
+        the current values of the left-out columns, which must be constant in
+        the rows that were reduced."""
+        types = dict(self.dtypes)
+        slim_index = {o.column: j for j, o in enumerate(slim.order)}
+        fields: list[Column] = []
+        for i, o in enumerate(self.order):
+            if o.column in slim_index:
+                j = slim_index[o.column]
+                fields.append(F.col(f"{struct_col}.n{j}").alias(f"n{i}"))
+                fields.append(F.col(f"{struct_col}.v{j}").alias(f"v{i}"))
+            else:
+                c = F.col(o.column)
+                fields.append(c.isNull().alias(f"n{i}"))
+                v = c if o.ascending else _descending_value(c, types[o.column])
+                fields.append(v.alias(f"v{i}"))
+        fields += [F.col(f"{struct_col}.p{j}").alias(f"p{j}") for j, _ in enumerate(self.payload)]
+        return F.struct(*fields)
+
     def restore(self, struct_col: str, skip: Sequence[str] = ()) -> list[Column]:
         """The original columns (names and types) from a reduced struct."""
         types = dict(self.dtypes)
