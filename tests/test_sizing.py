@@ -1,0 +1,30 @@
+import pytest
+
+from trendlake.plans.sizing import GiB, MiB, apply_runtime_conf, recommended_conf
+
+
+def test_100tb_on_1000_executors():
+    conf = recommended_conf(100 * 1024**4, executors=1000, cores_per_executor=8, executor_memory_bytes=32 * GiB)
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and 380_000 <= parts <= 420_000  # ~256 MiB each, whole waves
+    assert int(conf["spark.sql.files.maxPartitionBytes"]) == 256 * MiB
+
+
+def test_small_executors_get_smaller_partitions():
+    conf = recommended_conf(10 * 1024**4, executors=100, cores_per_executor=8, executor_memory_bytes=4 * GiB)
+    assert int(conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) < 256 * MiB
+
+
+def test_bad_shape_rejected():
+    with pytest.raises(ValueError):
+        recommended_conf(0, 1, 1)
+
+
+def test_apply_runtime_conf_returns_static_settings(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    static = apply_runtime_conf(spark, {"spark.sql.shuffle.partitions": "13", "spark.sql.codegen.cache.maxEntries": "2000"})
+    try:
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "13"
+        assert static == {"spark.sql.codegen.cache.maxEntries": "2000"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

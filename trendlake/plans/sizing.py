@@ -1,0 +1,59 @@
+"""Partition sizing for a cluster run.
+
+``recommended_conf`` derives the shuffle and split sizes from the input size
+and the cluster shape: partitions of about ``target`` bytes (smaller when a
+task's share of executor memory is small), a whole number of waves over all
+cores, and AQE left on to coalesce small partitions and split skewed ones.
+``apply_runtime_conf`` sets the settings a running session accepts and
+returns the static ones (for ``spark-submit --conf``).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import SparkSession
+
+MiB = 1 << 20
+GiB = 1 << 30
+DEFAULT_TARGET = 256 * MiB
+# Rows grow several times between compressed Parquet / shuffle bytes and the
+# in-memory form a sort or hash aggregate works on.
+EXPANSION = 4
+MEMORY_FRACTION = 0.6  # Spark's default unified memory fraction
+
+
+def recommended_conf(
+    input_bytes: int,
+    executors: int,
+    cores_per_executor: int,
+    executor_memory_bytes: int = 32 * GiB,
+    target_bytes: int = DEFAULT_TARGET,
+) -> dict[str, str]:
+    if input_bytes <= 0 or executors <= 0 or cores_per_executor <= 0:
+        raise ValueError("input size and cluster shape must be positive")
+    cores = executors * cores_per_executor
+    per_task_memory = executor_memory_bytes * MEMORY_FRACTION / cores_per_executor
+    part_bytes = int(max(16 * MiB, min(target_bytes, per_task_memory / EXPANSION)))
+    partitions = max(cores, math.ceil(input_bytes / part_bytes))
+    partitions = math.ceil(partitions / cores) * cores  # whole waves
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(part_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(part_bytes),
+        "spark.sql.codegen.cache.maxEntries": "2000",
+    }
+
+
+def apply_runtime_conf(spark: SparkSession, conf: dict[str, str]) -> dict[str, str]:
+    """Set every setting the running session can change; return the rest."""
+    static = {}
+    for key, value in conf.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+        else:
+            static[key] = value
+    return static
