@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.functions.tags import TAG_MIN_LENGTH_EXCLUSIVE, clean_tag, long_enough, split_tags
+from trendlake.functions.tags import clean_tag, long_enough, split_tags
 from trendlake.operators.clean import drop_null_keys
 from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, peak_month_key
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
@@ -53,14 +53,14 @@ def tag_counts(snap: DataFrame) -> DataFrame:
         .withColumn("tag", clean_tag(F.col("tag")))
     )
     # The second length rule applies to the cleaned tag, which is the grouping
-    # key, so it can run after the aggregate.  As a filter before it, Catalyst
-    # would push it under the projection and inline the whole cleaning
-    # expression, computing it twice per tag; an aggregated length cannot be
-    # pushed down.
+    # key, so it is folded into the count: short tags sum to NULL and are
+    # dropped after the aggregate.  As a filter before it, Catalyst would push
+    # it under the projection and inline the whole cleaning expression,
+    # computing it twice per tag; a condition on an aggregate cannot be pushed.
     counts = tags.groupBy(*TREND_KEYS, "tag").agg(
-        F.sum(SIGHTINGS).alias("tag_count"), F.max(F.length("tag")).alias("_len")
+        F.sum(F.when(long_enough(F.col("tag")), F.col(SIGHTINGS))).alias("tag_count")
     )
-    return counts.filter(F.col("_len") > TAG_MIN_LENGTH_EXCLUSIVE).drop("_len")
+    return counts.filter(F.col("tag_count").isNotNull())
 
 
 def top_tags(snap: DataFrame, n: int = DEFAULT_TAGS) -> DataFrame:
