@@ -71,3 +71,11 @@ def test_country_filter_pushes_below_the_rank_window(snap):
 def test_large_k_keeps_the_partial_group_limit(spark, snap):
     plan = physical_plan(top_channels(snap, k=5000), "simple")
     assert "WindowGroupLimit" in plan and ", Partial" in plan
+
+
+def test_tag_cleaning_is_not_inlined_into_a_pushed_filter(snap):
+    from trendlake.operators import tag_counts
+
+    plan = physical_plan(tag_counts(snap), "simple")
+    filters = [ln for ln in plan.splitlines() if "Filter" in ln]
+    assert filters and not any("translate(" in ln for ln in filters)
