@@ -55,3 +55,27 @@ def test_summary_stream_equals_batch_summary(spark):
     assert a == b
     for op in (top_channels, top_videos, video_trends):
         assert sorted(map(tuple, op(streamed).collect()), key=str) == sorted(map(tuple, op(cleaned).collect()), key=str)
+
+
+def test_summary_stream_with_bad_dates_and_null_keys(spark):
+    from tests.conftest import raw_rows
+    from tests.test_rankings import _random_rows
+    from trendlake.operators import sighting_summary, top_categories, video_trends
+    from trendlake.streaming import run_summary_stream
+
+    rows = _random_rows(11, n=300)
+    for i, r in enumerate(rows):
+        r["video_trending__date"] = ["2024.01.05", "2024.02.10", "bad", None][i % 4]
+    cleaned = clean_snapshots(raw_rows(spark, rows))
+    src, out, ckpt = (scratch_dir(spark, n) for n in ("bd-src", "bd-out", "bd-ckpt"))
+    first = F.col("video_id").isin("a", "b", "c")
+    cleaned.filter(first).write.mode("append").parquet(src)
+    run_summary_stream(spark, src, out, ckpt).awaitTermination()
+    cleaned.filter(~first).write.mode("append").parquet(src)
+    run_summary_stream(spark, src, out, ckpt).awaitTermination()
+    streamed = spark.read.parquet(out)
+    batch = sighting_summary(cleaned)
+    cols = batch.columns
+    assert sorted(map(tuple, streamed.select(*cols).collect()), key=str) == sorted(map(tuple, batch.select(*cols).collect()), key=str)
+    for op in (top_categories, video_trends):
+        assert sorted(map(tuple, op(streamed).collect()), key=str) == sorted(map(tuple, op(cleaned).collect()), key=str)
