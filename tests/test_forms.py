@@ -22,3 +22,19 @@ def test_same_rows_as_join_and_window_forms(spark, ours, theirs):
     a = ours(snap)
     b = theirs(snap).select(*a.columns)
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_same_rows_as_forms_on_random_frames_with_nulls(spark):
+    from tests.conftest import raw_rows
+    from tests.test_rankings import _random_rows
+
+    for seed in range(4):
+        rows = _random_rows(100 + seed, n=350)
+        for i, r in enumerate(rows):
+            r["video_trending__date"] = ["2024.01.05", "2024.01.20", "2024.02.01", "x", None][i % 5]
+            r["video_title"] = ["t1", "t2", None][i % 3]
+        snap = clean_snapshots(raw_rows(spark, rows))
+        for ours, theirs in CASES:
+            a = ours(snap, 3) if ours is not video_trends else ours(snap)
+            b = (theirs(snap, 3) if theirs is not forms.video_trends_window_form else theirs(snap)).select(*a.columns)
+            assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str), (seed, ours.__name__)
