@@ -13,7 +13,7 @@ Prints one JSON line.  Stages timed:
 ``direct_from_snapshots`` reports R1-R5 run straight on the cleaned table
 (same rows; not part of ``value``).
 
-Each query runs once to warm the JVM, then ``BENCH_REPEAT`` (default 3) times;
+Each query runs once to warm the JVM, then ``BENCH_REPEAT`` (default 5) times;
 the median is reported.  ``value`` is the sum of the medians.
 """
 
@@ -121,7 +121,7 @@ def _stages(spark, sf_dir: str, repeat: int, q: dict, info: dict) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)
     logdir = tempfile.mkdtemp(prefix="trendlake-bench-eventlog-")
     spark = get_session(
