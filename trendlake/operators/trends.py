@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from trendlake.functions.tags import clean_tag, long_enough, split_tags
 from trendlake.operators.clean import drop_null_keys
-from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, peak_month_key
+from trendlake.functions.dates import parse_trending_date
+from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, is_summary, peak_month_key
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -21,6 +22,7 @@ from trendlake.schema import (
     COUNTRY,
     LIKES,
     MONTH,
+    TRENDING_DATE,
     VIDEO,
     VIEWS,
     YEAR,
@@ -31,8 +33,17 @@ DEFAULT_TAGS = 5
 
 
 def _monthly(snap: DataFrame, keys: list[str]) -> DataFrame:
-    """Summary-shaped rows with all ``keys`` present (NULL keys dropped)."""
-    return drop_null_keys(as_sightings(snap), keys)
+    """Summary-shaped rows with all ``keys`` present (NULL keys dropped).
+
+    For raw snapshots the month keys are NULL exactly when the trending date
+    does not parse, so that is tested once on the date itself; a filter on
+    the derived year and month would be pushed below their projection and
+    parse the date once more for each of them.
+    """
+    if is_summary(snap):
+        return drop_null_keys(snap, keys)
+    dated = snap.filter(parse_trending_date(TRENDING_DATE).isNotNull())
+    return drop_null_keys(as_sightings(dated), [k for k in keys if k not in (YEAR, MONTH)])
 
 
 def tag_counts(snap: DataFrame) -> DataFrame:
