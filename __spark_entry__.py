@@ -66,6 +66,12 @@ from trendlake.schema import CATEGORY_TRENDS, COUNTRY, RESULT_TABLES
 from trendlake.session import scratch_dir
 from trendlake.sources import export_csv, publish, publishable, read_results_csv
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline
+    from trendlake.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -242,6 +248,11 @@ def _q_publish_lookup(spark, sf):
 
 
 def queries() -> dict[str, Q]:
+    extra = {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run} if llm_queries else {}
+    return _own_queries() | extra
+
+
+def _own_queries() -> dict[str, Q]:
     c = oracle.LOOKUP_COUNTRY
     return {
         # R0-R5 and their parts
@@ -299,6 +310,13 @@ def queries() -> dict[str, Q]:
 
 
 def oracle_sql() -> dict[str, str]:
+    extra = dict(llm_queries.ORACLE_SQL) if llm_queries else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return _own_oracle_sql() | extra
+
+
+def _own_oracle_sql() -> dict[str, str]:
     o = oracle
     return {
         "clean_snapshots": o.CLEAN,
