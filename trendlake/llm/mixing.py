@@ -63,7 +63,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return found.select("source", "source_size", F.least(max_epochs * F.col("source_size"), F.col("level") * F.col("w")).cast("double").alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", buckets: int = 65_536) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", buckets: int = 4_096) -> DataFrame:
     """A row per source: source, source_size, target, epochs, and up to which bucket and key another copy is taken."""
     keyed = cut(with_keys(docs.select("doc_id", "source", "text"), seed, buckets).select("source", "mix.*"), "mix-keys")
     filled = cut(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
@@ -83,7 +83,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return cut(targets.join(ends, same("s"), "left").select("source", "source_size", "target", "epochs", F.coalesce("last_bucket", F.lit(-1)).alias("last_bucket"), "last"), "mix-plan")
 
 
-def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", buckets: int = 65_536) -> DataFrame:
+def with_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", buckets: int = 4_096) -> DataFrame:
     """``docs`` with a struct column ``mix``: size, source_size, target, copies and taken (words)."""
     plan = plan_mix(docs, weights, max_epochs, seed, buckets).withColumnRenamed("source", "plan_source")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
