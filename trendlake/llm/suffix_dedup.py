@@ -257,6 +257,7 @@ def repeated_strings(docs: DataFrame, length: int = 200, hot: int = 20_000) -> D
     placed = different.join(hot_keys, "key", "left").withColumn("shard", F.coalesce("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))).where("size > 0")
     wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "shard", "key", "digest", "copies", "lo", "size")).alias("wanted")).withColumnRenamed("doc_id", "id")
     cut_out = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("text", "wanted").mapInArrow(_cut_segments, "shard long, key long, digest long, copies long, bytes binary")
+    cut_out = cut(cut_out, "segment-bytes")  # read by both ways below; the texts are shuffled once for it
     # rows of one doc_id with the same text cut the same segment more than once
     cold = cut_out.where("shard >= 0").repartition("shard").sortWithinPartitions("shard", "key", "digest").mapInArrow(_search_shards(length), f"key long, digest long, spans {SPANS}")
     spans = cold
