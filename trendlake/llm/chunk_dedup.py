@@ -137,7 +137,7 @@ def repeated_chunks(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = cut(texts.mapInArrow(_chunk_rows, "digest long, doc_id long, mark int, lo int, size int"), "chunks")
     place = F.struct("doc_id", "mark", "lo")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
+    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     repeats = chunks.join(first, "digest").where(~place.eqNullSafe(F.col("first")))
     merged = repeats.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "size")).alias("repeats"))
     found = texts.join(merged, texts.doc_id.eqNullSafe(merged.id), "left").select("doc_id", "text", "repeats")
