@@ -120,8 +120,15 @@ _PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int, dictionary_bytes: int) -> bytes:
-    """A zstandard dictionary from the first 4,096 ids of ``sample`` documents, the least by a hash of their id and text."""
-    rows = docs.select(F.substring("text", 1, 16_384).alias("text"), F.xxhash64("doc_id", F.length("text")).alias("rank")).where("text is not null").orderBy("rank").limit(sample).select("text").collect()
+    """A zstandard dictionary from the first 4,096 ids of at most ``sample`` documents, the least by a hash of their id.
+
+    The hash is cut off where about ``sample`` documents are expected below it, so that no
+    more than those leave their tasks.
+    """
+    held = docs.where("text is not null").select("doc_id", "text")
+    share = min(1.0, 1.2 * sample / max(1, held.count()))
+    rank = F.xxhash64("doc_id") / float(1 << 64) + 0.5
+    rows = held.where(rank <= share).select(F.substring("text", 1, 16_384).alias("text"), rank.alias("rank")).orderBy("rank").limit(sample).select("text").collect()
     ids, firsts = WordEncoder.of(tokenizer).encode(pa.array([r["text"] for r in rows], pa.large_string()))
     samples = [np.append(ids[a:b][:4096], end_id).astype(f"<u{width}").tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
     try:
