@@ -19,8 +19,11 @@ themselves).  Two documents link when ``100 * |x & y| >= percent * |x | y|``.
 4. In a group, DivideSkip answers each member's query: its lists in the group are
    sorted by length, the longest are set aside, the short ones are merged by count,
    documents that may still reach the overlap are probed for by binary search in the
-   long lists.  Only links leave the task, as edges to the representative of what is
-   linked already, so linked copies are not expanded into all pairs.
+   long lists.  It runs twice.  First over wide prefixes (half as many shingles again, 32
+   bits of each), where linked sets must share one shingle more than both hold beyond their
+   prefixes: members without such a partner in the group leave it.  Then over the whole
+   sets of those that stay.  Only links leave the task, as edges to the representative
+   of what is linked already, so linked copies are not expanded into all pairs.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; a text of fewer than ``k`` words is one shingle; repeated rows of one
@@ -65,6 +68,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
+def extra_length(p: int) -> int:
+    """How many shingles beyond the prefix of length ``p`` the wide prefix holds (fewer where the set ends)."""
+    return max(2, p // 2)
+
+
 def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
     """Lower borders such that sizes in proportion ``percent`` are at most one class apart."""
     borders = [1]
@@ -97,7 +105,7 @@ def _set_rows(k: int, percent: int, long: np.ndarray):
     def run(batches):
         for part in _slices(batches):
             sets = shingle_sets(part.column("text"), k)
-            digests, firsts = [], []
+            digests, firsts, wide = [], [], []
             for s in sets:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 is_long = np.zeros(len(s), bool)
@@ -105,16 +113,19 @@ def _set_rows(k: int, percent: int, long: np.ndarray):
                     at = np.searchsorted(long, s)
                     at[at == len(long)] = 0
                     is_long = long[at] == s
-                firsts.append(np.concatenate([s[~is_long], s[is_long]])[:prefix_length(len(s), percent)] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _flat(firsts)],
-                                             names=["doc_id", "n", "digest", "firsts"])
+                ordered = np.concatenate([s[~is_long], s[is_long]])
+                p = prefix_length(len(s), percent) if len(s) else 0
+                firsts.append(ordered[:p])
+                wide.append((ordered[:p + extra_length(p)] >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _flat(firsts), pa.array(wide, pa.binary())],
+                                             names=["doc_id", "n", "digest", "firsts", "wide"])
     return run
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, tags: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Index pairs of linked sets, as edges that connect every linked pair (not each of them).
+def t_occurrences(sets: list[np.ndarray], need: np.ndarray, allow):
+    """DivideSkip: for each member ``x``, the later members ``y`` that share ``need[x]`` tokens or more, and how many.
 
-    ``tags``: where given, only pairs of different tags are looked for.
+    ``allow(x, ys)`` tells which of some members are of interest as partners of ``x``.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -122,84 +133,129 @@ def divide_skip(sets: list[np.ndarray], percent: int, tags: np.ndarray | None =
     owners = np.repeat(np.arange(m, dtype=np.int32), sizes)
     order = np.lexsort((owners, tokens))
     tokens, owners = tokens[order], owners[order]
-    begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    begins = np.flatnonzero(new)
     lengths = np.diff(np.append(begins, len(tokens)))
-    rank = np.cumsum(np.concatenate([[0], (tokens[1:] != tokens[:-1]).astype(np.int64)]))
     lists_of = np.empty(len(tokens), np.int64)
-    lists_of[order] = rank
+    lists_of[order] = np.cumsum(new) - 1
     at = np.concatenate([[0], np.cumsum(sizes)])
-    edges, root = [], np.arange(m)
     for x in range(m):
+        least = int(need[x])
         mine = lists_of[at[x]:at[x + 1]]
         mine = mine[lengths[mine] > 1]
-        need = -(-percent * int(sizes[x]) // 100)  # a linked set shares at least this many
-        if len(mine) < need:
+        if len(mine) < least:
             continue
         mine = mine[np.argsort(lengths[mine], kind="stable")]
         longest = int(lengths[mine[-1]])
-        aside = min(need - 1, int(need / (0.01 * math.log2(longest) + 1)))
+        aside = max(0, min(least - 1, int(least / (0.01 * math.log2(longest) + 1))))
         short, skipped = mine[:len(mine) - aside], mine[len(mine) - aside:]
         spans = lengths[short]
         ends = np.cumsum(spans)
         merged = owners[np.repeat(begins[short] - (ends - spans), spans) + np.arange(ends[-1])]
         counts = np.bincount(merged, minlength=m)
-        open_ = np.flatnonzero(counts >= need - aside)
-        open_ = open_[(open_ > x) & (root[open_] != root[x])]
-        if tags is not None:
-            open_ = open_[tags[open_] != tags[x]]
-        low, high = np.minimum(sizes[open_], sizes[x]), np.maximum(sizes[open_], sizes[x])
-        open_ = open_[100 * low >= percent * high]
-        if not len(open_):
-            continue
-        overlap = counts[open_].astype(np.int64)
-        for k in range(len(skipped)):
-            found = owners[begins[skipped[k]]:begins[skipped[k]] + lengths[skipped[k]]]
-            place = np.searchsorted(found, open_)
+        ys = np.flatnonzero(counts >= max(1, least - aside))
+        ys = ys[ys > x]
+        ys = ys[allow(x, ys)]
+        overlap = counts[ys].astype(np.int64)
+        for k, of in enumerate(skipped.tolist()):
+            if not len(ys):
+                break
+            found = owners[begins[of]:begins[of] + lengths[of]]
+            place = np.searchsorted(found, ys)
             place[place == len(found)] = 0
-            overlap += found[place] == open_
+            overlap += found[place] == ys
             if k % 16 == 15:
-                alive = overlap + (len(skipped) - 1 - k) >= need
-                open_, overlap = open_[alive], overlap[alive]
-                if not len(open_):
-                    break
-        linked = open_[100 * overlap >= percent * (sizes[open_] + sizes[x] - overlap)]
-        for y in linked.tolist():
+                alive = overlap + (len(skipped) - 1 - k) >= least
+                ys, overlap = ys[alive], overlap[alive]
+        enough = overlap >= least
+        if enough.any():
+            yield x, ys[enough], overlap[enough]
+
+
+def divide_skip(sets: list[np.ndarray], percent: int, tags: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of linked sets, as edges that connect every linked pair (not each of them).
+
+    ``tags``: where given, only pairs of different tags are looked for.
+    """
+    sizes = np.array([len(s) for s in sets])
+    root = np.arange(len(sets))
+    edges = []
+
+    def allow(x, ys):
+        return (root[ys] != root[x]) & _near(sizes, x, ys, percent) & (True if tags is None else tags[ys] != tags[x])
+
+    for x, ys, overlap in t_occurrences(sets, -(-percent * sizes // 100), allow):
+        for y in ys[100 * overlap >= percent * (sizes[ys] + sizes[x] - overlap)].tolist():
             if root[y] != root[x]:
                 edges.append((x, y))
                 root[root == root[y]] = root[x]
     return edges
 
 
-def _search(percent: int):
-    """Links of every group; rows come sorted by group, so a group is whole before the next begins."""
+def _near(sizes: np.ndarray, x: int, ys: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(sizes[ys], sizes[x]) >= percent * np.maximum(sizes[ys], sizes[x])
+
+
+def with_partner(wide: list[np.ndarray], sizes: np.ndarray, percent: int, tags: np.ndarray | None = None) -> np.ndarray:
+    """Which members may be linked with another one, by their wide prefixes: linked sets share one shingle more than both have beyond their prefixes."""
+    extra = np.array([len(w) - prefix_length(int(n), percent) for w, n in zip(wide, sizes)])
+    out = np.zeros(len(wide), bool)
+
+    def allow(x, ys):
+        return ~(out[x] & out[ys]) & _near(sizes, x, ys, percent) & (True if tags is None else tags[ys] != tags[x])
+
+    for x, ys, overlap in t_occurrences(wide, np.full(len(wide), 1 + extra.min()), allow):
+        ys = ys[overlap > np.minimum(extra[ys], extra[x])]
+        if len(ys):
+            out[x] = out[ys] = True
+    return out
 
-    def links(ids, blocks, sets):
-        tags = np.array(blocks)
-        across = None if len(set(blocks)) < 2 else tags
-        found = divide_skip([np.frombuffer(s, np.uint64) for s in sets], percent, across)
-        return [(ids[a], ids[b]) for a, b in found]
 
+def _by_group(columns: tuple[str, ...], solve, names: list[str]):
+    """``solve(group, rows)`` for each run of rows with one (pivot, low, high); a group is whole before the next begins."""
     def run(batches):
-        key, ids, blocks, sets = None, [], [], []
+        key, rows = None, []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "low", "high", "block", "node", "shingles"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "low", "high", *columns))):
                 if row[:3] != key:
-                    if len(ids) > 1:
-                        out += links(ids, blocks, sets)
-                    key, ids, blocks, sets = row[:3], [], [], []
-                blocks.append(row[3])
-                ids.append(row[4])
-                sets.append(row[5])
-            yield _edges(out)
-        if len(ids) > 1:
-            yield _edges(links(ids, blocks, sets))
-
+                    if len(rows) > 1:
+                        out += solve(key, rows)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            yield _longs(out, names)
+        if len(rows) > 1:
+            yield _longs(solve(key, rows), names)
     return run
 
 
-def _edges(pairs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _longs(rows, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+
+
+def _tags(rows) -> np.ndarray | None:
+    """The blocks of a group's rows where it compares two of them."""
+    blocks = np.array([r[0] for r in rows])
+    return blocks if len(set(blocks.tolist())) > 1 else None
+
+
+def _filter(percent: int):
+    def solve(key, rows):
+        if key[1] != key[2] and _tags(rows) is None:
+            return []
+        keep = with_partner([np.frombuffer(r[3], np.uint32) for r in rows], np.array([r[2] for r in rows]), percent, _tags(rows))
+        return [(*key, r[0], r[1]) for r, k in zip(rows, keep) if k]
+
+    return _by_group(("block", "node", "n", "wide"), solve, ["pivot", "low", "high", "block", "node"])
+
+
+def _search(percent: int):
+    def solve(key, rows):
+        if key[1] != key[2] and _tags(rows) is None:
+            return []
+        return [(rows[a][1], rows[b][1]) for a, b in divide_skip([np.frombuffer(r[2], np.uint64) for r in rows], percent, _tags(rows))]
+
+    return _by_group(("block", "node", "shingles"), solve, ["a", "b"])
 
 
 def _member_sets(k: int):
@@ -224,7 +280,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     counted = texts.mapInArrow(_prefix_hashes(k, percent), "h long").groupBy("h").count().where(F.col("count") >= LONG_LIST)
     long = np.array([r["h"] for r in counted.orderBy(F.desc("count"), "h").limit(max_long).select("h").collect()], np.int64).view(np.uint64)
     long = texts.sparkSession.sparkContext.broadcast(np.sort(long))  # at most max_long * 8 bytes
-    rows = cut(texts.mapInArrow(lambda b: _set_rows(k, percent, long.value)(b), "doc_id long, n long, digest binary, firsts array<long>"), "sets")
+    rows = cut(texts.mapInArrow(lambda b: _set_rows(k, percent, long.value)(b), "doc_id long, n long, digest binary, firsts array<long>, wide binary"), "sets")
 
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("firsts", "doc_id").alias("firsts"))
     postings = classes.select(F.col("rep").alias("node"), "n", F.explode("firsts").alias("h"))
@@ -239,12 +295,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = members.join(sizes, "pivot").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    group = F.struct("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("block"))
-    wanted = placed.select("node", group.alias("g")).groupBy("node").agg(F.collect_list("g").alias("groups"))
+    placed = placed.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("block"), "node")
+    dealt = lambda df: df.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    narrow = placed.join(rows.select(F.col("doc_id").alias("node"), "n", "wide"), "node").select("pivot", "low", "high", "block", "node", "n", "wide")
+    kept = cut(dealt(narrow).mapInArrow(_filter(percent), "pivot long, low long, high long, block long, node long"), "partners")
+    wanted = kept.distinct().groupBy("node").agg(F.collect_list(F.struct("pivot", "low", "high", "block")).alias("groups"))
     held = texts.join(wanted, texts.doc_id == wanted.node).select("doc_id", "text", "groups")
     sent = held.mapInArrow(_member_sets(k), "pivot long, low long, high long, block long, node long, shingles binary")
-    grouped = sent.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    links = grouped.mapInArrow(_search(percent), "a long, b long")
+    links = dealt(sent).mapInArrow(_search(percent), "a long, b long")
 
     joined = components(links)
     return _with_components(rows, classes, joined)
