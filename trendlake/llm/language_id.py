@@ -131,7 +131,10 @@ def learn(labelled: DataFrame, pieces: list[str], label: str = "lang", words_per
     """The languages and log probabilities (languages x pieces) from the rows' ``text`` and label."""
     words = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where(f"w <> '' and length(w) <= {MAX_WORD}")
     counted = words.groupBy("lang", "w").count()
-    best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= words_per_language)
+    # a language may have most of the words: the best of each of 64 shares first, then the best of those
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("count"), "w")
+    best = counted.withColumn("r", F.row_number().over(share)).where(F.col("r") <= words_per_language)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= words_per_language)
     rows = best.select("lang", "w", "count").collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
