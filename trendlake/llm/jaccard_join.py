@@ -19,9 +19,9 @@ themselves).  Two documents link when ``100 * |x & y| >= percent * |x | y|``.
 4. In a group, DivideSkip answers each member's query: its lists in the group are
    sorted by length, the longest are set aside, the short ones are merged by count,
    documents that may still reach the overlap are probed for by binary search in the
-   long lists.  It runs twice.  First over wide prefixes (half as many shingles again, 32
-   bits of each), where linked sets must share one shingle more than both hold beyond their
-   prefixes: members without such a partner in the group leave it.  Then over the whole
+   long lists.  It runs twice.  First over wide prefixes (four times as many shingles, 16
+   bits of each, which can only add to an overlap), where linked sets must share one shingle
+   more than both hold beyond their prefixes: members without such a partner in the group leave it.  Then over the whole
    sets of those that stay.  Only links leave the task, as edges to the representative
    of what is linked already, so linked copies are not expanded into all pairs.
 
@@ -70,7 +70,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def extra_length(p: int) -> int:
     """How many shingles beyond the prefix of length ``p`` the wide prefix holds (fewer where the set ends)."""
-    return max(2, p // 2)
+    return max(2, 3 * p)
 
 
 def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -116,7 +116,7 @@ def _set_rows(k: int, percent: int, long: np.ndarray):
                 ordered = np.concatenate([s[~is_long], s[is_long]])
                 p = prefix_length(len(s), percent) if len(s) else 0
                 firsts.append(ordered[:p])
-                wide.append((ordered[:p + extra_length(p)] >> np.uint64(32)).astype(np.uint32).tobytes())
+                wide.append((ordered[:p + extra_length(p)] >> np.uint64(20)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _flat(firsts), pa.array(wide, pa.binary())],
                                              names=["doc_id", "n", "digest", "firsts", "wide"])
     return run
@@ -243,7 +243,7 @@ def _filter(percent: int):
     def solve(key, rows):
         if key[1] != key[2] and _tags(rows) is None:
             return []
-        keep = with_partner([np.frombuffer(r[3], np.uint32) for r in rows], np.array([r[2] for r in rows]), percent, _tags(rows))
+        keep = with_partner([np.frombuffer(r[3], np.uint16) for r in rows], np.array([r[2] for r in rows]), percent, _tags(rows))
         return [(*key, r[0], r[1]) for r, k in zip(rows, keep) if k]
 
     return _by_group(("block", "node", "n", "wide"), solve, ["pivot", "low", "high", "block", "node"])
