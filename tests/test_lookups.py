@@ -36,7 +36,9 @@ def test_browse_filters_pages_and_rejects_unknown_columns(spark, cats):
     assert [r.rank for r in page] == [3, 4, 5, 6]
     with pytest.raises(KeyError):
         browse(cats, {"nope": 1})
-    assert browse(cats, limit=10**9).count() == cats.count()  # cap 10,000 > table
+    with pytest.raises(ValueError):
+        browse(cats, limit=10**9)
+    assert browse(cats, limit=20_000, max_page=20_000).count() == cats.count()
 
 
 def test_country_report_has_five_parts(spark, cats):

@@ -7,8 +7,8 @@ triggering an action.  Sub-packages:
 * ``functions`` – Column -> Column helpers (built-in Spark expressions only)
 * ``operators`` – cleaning, rankings, trends, lookups, exploration, display,
                   dimension joins and table-constraint checks
-* ``plans``     – ordering keys, bounded broadcast, plan inspection helpers
-* ``streaming`` – incremental (file-stream) form of the cleaning job
+* ``plans``     – ordering keys and plan inspection helpers
+* ``llm``       – training-data operators (optional; nothing else imports it)
 """
 
 from trendlake.session import get_session, scratch_dir

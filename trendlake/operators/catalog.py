@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 # Statement kinds the ad-hoc endpoint accepts.
 READ_ONLY_PREFIXES = ("SELECT", "SHOW", "DESCRIBE", "WITH")
-# Built-in functions that call arbitrary JVM methods; refused in ad-hoc SQL.
-_SIDE_EFFECT_FUNCTIONS = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
+# Plan nodes that run scripts or arbitrary JVM methods; refused in ad-hoc SQL.
+_REFUSED_NODES = {"ScriptTransformation", "CallMethodViaReflection", "TryReflect"}
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -66,12 +66,13 @@ def readonly_sql(spark: SparkSession, sql: str) -> DataFrame:
     head = text.upper()
     if not head.startswith(READ_ONLY_PREFIXES):
         raise ReadOnlyViolation("Only SELECT / SHOW / DESCRIBE / WITH queries are allowed")
-    if _SIDE_EFFECT_FUNCTIONS.search(text):
-        raise ReadOnlyViolation("JVM reflection functions are not allowed")
     if head.startswith(("SELECT", "WITH")):
         probe = f"_readonly_probe_{uuid.uuid4().hex}"
         try:
             spark.sql(f"CREATE TEMPORARY VIEW {probe} AS {text}")
+            plan = spark.table(probe)._jdf.queryExecution().analyzed().prettyJson()
+            if _REFUSED_NODES & set(re.findall(r'"class"\s*:\s*"[\w.$]*?(\w+)"', plan)):
+                raise ReadOnlyViolation("scripts and JVM reflection are not allowed")
         except AnalysisException as e:  # parse errors included
             if "PARSE_SYNTAX_ERROR" in str(e) or "ParseException" in type(e).__name__:
                 raise ReadOnlyViolation(f"not a read-only query: {e}") from e

@@ -1,8 +1,7 @@
 """A country dimension next to the result tables.
 
 The dimension is passed in as a DataFrame (it is a small reference list).
-It is broadcast only after a row-count bound is checked; beyond the bound
-the joins fall back to shuffle joins.
+Joins are plain: Spark broadcasts the dimension if its bytes allow it.
 """
 
 from __future__ import annotations
@@ -13,19 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.text import contains_ci, highlight_parts
-from trendlake.plans.joins import bounded_broadcast
 from trendlake.schema import COUNTRY
 
 SEARCH_RESULTS = 8
-MAX_DIM_ROWS = 10_000
 
 
 def enrich_country(df: DataFrame, dim: DataFrame, dim_key: str = "name", df_key: str = COUNTRY) -> DataFrame:
     """Attach dimension columns by name, ISO code or numeric code (left join)."""
-    d = bounded_broadcast(dim, MAX_DIM_ROWS)
     cond = F.col(f"_l.{df_key}") == F.col(f"_d.{dim_key}")
     extra = [F.col(f"_d.{c}") for c in dim.columns if c != dim_key and c not in df.columns]
-    return df.alias("_l").join(d.alias("_d"), cond, "left").select("_l.*", *extra)
+    return df.alias("_l").join(dim.alias("_d"), cond, "left").select("_l.*", *extra)
 
 
 def country_coverage(

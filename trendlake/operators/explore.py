@@ -18,13 +18,11 @@ from pyspark.sql import types as T
 from trendlake.functions.dates import date_part_text
 from trendlake.functions.tags import parse_tags
 from trendlake.functions.values import first_present, number_or_zero, to_number
-from trendlake.plans.joins import bounded_broadcast
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, YEAR
 
 LEADING = 5
 PINNED_TAGS = 5
-MAX_LISTED_KEYS = 100_000
 # Y-axis head room of the trend charts and the smallest axis top.
 Y_HEADROOM = 1.1
 Y_MIN_TOP = 1.0
@@ -146,18 +144,16 @@ def pinned_points(rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str =
     ``rows`` are one country's trend rows (R7 shape).  The name is the
     category (``kind='category'``) or the video title (``kind='video'``);
     the date is the date part of ``date``.  Keys without a row are dropped.
-    A key list from the caller is broadcast (bounded by construction); a key
-    DataFrame (``pos``, ``key``) is broadcast only under the row bound.
+    Keys come as a list or as a DataFrame (``pos``, ``key``); the join is a plain
+    one, so Spark broadcasts them by their bytes or not at all.
     """
     if kind not in ("category", "video"):
         raise ValueError("kind must be 'category' or 'video'")
     if isinstance(keys, DataFrame):
-        key_df = bounded_broadcast(keys.select("pos", "key"))
+        key_df = keys.select("pos", "key")
     else:
         spark = rows.sparkSession
-        listed = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "pos int, key string")
-        # the list's length is its proven size; very long lists take the checked path
-        key_df = F.broadcast(listed) if len(keys) <= MAX_LISTED_KEYS else bounded_broadcast(listed)
+        key_df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "pos int, key string")
     if kind == "category":
         name = F.coalesce(F.col("category").cast("string"), F.lit("null"))
     else:
@@ -218,14 +214,9 @@ def category_share(top_categories: DataFrame, by: Sequence[str] = (COUNTRY,)) ->
     """R12 (A14, W8): each category's total views as a percentage of the
     largest total in its country's list (the bar length).
 
-    The per-country maximum is a partially aggregated group-by (one row per
-    country), joined back under a row bound, so even a large input with one
-    dominant country never gathers that country in a single task.
+    The input is a top-k list, so a country's window holds at most k rows and the
+    list is computed once.
     """
     v = F.coalesce(F.col("total_views").cast("double"), F.lit(0.0))
-    keyed = top_categories.withColumn("_v", v)
-    mx = keyed.groupBy(*by).agg(F.max("_v").alias("_max"))
-    joined = keyed.join(bounded_broadcast(mx), on=list(by), how="left")
-    return joined.withColumn("share_pct", F.try_divide(F.col("_v"), F.col("_max")) * 100).drop("_v", "_max").select(
-        *top_categories.columns, "share_pct"
-    )
+    largest = F.max(v).over(Window.partitionBy(*by))
+    return top_categories.withColumn("share_pct", F.try_divide(v, largest) * 100)

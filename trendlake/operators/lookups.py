@@ -107,18 +107,21 @@ def browse(
     offset: int | str | None = 0,
     order_by: Sequence[str] | None = None,
     table_name: str | None = None,
+    max_page: int = MAX_PAGE_SIZE,
 ) -> DataFrame:
     """C4 = P11 + L4: equality filters on named columns, then a page.
 
     Unknown filter columns are rejected (they are never spliced into SQL).
     Pages follow a stable order: ``order_by``, else the table's primary key,
-    else all columns.  The page size is capped at 10,000.
+    else all columns.  A page of more than ``max_page`` rows is refused.
     """
     filters = dict(filters or {})
     unknown = [k for k in filters if k not in table.columns]
     if unknown:
         raise KeyError(f"unknown column(s): {', '.join(sorted(unknown))}")
-    n = min(int(PAGE_SIZE if limit is None else limit), MAX_PAGE_SIZE)
+    n = int(PAGE_SIZE if limit is None else limit)
+    if n > max_page:
+        raise ValueError(f"a page has at most {max_page} rows")
     skip = int(0 if offset is None else offset)
     if n < 0 or skip < 0:
         raise ValueError("limit and offset must not be negative")

@@ -2,12 +2,10 @@
 
 * ``ordering`` – total orders, top-k per group (window + WindowGroupLimit) and
   arg-min per group as a partially aggregated struct minimum.
-* ``joins``    – broadcast only behind a runtime row-count bound.
 * ``inspect``  – physical-plan text for plan tests.
 """
 
 from trendlake.plans.inspect import physical_plan, plan_nodes
-from trendlake.plans.joins import bounded_broadcast, join_small
 from trendlake.plans.ordering import ArgMin, Order, asc, desc, first_per_group, top_k_per_group
 
 __all__ = [
@@ -17,8 +15,6 @@ __all__ = [
     "desc",
     "first_per_group",
     "top_k_per_group",
-    "bounded_broadcast",
-    "join_small",
     "physical_plan",
     "plan_nodes",
 ]

@@ -50,14 +50,14 @@ def top_k_per_group(
     k: int,
     rank_col: str = "rank",
 ) -> DataFrame:
-    """Keep the first ``k`` rows of every partition and number them 1..k."""
+    """Keep the first ``k`` rows of every partition and number them 1..k.
+
+    The partial WindowGroupLimit is planned for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).  A session that
+    asks for longer lists should raise that setting itself.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    # The partial WindowGroupLimit is only planned for k up to this threshold;
-    # above it every row of a partition would reach one task.
-    conf = df.sparkSession.conf
-    if k > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
     w = Window.partitionBy(*partition_by).orderBy(*[o.as_sort_column() for o in order])
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 

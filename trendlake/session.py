@@ -35,7 +35,8 @@ def get_session(master: str | None = None, app: str = "trendlake", **conf: str)
     """Local session with AQE on and the UI off.  Extra ``conf`` overrides defaults."""
     master = master or "local[*]"
     builder = SparkSession.builder.master(master).appName(app)
-    settings = {**_LOCAL_DEFAULTS, **conf}
+    # Partition counts and memory for one machine hold for local masters only.
+    settings = {**_LOCAL_DEFAULTS, **conf} if master.startswith("local") else conf
     if master.startswith("local"):
         # Local runs keep managed tables out of the working directory.
         settings.setdefault(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlake.sources.snapshots import CSV_OPTIONS
+from trendlake.sources.snapshots import read_csv_by_header
 
 
 def read_results_csv(
@@ -21,7 +21,7 @@ def read_results_csv(
     NULL, and empty cells -- quoted or not -- become NULL.  ``columns`` renames
     header names to column names; ``schema`` then types the columns by name
     (``try_cast``: a bad cell becomes NULL instead of failing the load)."""
-    df = spark.read.options(**CSV_OPTIONS, mode="PERMISSIVE").csv(path)
+    df = read_csv_by_header(spark, path, mode="PERMISSIVE")
     if columns:
         df = df.withColumnsRenamed(dict(columns))
     df = df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in df.columns])
