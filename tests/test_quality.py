@@ -31,3 +31,16 @@ def test_varchar_and_decimal_checks(spark):
     assert s[("varchar_255", "video_category_id")] == 1
     assert s[("decimal_10_4", "engagement_rating")] == 1
     assert s[("primary_key", "video_trending_country,rank")] == 0
+
+
+def test_equal_violations_are_counted_in_one_scan(spark):
+    df = trends(spark, [("US", "M", 2024, 13, 1, 1, None)] * 3 + [("US", "NULL", 2024, 1, 1, 1, None), ("US", None, 2024, 1, 1, 1, None)])
+    v = check_constraints(df, "category_trends_over_time")
+    got = sorted((r.check_name, r.row_key, r.value, r.rows) for r in v.collect())
+    assert got == [("month_range", "US|M|2024|13", "13", 3), ("not_null", "US|NULL|2024|1", None, 1), ("primary_key", "US|M|2024|13", "3", 3)]
+
+
+def test_empty_table_has_no_violations(spark):
+    df = trends(spark, [])
+    assert check_constraints(df, "category_trends_over_time").collect() == []
+    assert {r.violations for r in constraint_summary(df, "category_trends_over_time").collect()} == {0}

@@ -1,16 +1,13 @@
 """The result store's declared constraints as queries.
 
 Parquet tables do not enforce PRIMARY KEY, CHECK or NOT NULL, so each
-constraint becomes a filter or a grouped count.  ``check_constraints`` lists
-violating rows; ``constraint_summary`` gives one row per declared check with
-its violation count (zero included), in one pass for the row checks plus one
-aggregate for the key check.
+constraint becomes a condition or a grouped count.  ``check_constraints`` lists
+violations; ``constraint_summary`` gives one row per declared check with its
+violation count (zero included).  Each reads its table once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +16,6 @@ from trendlake.schema import RESULT_TABLES, TableSpec
 
 MAX_VARCHAR = 255
 
-_OUT = "table_name string, check_name string, column_name string, row_key string, value string"
 
 
 def _spec(table: str | TableSpec) -> TableSpec:
@@ -49,55 +45,56 @@ def _key_text(spec: TableSpec) -> Column:
 
 
 def check_constraints(df: DataFrame, table: str | TableSpec) -> DataFrame:
-    """Violating rows: (table, check, column, primary-key text, offending value)."""
+    """Violations: (table, check, column, primary-key text, offending value, rows).
+
+    One scan: every row becomes the list of its failed checks plus one entry
+    for its key, and equal entries of a key are counted (combined map-side).
+    ``rows`` tells how many rows of that key carry the same violation; for
+    the key check, ``value`` is that number too.
+    """
     spec = _spec(table)
-    parts = []
-    for check, col, bad in _row_checks(spec, df.columns):
-        parts.append(
-            df.filter(bad).select(
-                F.lit(spec.name).alias("table_name"), F.lit(check).alias("check_name"),
-                F.lit(col).alias("column_name"), _key_text(spec).alias("row_key"),
-                F.col(col).cast("string").alias("value"),
-            )
-        )
-    dup = (
-        df.groupBy(*spec.primary_key).count().filter(F.col("count") > 1)
-        .select(
-            F.lit(spec.name).alias("table_name"), F.lit("primary_key").alias("check_name"),
-            F.lit(",".join(spec.primary_key)).alias("column_name"), _key_text(spec).alias("row_key"),
-            F.col("count").cast("string").alias("value"),
-        )
+    entry = "struct<check_name:string,column_name:string,value:string>"
+    failed = [
+        F.when(bad, F.struct(F.lit(check).alias("check_name"), F.lit(col).alias("column_name"), F.col(col).cast("string").alias("value")))
+        for check, col, bad in _row_checks(spec, df.columns)
+    ]
+    key = F.struct(
+        F.lit("primary_key").alias("check_name"), F.lit(",".join(spec.primary_key)).alias("column_name"),
+        F.lit(None).cast("string").alias("value"),
+    )
+    entries = F.filter(F.array(*[c.cast(entry) for c in [*failed, key]]), lambda v: v.isNotNull())
+    counted = (
+        df.select(*spec.primary_key, F.explode(entries).alias("_v"))
+        .groupBy(*spec.primary_key, "_v").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    is_key = F.col("_v.check_name") == "primary_key"
+    return counted.filter(~is_key | (F.col("rows") > 1)).select(
+        F.lit(spec.name).alias("table_name"), "_v.check_name", "_v.column_name", _key_text(spec).alias("row_key"),
+        F.when(is_key, F.col("rows").cast("string")).otherwise(F.col("_v.value")).alias("value"), "rows",
     )
-    parts.append(dup)
-    return reduce(DataFrame.unionByName, parts)
 
 
 def constraint_summary(df: DataFrame, table: str | TableSpec) -> DataFrame:
-    """One row per declared check: (table, check, column, violations)."""
+    """One row per declared check: (table, check, column, violations).
+
+    One scan: bad rows are counted per primary key, then over all keys.
+    """
     spec = _spec(table)
     checks = _row_checks(spec, df.columns)
-    counts = df.agg(
-        *[F.sum(F.when(bad, 1).otherwise(0)).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)]
+    per_key = df.groupBy(*spec.primary_key).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(bad).alias(f"_c{i}") for i, (_, _, bad) in enumerate(checks)]
     )
-    rows = counts.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(check).alias("check_name"), F.lit(col).alias("column_name"),
-                        F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("long").alias("violations"),
-                    )
-                    for i, (check, col, _) in enumerate(checks)
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-    dup = (
-        df.groupBy(*spec.primary_key).count().filter(F.col("count") > 1)
-        .agg(F.count(F.lit(1)).cast("long").alias("violations"))
-        .select(
-            F.lit("primary_key").alias("check_name"),
-            F.lit(",".join(spec.primary_key)).alias("column_name"), "violations",
-        )
+    counts = per_key.agg(
+        F.count_if(F.col("_n") > 1).alias("_dup"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(checks))]
     )
-    return rows.unionByName(dup).select(F.lit(spec.name).alias("table_name"), "*")
+    names = [(check, col, f"_c{i}") for i, (check, col, _) in enumerate(checks)]
+    names.append(("primary_key", ",".join(spec.primary_key), "_dup"))
+    entries = [
+        F.struct(
+            F.lit(check).alias("check_name"), F.lit(col).alias("column_name"),
+            F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations"),
+        )
+        for check, col, c in names
+    ]
+    rows = counts.select(F.explode(F.array(*entries)).alias("r"))
+    return rows.select(F.lit(spec.name).alias("table_name"), "r.*")
