@@ -94,3 +94,9 @@ def test_dimension_joins(spark):
     hits = search_names(dim, "n", order_by="pos").collect()
     assert [r.name for r in hits] == ["Kenya", "United Kingdom"]
     assert search_names(dim, "  ").count() == 0
+
+
+def test_normalize_results_keeps_text_that_is_no_number(spark):
+    df = spark.createDataFrame([("n/a",), ("5",), (None,), ("",)], "trending_appearances string")
+    got = [(r.trending_appearances, r.trending_appearances_text) for r in normalize_results(df, "category_trends").collect()]
+    assert got == [(None, "n/a"), (5.0, None), (None, None), (None, None)]

@@ -39,7 +39,7 @@ def test_format_count(spark):
 
 def test_format_engagement(spark):
     assert apply(spark, format_engagement, [12.5, None, 2.675, 0.0], "double") == ["12.50%", "—", "2.68%", "0.00%"]
-    assert apply(spark, format_engagement, ["abc", "3"]) == ["abc", "3.00%"]
+    assert apply(spark, format_engagement, ["abc", "3", "12.5 pct", "-.5", "1e2x"]) == ["abc", "3.00%", "12.50%", "-0.50%", "100.00%"]
 
 
 def test_channel_link(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _JS_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 DEFAULT_LINK_HOST = "https://youtube.com"
 MISSING_TEXT = "—"
+_LEADING_NUMBER = r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def _c(c: Column | str) -> Column:
@@ -71,9 +72,10 @@ def format_count(c: Column | str) -> Column:
 
 
 def format_engagement(c: Column | str) -> Column:
-    """two decimals and ``%``; NULL -> a dash; non-numeric text unchanged."""
+    """the leading number with two decimals and ``%``; NULL -> a dash; text
+    that does not begin with a number is unchanged."""
     col = _c(c)
-    num = js_trim(col.cast("string")).try_cast("double")
+    num = F.regexp_extract(js_trim(col.cast("string")), _LEADING_NUMBER, 0).try_cast("double")
     fixed = F.format_string("%.2f%%", num)
     return F.when(col.isNull(), F.lit(MISSING_TEXT)).when(num.isNotNull(), fixed).otherwise(col.cast("string"))
 

@@ -197,9 +197,10 @@ VIDEO_ALTERNATES = {
 
 
 def normalize_results(df: DataFrame, kind: str) -> DataFrame:
-    """R11 (F15, F16): numeric fields of a result row as doubles (text that is
-    not a finite number becomes NULL), and for videos the first present of
-    the alternate field names.  Other columns pass through."""
+    """R11 (F15, F16): numeric fields of a result row as doubles, and for videos
+    the first present of the alternate field names.  Text that is not a finite
+    number becomes NULL there and is kept in ``<field>_text`` (NULL otherwise),
+    which text fields get beside them.  Other columns pass through."""
     if kind not in NUMERIC_FIELDS:
         raise ValueError(f"unknown kind {kind!r}")
     out = df
@@ -207,7 +208,10 @@ def normalize_results(df: DataFrame, kind: str) -> DataFrame:
         out = out.withColumns(
             {name: first_present(out, alts) for name, alts in VIDEO_ALTERNATES.items() if any(a in out.columns for a in alts)}
         )
-    return out.withColumns({c: to_number(c) for c in NUMERIC_FIELDS[kind] if c in out.columns})
+    numeric = [c for c in NUMERIC_FIELDS[kind] if c in out.columns]
+    texts = [c for c in numeric if isinstance(out.schema[c].dataType, T.StringType)]
+    kept = {f"{c}_text": F.when(to_number(c).isNull() & _has_text(F.col(c)), F.col(c)) for c in texts}
+    return out.withColumns({**kept, **{c: to_number(c) for c in numeric}})
 
 
 def category_share(top_categories: DataFrame, by: Sequence[str] = (COUNTRY,)) -> DataFrame:
