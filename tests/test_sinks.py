@@ -5,14 +5,14 @@ from trendlake.schema import RAW_COLUMNS
 
 
 def test_csv_round_trip_keeps_quotes_commas_newlines_and_nulls(spark):
-    rows = [("US", 'a "b", c\nd', 1, ["x", "y"]), ("DE", None, None, []), ("JP", "", 3, None)]
+    rows = [("US", 'a "b", c\nd', 1, ["x", "y"]), ("DE", None, None, []), ("JP", "", 3, None), ("FR", " a ", 2, None)]
     df = spark.createDataFrame(rows, "country string, title string, n bigint, tags array<string>")
     path = scratch_dir(spark, "rt")
     export_csv(df, path, single_file=True)
     back = read_results_csv(spark, path, schema=spark.createDataFrame([], "country string, title string, n bigint, tags string").schema)
     got = {r.country: (r.title, r.n, r.tags) for r in back.collect()}
     # empty text is read back as NULL, as the result loader does
-    assert got == {"US": ('a "b", c\nd', 1, "x|y"), "DE": (None, None, None), "JP": (None, 3, None)}
+    assert got == {"US": ('a "b", c\nd', 1, "x|y"), "DE": (None, None, None), "JP": (None, 3, None), "FR": (" a ", 2, None)}
 
 
 def test_results_csv_header_rename_and_short_rows(spark):
@@ -84,3 +84,25 @@ def test_publish_writes_one_file_per_country(spark):
     for country in ("US", "DE"):
         files = [f for f in os.listdir(f"{path}/video_trending_country={country}") if f.endswith(".parquet")]
         assert len(files) == 1
+
+
+def test_published_country_text_is_kept_and_empty_names_are_refused(spark):
+    import pytest
+
+    from trendlake.sources import read_published
+
+    schema = "video_trending_country string, video_category_id string, trending_appearances bigint, total_views bigint, avg_views bigint, total_likes bigint, rank int"
+    path = scratch_dir(spark, "country-text")
+    publish(spark.createDataFrame([("01", "c", 1, 2, 3, 4, 1)], schema), "top10_categories_per_country", path)
+    assert [tuple(r) for r in read_published(spark, "top10_categories_per_country", path).collect()] == [("01", "c", 1, 2, 3, 4, 1)]
+    with pytest.raises(Exception, match="empty video_trending_country"):
+        publish(spark.createDataFrame([("", "c", 1, 2, 3, 4, 1)], schema), "top10_categories_per_country", scratch_dir(spark, "empty-country"))
+
+
+def test_export_csv_in_order(spark):
+    path = scratch_dir(spark, "ordered")
+    export_csv(spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "n int, t string").repartition(4), path, sort_by=["n"])
+    import glob
+
+    lines = [line.split(",")[0].strip('"') for f in sorted(glob.glob(f"{path}/part-*.csv")) for line in open(f).read().splitlines()[1:]]
+    assert [int(x) for x in lines] == list(range(50))

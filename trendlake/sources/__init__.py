@@ -7,6 +7,7 @@ from trendlake.sources.sinks import (
     publish_all,
     publish_jdbc,
     publishable,
+    read_published,
     write_snapshots,
 )
 from trendlake.sources.snapshots import read_snapshots, read_snapshots_csv
@@ -21,4 +22,5 @@ __all__ = [
     "publish_all",
     "publish_jdbc",
     "publishable",
+    "read_published",
 ]

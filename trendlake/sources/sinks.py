@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +48,20 @@ def publishable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Header, overwrite, RFC-4180 quoting; lists as pipe text."""
+def export_csv(df: DataFrame, path: str, single_file: bool = False, sort_by: Sequence[str] = ()) -> None:
+    """Header, overwrite, RFC-4180 quoting; lists as pipe text.
+
+    ``sort_by`` (L1) orders the rows over all files in name order, by a range sort.
+    """
     out = publishable(df)
+    if sort_by:
+        out = out.orderBy(*sort_by)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).csv(
-        path
-    )
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
+    # Spark's writer trims values unless told otherwise.
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").options(**options, **keep_spaces).csv(path)
 
 
 def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -88,6 +94,10 @@ def publish(
     """
     spec = RESULT_TABLES.get(table)
     out = conform(df, spec) if spec else publishable(df)
+    # Spark's folder names have no form of an empty text other than NULL's.
+    for c in partition_by or ():
+        if c in out.columns and isinstance(out.schema[c].dataType, T.StringType):
+            out = out.withColumn(c, F.when(F.col(c) == "", F.raise_error(F.lit(f"{table}: empty {c}"))).otherwise(F.col(c)))
     keys = list(sort_by if sort_by is not None else (spec.sort_by if spec else ()))
     parts = [p for p in (partition_by or ()) if p in out.columns]
     order = parts + [k for k in keys if k not in parts]
@@ -118,6 +128,17 @@ def publish(
         spark.catalog.recoverPartitions(table)
 
 
+def read_published(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """A published result table with its declared types: a country stays the text it
+    was (``'01'``), which Spark would otherwise infer as a number from the folder name."""
+    spec = RESULT_TABLES[table]
+    fields = [
+        T.StructField(f.name, T.DecimalType(10, 4) if f.name in spec.decimal_10_4 else f.dataType, True)
+        for f in spec.schema.fields
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path).select(*spec.columns)
+
+
 # The result store's load batch size.
 JDBC_BATCH_SIZE = 500
 
