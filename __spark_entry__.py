@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake import oracle
-from trendlake.fixtures import read_table, trending_raw
+from trendlake.fixtures import DRAFT_SPEC, drafts, read_table, trending_raw
 from trendlake.functions import (
     channel_link,
     engagement_rating,
@@ -61,10 +61,19 @@ from trendlake.operators.lookups import (
     country_top,
     country_video_trends,
 )
-from trendlake.operators.quality import constraint_summary
+from trendlake.operators.quality import check_constraints, constraint_summary
 from trendlake.schema import CATEGORY_TRENDS, COUNTRY, RESULT_TABLES
 from trendlake.session import scratch_dir
-from trendlake.sources import export_csv, publish, publishable, read_results_csv
+from trendlake.sources import (
+    export_csv,
+    publish,
+    publishable,
+    read_published,
+    read_results_csv,
+    read_snapshots,
+    read_snapshots_csv,
+    write_snapshots,
+)
 
 try:  # the training-data operators and their pipeline are an optional part
     import corpus_pipeline
@@ -89,6 +98,22 @@ def _on_snap(op) -> Q:
     return lambda spark, sf: op(snapshots(spark, sf))
 
 
+def _on_summary(op) -> Q:
+    """The path the refresh job runs: cleaned table -> written summary -> analysis."""
+    def run(spark, sf):
+        cleaned, summary = scratch_dir(spark, "cleaned"), scratch_dir(spark, "summary")
+        write_snapshots(snapshots(spark, sf), cleaned)
+        write_snapshots(sighting_summary(read_snapshots(spark, cleaned)), summary)
+        return op(read_snapshots(spark, summary))
+    return run
+
+
+def _q_raw_csv(spark, sf):
+    path = scratch_dir(spark, "raw-csv")
+    export_csv(trending_raw(spark, sf), path)
+    return clean_snapshots(read_snapshots_csv(spark, path))
+
+
 # ---------------------------------------------------------------- R0-R5 parts
 def _q_engagement(spark, sf):
     return snapshots(spark, sf).select(
@@ -214,7 +239,7 @@ def _q_search(spark, sf):
 
 
 # ---------------------------------------------------------------- quality, sinks
-def _q_constraints(spark, sf):
+def _q_constraint_summary(spark, sf):
     snap = snapshots(spark, sf)
     tables = {
         "top10_channels_per_country": top_channels(snap),
@@ -226,9 +251,13 @@ def _q_constraints(spark, sf):
     return reduce(DataFrame.unionByName, [constraint_summary(df, RESULT_TABLES[n]) for n, df in tables.items()])
 
 
+def _q_check_constraints(spark, sf):
+    return check_constraints(drafts(spark, sf), DRAFT_SPEC)
+
+
 def _q_csv_round_trip(spark, sf):
     path = scratch_dir(spark, "csv-round-trip")
-    export_csv(_ct(spark, sf), path)
+    export_csv(_ct(spark, sf), path, sort_by=CATEGORY_TRENDS.sort_by)
     return read_results_csv(spark, path, schema=CATEGORY_TRENDS.schema)
 
 
@@ -244,7 +273,7 @@ def _q_normalize(spark, sf):
 def _q_publish_lookup(spark, sf):
     path = scratch_dir(spark, "published-videos")
     publish(top_videos(snapshots(spark, sf)), "top10_videos_per_country", path)
-    return country_top(spark.read.parquet(path), oracle.LOOKUP_COUNTRY)
+    return country_top(read_published(spark, "top10_videos_per_country", path), oracle.LOOKUP_COUNTRY)
 
 
 def queries() -> dict[str, Q]:
@@ -302,10 +331,18 @@ def _own_queries() -> dict[str, Q]:
         "country_coverage": _q_coverage,
         "countries_without_data": _q_without_data,
         "search_names": _q_search,
-        "check_constraints": _q_constraints,
+        "check_constraints": _q_check_constraints,
+        "constraint_summary": _q_constraint_summary,
         # S2-S10
         "csv_round_trip": _q_csv_round_trip,
         "publish_and_lookup": _q_publish_lookup,
+        "raw_csv_ingest": _q_raw_csv,
+        # R1-R5 from the written summary
+        "summary_top_categories": _on_summary(top_categories),
+        "summary_top_channels": _on_summary(top_channels),
+        "summary_top_videos": _on_summary(top_videos),
+        "summary_category_trends": _on_summary(lambda s: publishable(category_trends(s))),
+        "summary_video_trends": _on_summary(video_trends),
     }
 
 
@@ -361,7 +398,14 @@ def _own_oracle_sql() -> dict[str, str]:
         "country_coverage": o.COUNTRY_COVERAGE,
         "countries_without_data": o.COUNTRIES_WITHOUT_DATA,
         "search_names": o.SEARCH_NAMES,
-        "check_constraints": o.CONSTRAINT_SUMMARY,
+        "check_constraints": o.CHECK_CONSTRAINTS,
+        "constraint_summary": o.CONSTRAINT_SUMMARY,
         "csv_round_trip": o.CATEGORY_TRENDS,
         "publish_and_lookup": o.PUBLISH_AND_LOOKUP,
+        "raw_csv_ingest": o.CLEAN,
+        "summary_top_categories": o.TOP_CATEGORIES,
+        "summary_top_channels": o.TOP_CHANNELS,
+        "summary_top_videos": o.TOP_VIDEOS,
+        "summary_category_trends": o.CATEGORY_TRENDS,
+        "summary_video_trends": o.VIDEO_TRENDS,
     }

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trendlake.schema import COUNTRY, MONTH, TableSpec
 
 FIXTURE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
@@ -112,3 +115,30 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(supp_geo, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     return rows.select(*[F.expr(expr.format(sn="")).alias(name) for name, expr in _COLUMNS.items()])
+
+
+# Raw rows as a table that breaks each kind of declared constraint: a row for each
+# snapshot under a key of video and month, month 13 and up, missing categories,
+# repeated titles and counts beyond decimal(10,4).
+_DRAFT_COLUMNS = {
+    COUNTRY: COUNTRY,
+    "video_id": "video_id",
+    "video_category_id": "video_category_id",
+    MONTH: "cast(substr(video_trending__date, 6, 2) as int) + case when video_view_count = '0' then 12 else 0 end",
+    "video_title": "repeat(video_title, 1 + cast(channel_video_count as int) % 12)",
+    "engagement_rating": "cast(video_view_count as bigint) * 20",
+}
+DRAFT_SQL = "select " + ", ".join(f"{expr} as {name}" for name, expr in _DRAFT_COLUMNS.items()) + " from trending_raw"
+DRAFT_SPEC = TableSpec(
+    "drafts",
+    T.StructType([T.StructField(name, T.StringType(), True) for name in _DRAFT_COLUMNS]),
+    primary_key=(COUNTRY, "video_id", MONTH),
+    not_null=(COUNTRY, "video_category_id"),
+    varchar255=("video_title",),
+    month_columns=(MONTH,),
+    decimal_10_4=("engagement_rating",),
+)
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trending_raw(spark, sf_dir).select(*[F.expr(expr).alias(name) for name, expr in _DRAFT_COLUMNS.items()])

@@ -9,7 +9,7 @@ ranks / years / months to INTEGER so the types line up with Spark's.
 
 from __future__ import annotations
 
-from trendlake.fixtures import FIXTURE_SQL
+from trendlake.fixtures import DRAFT_SQL, FIXTURE_SQL
 
 C = "video_trending_country"
 
@@ -515,6 +515,33 @@ def _summary_sql() -> str:
 
 CONSTRAINT_SUMMARY = on_results(final=_summary_sql())
 
+
+
+def _violations_sql() -> str:
+    key = f"{C}, video_id, trending_month"
+    found = []
+    for check, column, bad in (
+        ("not_null", "video_category_id", "video_category_id IS NULL"),
+        ("month_range", "trending_month", "trending_month > 12 OR trending_month < 1"),
+        ("varchar_255", "video_title", "length(video_title) > 255"),
+        ("decimal_10_4", "engagement_rating", "abs(engagement_rating) >= 1000000"),
+    ):
+        found.append(
+            f"SELECT '{check}' AS check_name, '{column}' AS column_name, {key}, CAST({column} AS VARCHAR) AS value, "
+            f"count(*) AS n FROM drafts WHERE {bad} GROUP BY {key}, {column}"
+        )
+    found.append(
+        f"SELECT 'primary_key', '{key.replace(' ', '')}', {key}, CAST(count(*) AS VARCHAR), count(*) "
+        f"FROM drafts GROUP BY {key} HAVING count(*) > 1"
+    )
+    union = "\nUNION ALL\n".join(found)
+    return f"""SELECT 'drafts' AS table_name, check_name, column_name,
+       concat({C}, '|', video_id, '|', trending_month) AS row_key, value, CAST(n AS BIGINT) AS "rows"
+FROM ({union})"""
+
+
+CHECK_CONSTRAINTS = with_ctes(f"drafts AS ({DRAFT_SQL})", final=_violations_sql())
+
 # ================================================================ sinks
 NORMALIZE_RESULTS = on_results(
     final=f"""SELECT {C}, video_title, channel_title, CAST(video_view_count AS VARCHAR) AS video_view_count,
