@@ -5,10 +5,12 @@ themselves).  Two documents link when ``100 * |x & y| >= percent * |x | y|``.
 
 1. Documents with one and the same set collapse to a class (128-bit digest of the
    sorted set); only class representatives are joined, copies follow by membership.
-2. The corpus-wide longest inverted lists (at most ``max_long``; a sum over all
-   documents) are ordered last, everything else by hash.  In this order two linked
-   sets share one of their first ``n - ceil(n * percent / 100) + 1`` shingles: these
-   short lists are searched, the long ones are only probed.
+2. Shingles are ordered by how common their words are (counts of all words of the
+   corpus, in a fixed number of buckets by word hash), then by hash, and the corpus-wide
+   longest inverted lists (at most ``max_long``; a sum over all documents) last.  In this
+   order two linked sets share one of their first ``n - ceil(n * percent / 100) + 1``
+   shingles: these short lists are searched, the long ones are only probed.  Rare words
+   first means that unrelated documents seldom share one.  Any one order gives the same links.
 3. A list is cut into cells by set size (sizes in the proportion ``percent`` lie in
    the same or neighbouring size classes).  Each cell names its smallest member; the
    members of all cells with that name form one group, so each pair that shares a
@@ -48,15 +50,49 @@ from .words import NOT_SPACE, find_words, shingle_hashes
 SLICE_BYTES = 4 << 20
 #: A list of fewer documents is never set aside as long.
 LONG_LIST = 32
+#: Words are counted in this many buckets (the size of the broadcast table, whatever the corpus).
+WORD_BUCKETS = 1 << 16
+#: The upper bits of a shingle that hold its place in the order; the rest is its hash.
+LEVEL_BITS = 6
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+def _buckets(word_hashes: np.ndarray) -> np.ndarray:
+    return (word_hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+
+
+def _word_counts(batches):
+    """The words of a task in each bucket."""
+    counts = np.zeros(WORD_BUCKETS, np.int64)
+    for part in _slices(batches):
+        words = find_words(part.column("text"), NOT_SPACE, lower=True)
+        if len(words.starts):
+            counts += np.bincount(_buckets(words.hashes()), minlength=WORD_BUCKETS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
+
+
+def word_levels(texts: DataFrame) -> np.ndarray:
+    """log2 of the words in each bucket, over all of ``texts``."""
+    counts = np.ones(WORD_BUCKETS, np.int64)
+    for r in texts.mapInArrow(_word_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most WORD_BUCKETS rows
+        counts[r["bucket"]] = r["n"]
+    return np.log2(counts).astype(np.float32)
+
+
+def shingle_sets(texts: pa.Array, k: int, levels: np.ndarray | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row; with ``levels`` (of ``word_levels``) shingles of rare words come first."""
     words = find_words(texts, NOT_SPACE, lower=True)
     if not len(words.starts):
         return [np.zeros(0, np.uint64)] * len(texts)
     hashes = words.hashes()
     windows = shingle_hashes(hashes, k)
+    if levels is not None and len(windows):
+        of_words = levels[_buckets(hashes)]
+        total = of_words[:len(windows)].copy()
+        for j in range(1, k):
+            total += of_words[j:j + len(windows)]
+        level = np.minimum(total * np.float32(2 / k), (1 << LEVEL_BITS) - 1).astype(np.uint64)
+        windows = (windows >> np.uint64(LEVEL_BITS)) | (level << np.uint64(64 - LEVEL_BITS))
     out = []
     for first, end in zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist()):
         n = end - first
@@ -92,19 +128,19 @@ def _flat(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
 
 
-def _prefix_hashes(k: int, percent: int):
+def _prefix_hashes(k: int, percent: int, levels: np.ndarray):
     def run(batches):
         for part in _slices(batches):
-            got = [s[:prefix_length(len(s), percent)] for s in shingle_sets(part.column("text"), k) if len(s)]
+            got = [s[:prefix_length(len(s), percent)] for s in shingle_sets(part.column("text"), k, levels) if len(s)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
     return run
 
 
-def _set_rows(k: int, percent: int, long: np.ndarray):
+def _set_rows(k: int, percent: int, long: np.ndarray, levels: np.ndarray):
     def run(batches):
         for part in _slices(batches):
-            sets = shingle_sets(part.column("text"), k)
+            sets = shingle_sets(part.column("text"), k, levels)
             digests, firsts, wide = [], [], []
             for s in sets:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -277,10 +313,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     doc_id reachable by links.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = texts.mapInArrow(_prefix_hashes(k, percent), "h long").groupBy("h").count().where(F.col("count") >= LONG_LIST)
+    levels = texts.sparkSession.sparkContext.broadcast(word_levels(texts))
+    counted = texts.mapInArrow(lambda b: _prefix_hashes(k, percent, levels.value)(b), "h long").groupBy("h").count().where(F.col("count") >= LONG_LIST)
     long = np.array([r["h"] for r in counted.orderBy(F.desc("count"), "h").limit(max_long).select("h").collect()], np.int64).view(np.uint64)
     long = texts.sparkSession.sparkContext.broadcast(np.sort(long))  # at most max_long * 8 bytes
-    rows = cut(texts.mapInArrow(lambda b: _set_rows(k, percent, long.value)(b), "doc_id long, n long, digest binary, firsts array<long>, wide binary"), "sets")
+    rows = cut(texts.mapInArrow(lambda b: _set_rows(k, percent, long.value, levels.value)(b), "doc_id long, n long, digest binary, firsts array<long>, wide binary"), "sets")
 
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("firsts", "doc_id").alias("firsts"))
     postings = classes.select(F.col("rep").alias("node"), "n", F.explode("firsts").alias("h"))
