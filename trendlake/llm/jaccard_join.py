@@ -52,6 +52,8 @@ SLICE_BYTES = 4 << 20
 LONG_LIST = 32
 #: Words are counted in this many buckets (the size of the broadcast table, whatever the corpus).
 WORD_BUCKETS = 1 << 16
+#: Rows of 64 bits of the bitmap that tells which whole texts may be needed (2 MB).
+BITMAP_WORDS = 1 << 17
 #: The upper bits of a shingle that hold its place in the order; the rest is its hash.
 LEVEL_BITS = 6
 
@@ -306,6 +308,23 @@ def _member_sets(k: int):
     return run
 
 
+def _perhaps_in(texts: DataFrame, kept: DataFrame) -> DataFrame:
+    """``texts`` without most of those that ``kept`` has no node for, so that the join after it sends fewer whole texts.
+
+    A bitmap of hashed nodes with ``BITMAP_WORDS`` rows at most, whatever the input, is
+    broadcast.  It only ever lets too many through (more of them the fuller it is).
+    """
+    def place(column):
+        at = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
+        return F.shiftright(at, 6).alias("word"), F.pmod(at, F.lit(64)).cast("int")
+
+    word, bit = place("node")
+    bitmap = kept.select(word, F.expr("1L").alias("one"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias("bits"))
+    word, bit = place("doc_id")
+    marked = texts.select("doc_id", "text", word, bit.alias("bit")).join(F.broadcast(bitmap), "word")
+    return marked.where(F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, max_long: int = 65_536) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for each row of ``docs``.
 
@@ -319,8 +338,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     long = texts.sparkSession.sparkContext.broadcast(np.sort(long))  # at most max_long * 8 bytes
     rows = cut(texts.mapInArrow(lambda b: _set_rows(k, percent, long.value, levels.value)(b), "doc_id long, n long, digest binary, firsts array<long>, wide binary"), "sets")
 
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("firsts", "doc_id").alias("firsts"))
-    postings = classes.select(F.col("rep").alias("node"), "n", F.explode("firsts").alias("h"))
+    in_class = rows.where("n > 0 and doc_id is not null").groupBy("digest")
+    # One struct, so that both uses of the postings have one and the same aggregate and share its shuffle.
+    first = in_class.agg(F.min_by(F.struct("doc_id", "n", "firsts"), "doc_id").alias("c"))
+    postings = first.select(F.col("c.doc_id").alias("node"), F.col("c.n").alias("n"), F.explode("c.firsts").alias("h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     borders = F.array(*[F.lit(int(b)) for b in size_classes(percent, 1 << 31)])
     size_class = F.size(F.filter(borders, lambda b: b <= F.col("n")))
@@ -337,12 +358,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     narrow = placed.join(rows.select(F.col("doc_id").alias("node"), "n", "wide"), "node").select("pivot", "low", "high", "block", "node", "n", "wide")
     kept = cut(dealt(narrow).mapInArrow(_filter(percent), "pivot long, low long, high long, block long, node long"), "partners")
     wanted = kept.distinct().groupBy("node").agg(F.collect_list(F.struct("pivot", "low", "high", "block")).alias("groups"))
-    held = texts.join(wanted, texts.doc_id == wanted.node).select("doc_id", "text", "groups")
+    held = _perhaps_in(texts, kept).join(wanted, F.col("doc_id") == wanted.node).select("doc_id", "text", "groups")
     sent = held.mapInArrow(_member_sets(k), "pivot long, low long, high long, block long, node long, shingles binary")
     links = dealt(sent).mapInArrow(_search(percent), "a long, b long")
 
     joined = components(links)
-    return _with_components(rows, classes, joined)
+    return _with_components(rows, in_class.agg(F.min("doc_id").alias("rep")), joined)
 
 
 def _with_components(rows: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
