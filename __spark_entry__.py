@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake import oracle
-from trendlake.fixtures import DRAFT_SPEC, drafts, read_table, trending_raw
+from trendlake.fixtures import DRAFT_SPEC, daily_raw, drafts, read_table, trending_raw
 from trendlake.functions import (
     channel_link,
     engagement_rating,
@@ -37,6 +37,7 @@ from trendlake.operators import (
     video_trends,
     with_trending_month,
 )
+from trendlake.operators.summary import with_peak_columns
 from trendlake.operators.catalog import readonly_sql
 from trendlake.operators.dims import (
     countries_without_data,
@@ -98,11 +99,11 @@ def _on_snap(op) -> Q:
     return lambda spark, sf: op(snapshots(spark, sf))
 
 
-def _on_summary(op) -> Q:
+def _on_summary(op, raw=trending_raw) -> Q:
     """The path the refresh job runs: cleaned table -> written summary -> analysis."""
     def run(spark, sf):
         cleaned, summary = scratch_dir(spark, "cleaned"), scratch_dir(spark, "summary")
-        write_snapshots(snapshots(spark, sf), cleaned)
+        write_snapshots(clean_snapshots(raw(spark, sf)), cleaned)
         write_snapshots(sighting_summary(read_snapshots(spark, cleaned)), summary)
         return op(read_snapshots(spark, summary))
     return run
@@ -296,7 +297,7 @@ def _own_queries() -> dict[str, Q]:
         "top_tags": _on_snap(top_tags),
         "category_trends": lambda spark, sf: publishable(_ct(spark, sf)),
         "video_trends": _on_snap(video_trends),
-        "sighting_summary": lambda spark, sf: sighting_summary(snapshots(spark, sf)).drop("peak_video", "peak_month"),
+        "sighting_summary": _on_snap(lambda snap: with_peak_columns(sighting_summary(snap))),
         # R6, R7, L4, C5
         "country_top_channels": lambda spark, sf: country_top(top_channels(snapshots(spark, sf)), c),
         "country_top_categories": lambda spark, sf: country_top(top_categories(snapshots(spark, sf)), c),
@@ -343,6 +344,14 @@ def _own_queries() -> dict[str, Q]:
         "summary_top_videos": _on_summary(top_videos),
         "summary_category_trends": _on_summary(lambda s: publishable(category_trends(s))),
         "summary_video_trends": _on_summary(video_trends),
+        # the same on daily sightings: repeats within a month, nulls, bad dates and counts
+        "daily_sighting_summary": _on_summary(with_peak_columns, daily_raw),
+        "daily_top_categories": _on_summary(top_categories, daily_raw),
+        "daily_top_channels": _on_summary(top_channels, daily_raw),
+        "daily_top_videos": _on_summary(top_videos, daily_raw),
+        "daily_category_trends": _on_summary(lambda s: publishable(category_trends(s)), daily_raw),
+        "daily_video_trends": _on_summary(video_trends, daily_raw),
+        "daily_display_videos": lambda spark, sf: display_rows(top_videos(clean_snapshots(daily_raw(spark, sf))), "videos"),
     }
 
 
@@ -408,4 +417,11 @@ def _own_oracle_sql() -> dict[str, str]:
         "summary_top_videos": o.TOP_VIDEOS,
         "summary_category_trends": o.CATEGORY_TRENDS,
         "summary_video_trends": o.VIDEO_TRENDS,
+        "daily_sighting_summary": o.on_daily(o.SIGHTING_SUMMARY),
+        "daily_top_categories": o.on_daily(o.TOP_CATEGORIES),
+        "daily_top_channels": o.on_daily(o.TOP_CHANNELS),
+        "daily_top_videos": o.on_daily(o.TOP_VIDEOS),
+        "daily_category_trends": o.on_daily(o.CATEGORY_TRENDS),
+        "daily_video_trends": o.on_daily(o.VIDEO_TRENDS),
+        "daily_display_videos": o.on_daily(o.DISPLAY_VIDEOS),
     }

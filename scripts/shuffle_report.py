@@ -1,5 +1,4 @@
-"""Wall time and shuffle bytes of R1-R5, in this library's form and in the
-join / window form (tests/forms.py), from Spark's event log.
+"""Wall time and shuffle bytes of R1-R5, from Spark's event log.
 
 usage: python scripts/shuffle_report.py [sf_dir]
 The event log goes to a fresh folder under /tmp; nothing is served.
@@ -20,7 +19,6 @@ from trendlake.operators import category_trends, clean_snapshots, top_categories
 from trendlake.plans.eventlog import event_log_conf, group_metrics  # noqa: E402
 from trendlake.session import get_session, scratch_dir  # noqa: E402
 from trendlake.sources import write_snapshots  # noqa: E402
-from tests import forms  # noqa: E402
 
 
 def main() -> None:
@@ -31,35 +29,31 @@ def main() -> None:
     write_snapshots(clean_snapshots(trending_raw(spark, sf)), snap_path)
     snap = spark.read.parquet(snap_path)
     cases = {
-        "R1 top_channels": (top_channels, forms.channels_join_form),
-        "R2 top_categories": (top_categories, forms.categories_join_form),
-        "R3 top_videos": (top_videos, forms.videos_window_form),
-        "R4 category_trends": (category_trends, None),
-        "R5 video_trends": (video_trends, forms.video_trends_window_form),
+        "R1 top_channels": top_channels,
+        "R2 top_categories": top_categories,
+        "R3 top_videos": top_videos,
+        "R4 category_trends": category_trends,
+        "R5 video_trends": video_trends,
     }
     marks = []
-    for name, (ours, theirs) in cases.items():
-        for label, fn in (("this library", ours), ("join/window form", theirs)):
-            if fn is None:
-                continue
-            df = fn(snap)
-            df.write.format("noop").mode("overwrite").save()  # warm
-            group = f"{name}|{label}"
-            spark.sparkContext.setJobGroup(group, group)
-            t0 = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
-            marks.append((name, label, time.perf_counter() - t0, group))
-            spark.sparkContext.setJobGroup("", "")
+    for name, op in cases.items():
+        df = op(snap)
+        df.write.format("noop").mode("overwrite").save()  # warm
+        spark.sparkContext.setJobGroup(name, name)
+        t0 = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        marks.append((name, time.perf_counter() - t0))
+        spark.sparkContext.setJobGroup("", "")
     spark.stop()
 
     metrics = group_metrics(logdir)
     rows = [
         {
-            "query": n, "form": l, "seconds": round(t, 3),
-            "shuffle_bytes": metrics.get(g, {}).get("shuffle_write_bytes", 0),
-            "stages": metrics.get(g, {}).get("stages", 0),
+            "query": n, "seconds": round(t, 3),
+            "shuffle_bytes": metrics.get(n, {}).get("shuffle_write_bytes", 0),
+            "stages": metrics.get(n, {}).get("stages", 0),
         }
-        for n, l, t, g in marks
+        for n, t in marks
     ]
     print(json.dumps({"sf": sf, "rows": rows}, indent=1))
 

@@ -1,73 +1,97 @@
-"""Join- and window-shaped formulations used as test oracles and as the
-comparison point in scripts/shuffle_report.py: separately shuffled
-aggregates glued by inner joins on the group keys, and peak rows picked by a
-row window over all sightings."""
+"""What R1-R3 and R5 should return, worked out in plain Python from collected snapshot rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from trendlake.functions import engagement_rating
-from trendlake.operators.clean import with_trending_month
-
-C, CAT, V = "video_trending_country", "video_category_id", "video_id"
-
-
-def _rank(df: DataFrame, order, k: int, part=(C,)) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def categories_join_form(snap: DataFrame, k: int = 10) -> DataFrame:
-    keys = [C, CAT]
-    app = snap.groupBy(*keys).agg(F.count(V).alias("trending_appearances"))
-    per_video = snap.groupBy(*keys, V).agg(F.max("video_view_count").alias("v"), F.max("video_like_count").alias("l"))
-    stats = per_video.groupBy(*keys).agg(
-        F.sum("v").alias("total_views"), F.round(F.avg("v"), 0).cast("long").alias("avg_views"), F.sum("l").alias("total_likes")
-    )
-    j = app.join(stats, keys, "inner")
-    return _rank(j, [F.desc_nulls_last("trending_appearances"), F.desc_nulls_last("total_views"), F.asc_nulls_last(CAT)], k)
-
-
-def channels_join_form(snap: DataFrame, k: int = 10) -> DataFrame:
-    keys = [C, "channel_title", CAT]
-    app = snap.groupBy(*keys).agg(F.count(V).alias("trending_appearances"))
-    per_video = snap.groupBy(*keys, V).agg(F.max("video_view_count").alias("v"))
-    stats = per_video.groupBy(*keys).agg(F.sum("v").alias("total_views"), F.count(V).alias("total_videos"))
-    metrics = snap.groupBy(*keys).agg(
-        F.max("channel_subscriber_count").alias("channel_subscribers"),
-        F.min("channel_custom_url").alias("channel_custom_url"),
-        F.max("channel_view_count").alias("channel_view_count"),
-    )
-    j = app.join(stats, keys, "inner").join(metrics, keys, "inner")
-    order = [F.desc_nulls_last("trending_appearances"), F.desc_nulls_last("total_views"), F.asc_nulls_last("channel_title"), F.asc_nulls_last(CAT)]
-    return _rank(j, order, k)
-
-
-def videos_window_form(snap: DataFrame, k: int = 10) -> DataFrame:
-    rows = snap.withColumn("engagement_rating", engagement_rating("video_view_count", "video_like_count", "video_comment_count"))
-    app = rows.groupBy(V, C).agg(F.count(F.lit(1)).alias("trending_appearances"))
-    w = Window.partitionBy(V, C).orderBy(
-        F.desc_nulls_last("video_view_count"), F.asc_nulls_last("video_trending_date"), F.asc_nulls_last(CAT),
-        F.asc_nulls_last("video_title"), F.asc_nulls_last("engagement_rating"), F.asc_nulls_last("channel_title"),
-        F.asc_nulls_last("video_duration"),
-    )
-    peak = (
-        rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").join(app, [V, C], "left")
-        .withColumnRenamed("video_trending_date", "peak_trending_date")
-    )
-    return _rank(peak, [F.desc_nulls_last("trending_appearances"), F.desc_nulls_last("video_view_count"), F.asc_nulls_last(V)], k)
-
-
-def video_trends_window_form(snap: DataFrame) -> DataFrame:
-    keys = [C, "trending_year", "trending_month"]
-    m = with_trending_month(snap)
-    app = m.groupBy(V, *keys).agg(F.count(V).alias("trending_appearances"))
-    w = Window.partitionBy(V, *keys).orderBy(
-        F.desc_nulls_last("video_view_count"), F.asc_nulls_last("video_title"), F.asc_nulls_last(CAT),
-        F.asc_nulls_last("channel_title"), F.asc_nulls_last("video_like_count"), F.asc_nulls_last("video_comment_count"),
-        F.asc_nulls_last("video_duration"),
-    )
-    peak = m.withColumn("rn", F.row_number().over(w)).filter("rn = 1").join(app, [V, *keys], "inner")
-    return _rank(peak, [F.desc_nulls_last("trending_appearances"), F.desc_nulls_last("video_view_count"), F.asc_nulls_last(V)], 1, keys)
+from collections import defaultdict
+from itertools import groupby
+
+C, CAT, V, CH = "video_trending_country", "video_category_id", "video_id", "channel_title"
+
+
+def low(v):
+    """Ascending, missing values last."""
+    return (v is None, 0 if v is None else v)
+
+
+def high(v):
+    """Descending, missing values last."""
+    return (v is None, 0 if v is None else -v)
+
+
+def most(values):
+    return max((v for v in values if v is not None), default=None)
+
+
+def total(values):
+    known = [v for v in values if v is not None]
+    return sum(known) if known else None
+
+
+def bundles(rows, *keys, needed=()):
+    out = defaultdict(list)
+    for r in rows:
+        if all(r[k] is not None for k in needed):
+            out[tuple(r[k] for k in keys)].append(r)
+    return out
+
+
+def best(entries, k):
+    """The first ``k`` of each place with their ranks; ``entries`` are (place, sort key, values)."""
+    out = []
+    for _, same in groupby(sorted(entries, key=lambda e: (str(e[0]), e[1])), key=lambda e: str(e[0])):
+        out += [(*e[2], rank) for rank, e in enumerate(same, 1) if rank <= k]
+    return out
+
+
+def categories(rows, k=10):
+    found = []
+    for (country, cat), seen in bundles(rows, C, CAT, needed=(C, CAT)).items():
+        videos = bundles(seen, V).values()
+        views = [most(r["video_view_count"] for r in v) for v in videos]
+        known = [v for v in views if v is not None]
+        mean = (2 * sum(known) + len(known)) // (2 * len(known)) if known else None
+        likes = total(most(r["video_like_count"] for r in v) for v in videos)
+        found.append((country, (-len(seen), high(total(views)), cat), (country, cat, len(seen), total(views), mean, likes)))
+    return best(found, k)
+
+
+def channels(rows, k=10):
+    found = []
+    for (country, title, cat), seen in bundles(rows, C, CH, CAT, needed=(C, CH, CAT)).items():
+        videos = bundles(seen, V).values()
+        views = total(most(r["video_view_count"] for r in v) for v in videos)
+        url = min((r["channel_custom_url"] for r in seen if r["channel_custom_url"] is not None), default=None)
+        subs, own = (most(r[c] for r in seen) for c in ("channel_subscriber_count", "channel_view_count"))
+        found.append((country, (-len(seen), high(views), title, cat), (country, title, url, cat, len(seen), views, len(videos), subs, own)))
+    return best(found, k)
+
+
+def rating(r):
+    views = r["video_view_count"]
+    return round(((r["video_like_count"] or 0) + (r["video_comment_count"] or 0)) / views * 100, 4) if views and views > 0 else 0.0
+
+
+def peak(seen, then):
+    return min(seen, key=lambda r: (high(r["video_view_count"]), *(low(rating(r) if c == "rating" else r[c]) for c in then)))
+
+
+def videos(rows, k=10):
+    found = []
+    for (country, video), seen in bundles(rows, C, V).items():
+        r = peak(seen, ("video_trending_date", CAT, "video_title", "rating", CH, "video_duration"))
+        n = None if country is None else len(seen)
+        views = r["video_view_count"]
+        found.append((country, (high(n), high(views), video), (country, r[CAT], r["video_title"], r[CH], r["video_duration"], views, rating(r), n, r["video_trending_date"])))
+    return best(found, k)
+
+
+def month_videos(rows):
+    """``rows`` with trending_year and trending_month."""
+    found = []
+    for (country, year, month, video), seen in bundles(rows, C, "trending_year", "trending_month", V, needed=(C, "trending_year")).items():
+        then = ("video_title", CAT, CH, "video_like_count", "video_comment_count", "video_duration")
+        r = peak(seen, then)
+        views = r["video_view_count"]
+        shown = (country, year, month, r["video_title"], r[CAT], r[CH], views, r["video_like_count"], r["video_comment_count"], r["video_duration"], len(seen))
+        found.append(((country, year, month), (-len(seen), high(views), video), shown))
+    return [row[:-1] for row in best(found, 1)]

@@ -1,40 +1,50 @@
-"""This library's plans give the same rows as the join / window forms."""
+"""The rankings against plain Python on hand-made and random rows (tests/forms.py)."""
+
+import random
 
 import pytest
 
-from trendlake.fixtures import trending_raw
-from trendlake.operators import clean_snapshots, top_categories, top_channels, top_videos, video_trends
+from trendlake.fixtures import daily_raw
+from trendlake.operators import clean_snapshots, sighting_summary, top_categories, top_channels, top_videos, video_trends, with_trending_month
 
 from tests import forms
-from tests.conftest import SF_SMALL
-
-CASES = [
-    (top_categories, forms.categories_join_form),
-    (top_channels, forms.channels_join_form),
-    (top_videos, forms.videos_window_form),
-    (video_trends, forms.video_trends_window_form),
-]
-
-
-@pytest.mark.parametrize("ours,theirs", CASES, ids=[c[0].__name__ for c in CASES])
-def test_same_rows_as_join_and_window_forms(spark, ours, theirs):
-    snap = clean_snapshots(trending_raw(spark, SF_SMALL))
-    a = ours(snap)
-    b = theirs(snap).select(*a.columns)
-    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
-
-
-def test_same_rows_as_forms_on_random_frames_with_nulls(spark):
-    from tests.conftest import raw_rows
-    from tests.test_rankings import _random_rows
-
-    for seed in range(4):
-        rows = _random_rows(100 + seed, n=350)
-        for i, r in enumerate(rows):
-            r["video_trending__date"] = ["2024.01.05", "2024.01.20", "2024.02.01", "x", None][i % 5]
-            r["video_title"] = ["t1", "t2", None][i % 3]
-        snap = clean_snapshots(raw_rows(spark, rows))
-        for ours, theirs in CASES:
-            a = ours(snap, 3) if ours is not video_trends else ours(snap)
-            b = (theirs(snap, 3) if theirs is not forms.video_trends_window_form else theirs(snap)).select(*a.columns)
-            assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str), (seed, ours.__name__)
+from tests.conftest import SF_SMALL, raw_rows, snap_row
+
+
+def random_rows(seed, n=300):
+    rnd = random.Random(seed)
+    values = {
+        "video_id": list("abcdefg"),
+        "video_trending_country": ["US", "DE", "JP", None],
+        "video_category_id": ["Music", "News", "Gaming", "Sports", "Film", "Autos", None],
+        "video_view_count": ["1", "5", "10", "100", "x", None, "0"],
+        "video_like_count": ["1", "2", None, "bad"],
+        "channel_title": ["c1", "c2", None],
+        "video_title": ["t1", "t2", None],
+        "video_trending__date": ["2024.01.05", "2024.01.20", "2024.02.01", "x", None],
+    }
+    return [snap_row(**{c: rnd.choice(v) for c, v in values.items()}) for _ in range(n)]
+
+
+def rows_of(df):
+    return sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+
+
+def check(snap, k):
+    seen = [r.asDict() for r in with_trending_month(snap).collect()]
+    wanted = {top_categories: forms.categories(seen, k), top_channels: forms.channels(seen, k), top_videos: forms.videos(seen, k)}
+    for source in (snap, sighting_summary(snap)):
+        for op, rows in wanted.items():
+            assert rows_of(op(source, k)) == sorted(rows, key=str), op.__name__
+        assert rows_of(video_trends(source)) == sorted(forms.month_videos(seen), key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_rows_with_nulls(spark, seed):
+    check(clean_snapshots(raw_rows(spark, random_rows(seed))), 3)
+
+
+def test_daily_view(spark):
+    snap = clean_snapshots(daily_raw(spark, SF_SMALL))
+    assert 2 * sighting_summary(snap).count() <= snap.count()
+    check(snap, 10)

@@ -1,8 +1,3 @@
-import random
-
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from trendlake.operators import clean_snapshots, peak_snapshots, top_categories, top_channels, top_videos
 
 from tests.conftest import raw_rows, snap_row
@@ -78,57 +73,3 @@ def test_engagement_zero_views_and_missing_counts(spark):
     ]
     out = {r.video_title + r.video_category_id: r.engagement_rating for r in top_videos(snaps(spark, [dict(r, video_title=r["video_id"]) for r in rows])).collect()}
     assert out == {"zMusic": 0.0, "nMusic": 0.0, "rMusic": 33.3333}
-
-
-# ------------------------------------------------------------ equivalence with the join form
-def _join_form_categories(snap, k=10):
-    """The reference's shape: separate aggregates glued by an inner join."""
-    keys = ["video_trending_country", "video_category_id"]
-    app = snap.groupBy(*keys).agg(F.count("video_id").alias("trending_appearances"))
-    uv = snap.groupBy(*keys, "video_id").agg(F.max("video_view_count").alias("v"), F.max("video_like_count").alias("l"))
-    stats = uv.groupBy(*keys).agg(
-        F.sum("v").alias("total_views"), F.round(F.avg("v"), 0).cast("long").alias("avg_views"), F.sum("l").alias("total_likes")
-    )
-    j = app.join(stats, keys, "inner")
-    w = Window.partitionBy("video_trending_country").orderBy(
-        F.desc_nulls_last("trending_appearances"), F.desc_nulls_last("total_views"), F.asc_nulls_last("video_category_id")
-    )
-    return j.withColumn("rank", F.row_number().over(w)).filter("rank <= %d" % k)
-
-
-def _random_rows(seed, n=300):
-    rnd = random.Random(seed)
-    pick = lambda xs: xs[rnd.randrange(len(xs))]
-    rows = []
-    for _ in range(n):
-        rows.append(
-            snap_row(
-                video_id=pick(["a", "b", "c", "d", "e", "f", "g"]),
-                video_trending_country=pick(["US", "DE", "JP", None]),
-                video_category_id=pick(["Music", "News", "Gaming", "Sports", "Film", "Autos", None]),
-                video_view_count=pick(["1", "5", "10", "100", "x", None, "0"]),
-                video_like_count=pick(["1", "2", None, "bad"]),
-                channel_title=pick(["c1", "c2", None]),
-            )
-        )
-    return rows
-
-
-def test_two_level_form_equals_join_form_on_random_frames(spark):
-    for seed in range(5):
-        s = snaps(spark, _random_rows(seed))
-        ours = sorted(tuple(r) for r in top_categories(s, k=3).collect())
-        ref = sorted(tuple(r) for r in _join_form_categories(s, k=3).select(*top_categories(s, 3).columns).collect())
-        assert ours == ref, seed
-
-
-def test_peak_aggregate_equals_window_form(spark):
-    for seed in range(3):
-        s = snaps(spark, _random_rows(seed))
-        w = Window.partitionBy("video_id", "video_trending_country").orderBy(
-            F.desc_nulls_last("video_view_count"), F.asc_nulls_last("video_trending_date"), F.asc_nulls_last("video_category_id"),
-            F.asc_nulls_last("video_title"), F.asc_nulls_last("channel_title"), F.asc_nulls_last("video_duration"),
-        )
-        ref = s.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("video_id", "video_trending_country", "video_view_count", "video_category_id")
-        ours = peak_snapshots(s).select("video_id", "video_trending_country", "video_view_count", "video_category_id")
-        assert sorted(map(tuple, ours.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str), seed

@@ -117,6 +117,39 @@ def trending_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[F.expr(expr.format(sn="")).alias(name) for name, expr in _COLUMNS.items()])
 
 
+# The daily view: raw rows folded onto 25 videos in one year, so that a video is sighted
+# many times in a month with other views, titles and likes, and some values are missing
+# or no dates or numbers.
+_N = "cast(substr(video_id, 2) as int)"
+_DAILY_CHANGES = {
+    "video_id": f"concat('v', cast({_N} % 25 as string))",
+    "video_trending__date": (
+        f"case when {_N} % 17 = 0 then 'no date' when {_N} % 19 = 0 then null "
+        "else concat('1997', substr(video_trending__date, 5, 6)) end"
+    ),
+    "video_trending_country": f"case when {_N} % 13 = 0 then null else video_trending_country end",
+    "video_title": f"case when {_N} % 7 = 0 then null else video_title end",
+    "video_category_id": (
+        "case when lower(video_category_id) in ('true', 'false') then video_category_id "
+        f"else concat('C', cast({_N} % 25 % 6 as string)) end"
+    ),
+    "video_tags": (
+        "case when substr(video_trending__date, 6, 2) = '07' then null "
+        f"else concat('Tag ', cast({_N} % 25 % 3 as string), ',a, \"x|', cast({_N} % 25 % 2 as string), ';') end"
+    ),
+    "video_view_count": f"case when {_N} % 23 = 0 then 'many' else video_view_count end",
+    "video_like_count": f"case when {_N} % 29 = 0 then '-' else video_like_count end",
+    "channel_title": f"case when {_N} % 11 = 0 then null else concat('Channel ', cast({_N} % 5 as string)) end",
+}
+_DAILY_COLUMNS = {name: _DAILY_CHANGES.get(name, name) for name in _COLUMNS}
+DAILY_SQL = "select " + ", ".join(f"{expr} as {name}" for name, expr in _DAILY_COLUMNS.items()) + f" from ({FIXTURE_SQL})"
+
+
+def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows with repeated sightings, nulls and dirt (see ``_DAILY_CHANGES``)."""
+    return trending_raw(spark, sf_dir).select(*[F.expr(expr).alias(name) for name, expr in _DAILY_COLUMNS.items()])
+
+
 # Raw rows as a table that breaks each kind of declared constraint: a row for each
 # snapshot under a key of video and month, month 13 and up, missing categories,
 # repeated titles and counts beyond decimal(10,4).

@@ -24,7 +24,7 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
 def require_table(spark: SparkSession, name: str) -> None:
     """Raise ``KeyError`` when the table does not exist."""
     if not spark.catalog.tableExists(name):
-        raise KeyError(f'Table "{name}" not found')
+        raise KeyError(f"no table or view named {name!r}")
 
 
 def describe_table(spark: SparkSession, table: str | DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def readonly_sql(spark: SparkSession, sql: str) -> DataFrame:
     before it runs.
     """
     if not isinstance(sql, str) or not sql.strip():
-        raise ValueError('Missing "sql"')
+        raise ValueError("the query text is empty")
     text = sql.strip().rstrip(";").strip()
     head = text.upper()
     if not head.startswith(READ_ONLY_PREFIXES):

@@ -27,7 +27,7 @@ MAX_PAGE_SIZE = 10_000
 def require_country(country: str | None) -> str:
     """A country name is required."""
     if country is None or not str(country).strip():
-        raise ValueError('Missing "country"')
+        raise ValueError("a country name is needed")
     return str(country)
 
 

@@ -133,3 +133,18 @@ def sighting_summary(snap: DataFrame) -> DataFrame:
         F.min("peak_video").alias("peak_video"),
         F.min("peak_month").alias("peak_month"),
     )
+
+
+def with_peak_columns(summary: DataFrame) -> DataFrame:
+    """A summary with its two peak rows as plain columns (``peak_video_*``, ``peak_month_*``)."""
+    plain = [c for c in summary.columns if c not in ("peak_video", "peak_month")]
+    peaks = [
+        F.col(f"_{p}.{c}").alias(f"{p}_{c}")
+        for p, key in (("peak_video", PEAK_VIDEO_SLIM), ("peak_month", PEAK_MONTH_SLIM))
+        for c in (o.column for o in key.order)
+    ]
+    restored = summary.withColumns({
+        "_peak_video": F.struct(*PEAK_VIDEO_SLIM.restore("peak_video")),
+        "_peak_month": F.struct(*PEAK_MONTH_SLIM.restore("peak_month")),
+    })
+    return restored.select(*plain, *peaks)

@@ -1,6 +1,5 @@
-"""Oracle SQL for DuckDB: each registered query written independently, in the
-reference's own shape (separate aggregates glued by joins, window-based peak
-rows).  The driver runs these next to the Spark operators and compares rows.
+"""Oracle SQL for DuckDB: each registered query written independently.  The
+driver runs these next to the Spark operators and compares rows.
 
 Every query starts from the ``trending_raw`` view (FIXTURE_SQL) over the
 driver's tables and repeats cleaning in SQL.  Counts are cast to BIGINT and
@@ -9,7 +8,7 @@ ranks / years / months to INTEGER so the types line up with Spark's.
 
 from __future__ import annotations
 
-from trendlake.fixtures import DRAFT_SQL, FIXTURE_SQL
+from trendlake.fixtures import DAILY_SQL, DRAFT_SQL, FIXTURE_SQL
 
 C = "video_trending_country"
 
@@ -46,74 +45,47 @@ def with_ctes(*ctes: str, final: str) -> str:
     return f"WITH {body}\n{final}"
 
 
+def on_daily(sql: str) -> str:
+    """The same query over the daily view (fixtures.daily_raw)."""
+    return sql.replace(FIXTURE_SQL, DAILY_SQL, 1)
+
+
 # ---------------------------------------------------------------- R0
 CLEAN = with_ctes(final="SELECT * FROM snap")
 
 # ---------------------------------------------------------------- R2
 CAT_CTES = (
-    f"""cat_app AS (
-  SELECT {C}, video_category_id, count(video_id) AS trending_appearances
-  FROM snap GROUP BY {C}, video_category_id)""",
-    f"""cat_uv AS (
-  SELECT {C}, video_category_id, video_id, max(video_view_count) AS v, max(video_like_count) AS l
-  FROM snap GROUP BY {C}, video_category_id, video_id)""",
-    f"""cat_stats AS (
-  SELECT {C}, video_category_id, sum(v) AS total_views, round(avg(v), 0) AS avg_views,
-         sum(l) AS total_likes
-  FROM cat_uv GROUP BY {C}, video_category_id)""",
-    f"""cat_all AS (
-  SELECT a.{C}, a.video_category_id, a.trending_appearances, s.total_views, s.avg_views, s.total_likes
-  FROM cat_app a JOIN cat_stats s
-    ON a.{C} = s.{C} AND a.video_category_id = s.video_category_id)""",
-    f"""cat_ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY {C}
-      ORDER BY trending_appearances DESC, total_views DESC NULLS LAST,
-               video_category_id ASC NULLS LAST) AS rank
-  FROM cat_all)""",
     f"""top_categories AS (
-  SELECT {C}, video_category_id,
-         CAST(trending_appearances AS BIGINT) AS trending_appearances,
-         CAST(total_views AS BIGINT) AS total_views, CAST(avg_views AS BIGINT) AS avg_views,
-         CAST(total_likes AS BIGINT) AS total_likes, CAST(rank AS INTEGER) AS rank
-  FROM cat_ranked WHERE rank <= 10)""",
+  SELECT {C}, video_category_id, CAST(sum(n) AS BIGINT) AS trending_appearances,
+         CAST(sum(v) AS BIGINT) AS total_views, CAST(round(avg(v), 0) AS BIGINT) AS avg_views,
+         CAST(sum(l) AS BIGINT) AS total_likes,
+         CAST(row_number() OVER (PARTITION BY {C} ORDER BY sum(n) DESC, sum(v) DESC NULLS LAST,
+              video_category_id) AS INTEGER) AS rank
+  FROM (SELECT {C}, video_category_id, video_id, count(*) AS n, max(video_view_count) AS v,
+               max(video_like_count) AS l
+        FROM snap WHERE {C} IS NOT NULL AND video_category_id IS NOT NULL GROUP BY ALL)
+  GROUP BY {C}, video_category_id
+  QUALIFY rank <= 10)""",
 )
 TOP_CATEGORIES = with_ctes(*CAT_CTES, final="SELECT * FROM top_categories")
 
 # ---------------------------------------------------------------- R1
-CH_KEYS = f"{C}, channel_title, video_category_id"
-CH_ON = (
-    "{a}." + C + " = {b}." + C + " AND {a}.channel_title = {b}.channel_title "
-    "AND {a}.video_category_id = {b}.video_category_id"
-)
 CH_CTES = (
-    f"""ch_app AS (
-  SELECT {CH_KEYS}, count(video_id) AS trending_appearances FROM snap GROUP BY {CH_KEYS})""",
-    f"""ch_uv AS (
-  SELECT {CH_KEYS}, video_id, max(video_view_count) AS v FROM snap GROUP BY {CH_KEYS}, video_id)""",
-    f"""ch_stats AS (
-  SELECT {CH_KEYS}, sum(v) AS total_views, count(video_id) AS total_videos
-  FROM ch_uv GROUP BY {CH_KEYS})""",
-    f"""ch_metrics AS (
-  SELECT {CH_KEYS}, max(channel_subscriber_count) AS channel_subscribers,
-         min(channel_custom_url) AS channel_custom_url, max(channel_view_count) AS channel_view_count
-  FROM snap GROUP BY {CH_KEYS})""",
-    f"""ch_all AS (
-  SELECT a.{C}, a.channel_title, a.video_category_id, a.trending_appearances, s.total_views,
-         s.total_videos, m.channel_subscribers, m.channel_custom_url, m.channel_view_count
-  FROM ch_app a JOIN ch_stats s ON {CH_ON.format(a='a', b='s')}
-  JOIN ch_metrics m ON {CH_ON.format(a='a', b='m')})""",
-    f"""ch_ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY {C}
-      ORDER BY trending_appearances DESC, total_views DESC NULLS LAST,
-               channel_title ASC NULLS LAST, video_category_id ASC NULLS LAST) AS rank
-  FROM ch_all)""",
     f"""top_channels AS (
-  SELECT {C}, channel_title, channel_custom_url, video_category_id,
-         CAST(trending_appearances AS BIGINT) AS trending_appearances,
-         CAST(total_views AS BIGINT) AS total_views, CAST(total_videos AS BIGINT) AS total_videos,
-         CAST(channel_subscribers AS BIGINT) AS channel_subscribers,
-         CAST(channel_view_count AS BIGINT) AS channel_view_count, CAST(rank AS INTEGER) AS rank
-  FROM ch_ranked WHERE rank <= 10)""",
+  SELECT {C}, channel_title, min(url) AS channel_custom_url, video_category_id,
+         CAST(sum(n) AS BIGINT) AS trending_appearances, CAST(sum(v) AS BIGINT) AS total_views,
+         CAST(count(*) AS BIGINT) AS total_videos, CAST(max(subs) AS BIGINT) AS channel_subscribers,
+         CAST(max(seen) AS BIGINT) AS channel_view_count,
+         CAST(row_number() OVER (PARTITION BY {C} ORDER BY sum(n) DESC, sum(v) DESC NULLS LAST,
+              channel_title, video_category_id) AS INTEGER) AS rank
+  FROM (SELECT {C}, channel_title, video_category_id, video_id, count(*) AS n,
+               max(video_view_count) AS v, max(channel_subscriber_count) AS subs,
+               max(channel_view_count) AS seen, min(channel_custom_url) AS url
+        FROM snap
+        WHERE {C} IS NOT NULL AND channel_title IS NOT NULL AND video_category_id IS NOT NULL
+        GROUP BY ALL)
+  GROUP BY {C}, channel_title, video_category_id
+  QUALIFY rank <= 10)""",
 )
 TOP_CHANNELS = with_ctes(*CH_CTES, final="SELECT * FROM top_channels")
 
@@ -122,35 +94,33 @@ ENGAGEMENT = (
     "CASE WHEN video_view_count > 0 THEN round((coalesce(video_like_count, 0) + "
     "coalesce(video_comment_count, 0)) / video_view_count * 100, 4) ELSE 0.0 END"
 )
+
+
+def _best(columns: str, then: str) -> str:
+    """The row of most views as a struct; equal views fall to the columns of ``then``, ascending."""
+    order = ", ".join(f"{c.strip()} ASC NULLS LAST" for c in then.split(","))
+    fields = ", ".join(f"{c.strip()} := {c.strip()}" for c in columns.split(","))
+    return f"first(struct_pack({fields}) ORDER BY video_view_count DESC NULLS LAST, {order})"
+
+
+PEAK_FIELDS = (
+    "video_view_count, video_trending_date, video_category_id, video_title, engagement_rating, "
+    "channel_title, video_duration"
+)
+PEAK = _best(PEAK_FIELDS, PEAK_FIELDS.removeprefix("video_view_count, "))
 VID_CTES = (
-    f"""v_rows AS (
-  SELECT video_id, {C}, video_category_id, video_title, video_trending_date, video_view_count,
-         channel_title, video_duration, {ENGAGEMENT} AS engagement_rating
-  FROM snap)""",
-    f"""v_app AS (
-  SELECT video_id, {C}, count(*) AS trending_appearances FROM v_rows GROUP BY video_id, {C})""",
-    f"""v_peak AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY video_id, {C}
-        ORDER BY video_view_count DESC NULLS LAST, video_trending_date ASC NULLS LAST,
-                 video_category_id ASC NULLS LAST, video_title ASC NULLS LAST,
-                 engagement_rating ASC NULLS LAST, channel_title ASC NULLS LAST,
-                 video_duration ASC NULLS LAST) AS rn
-    FROM v_rows) WHERE rn = 1)""",
     f"""peak_snapshots AS (
-  SELECT p.video_id, p.{C}, p.video_category_id, p.video_title, p.channel_title, p.video_duration,
+  SELECT video_id, {C}, p.video_category_id, p.video_title, p.channel_title, p.video_duration,
          p.video_view_count, p.engagement_rating, p.video_trending_date AS peak_trending_date,
-         CAST(a.trending_appearances AS BIGINT) AS trending_appearances
-  FROM v_peak p LEFT JOIN v_app a ON p.video_id = a.video_id AND p.{C} = a.{C})""",
-    f"""v_ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY {C}
-      ORDER BY trending_appearances DESC NULLS LAST, video_view_count DESC NULLS LAST,
-               video_id ASC) AS rank
-  FROM peak_snapshots)""",
+         CASE WHEN {C} IS NOT NULL THEN n END AS trending_appearances
+  FROM (SELECT video_id, {C}, CAST(count(*) AS BIGINT) AS n, {PEAK} AS p
+        FROM (SELECT *, {ENGAGEMENT} AS engagement_rating FROM snap)
+        GROUP BY video_id, {C}))""",
     f"""top_videos AS (
-  SELECT {C}, video_category_id, video_title, channel_title, video_duration, video_view_count,
-         engagement_rating, trending_appearances, peak_trending_date, CAST(rank AS INTEGER) AS rank
-  FROM v_ranked WHERE rank <= 10)""",
+  SELECT * EXCLUDE (video_id),
+         CAST(row_number() OVER (PARTITION BY {C} ORDER BY trending_appearances DESC NULLS LAST,
+              video_view_count DESC NULLS LAST, video_id) AS INTEGER) AS rank
+  FROM peak_snapshots QUALIFY rank <= 10)""",
 )
 TOP_VIDEOS = with_ctes(*VID_CTES, final="SELECT * FROM top_videos")
 PEAK_SNAPSHOTS = with_ctes(*VID_CTES, final="SELECT * FROM peak_snapshots")
@@ -167,46 +137,32 @@ FROM msnap"""
 
 # ---------------------------------------------------------------- R4
 TK = f"{C}, video_category_id, trending_year, trending_month"
-
-
-def _on(a: str, b: str, cols: str) -> str:
-    return " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in cols.split(","))
-
+# The characters that become a space, and the one that is removed.
+TAG_SPACES = "'|,;' || chr(10) || chr(13) || chr(9)"
+TAG_DROPPED = "chr(34)"
+MONTH_ROWS = f"(SELECT * FROM msnap WHERE {C} IS NOT NULL AND video_category_id IS NOT NULL AND trending_year IS NOT NULL)"
 
 TAG_CTES = (
-    f"""tg_raw AS (
-  SELECT {TK}, lower(trim(tag)) AS tag
-  FROM (SELECT {TK}, unnest(string_split(video_tags, ',')) AS tag
-        FROM msnap WHERE video_tags IS NOT NULL))""",
-    f"""tg_clean AS (
-  SELECT {TK}, regexp_replace(regexp_replace(regexp_replace(regexp_replace(tag,
-           '[\\n\\r\\t]', ' ', 'g'), '["]', '', 'g'), '[|,;]', ' ', 'g'), '\\s+', ' ', 'g') AS tag
-  FROM tg_raw WHERE length(tag) > 1)""",
     f"""tag_counts AS (
-  SELECT {TK}, tag, CAST(count(*) AS BIGINT) AS tag_count
-  FROM tg_clean WHERE length(tag) > 1 AND {C} IS NOT NULL AND trending_year IS NOT NULL
-  GROUP BY {TK}, tag)""",
-    f"""tag_ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY {TK}
-      ORDER BY tag_count DESC, tag ASC) AS INTEGER) AS tag_rank
-  FROM tag_counts)""",
-    f"""top_tags AS (SELECT * FROM tag_ranked WHERE tag_rank <= 5)""",
-    f"""tag_lists AS (
-  SELECT {TK}, string_agg(tag, '|' ORDER BY tag_rank) AS top5_tags FROM top_tags GROUP BY {TK})""",
+  SELECT {TK}, regexp_replace(translate(tag, {TAG_SPACES} || {TAG_DROPPED}, repeat(' ', 6)), '\\s+', ' ', 'g') AS tag,
+         CAST(count(*) AS BIGINT) AS tag_count
+  FROM (SELECT {TK}, trim(unnest(string_split(lower(video_tags), ','))) AS tag FROM {MONTH_ROWS})
+  WHERE length(tag) > 1
+  GROUP BY ALL
+  HAVING length(regexp_replace(translate(tag, {TAG_SPACES} || {TAG_DROPPED}, repeat(' ', 6)), '\\s+', ' ', 'g')) > 1)""",
+    f"""top_tags AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {TK} ORDER BY tag_count DESC, tag) AS INTEGER) AS tag_rank
+  FROM tag_counts QUALIFY tag_rank <= 5)""",
 )
 CT_CTES = (
     *TAG_CTES,
-    f"""ct_app AS (
-  SELECT {TK}, count(video_id) AS trending_appearances FROM msnap GROUP BY {TK})""",
-    f"""ct_uv AS (
-  SELECT {TK}, video_id, max(video_view_count) AS v FROM msnap GROUP BY {TK}, video_id)""",
-    f"""ct_stats AS (SELECT {TK}, sum(v) AS total_views FROM ct_uv GROUP BY {TK})""",
     f"""category_trends AS (
-  SELECT a.{C}, a.video_category_id, a.trending_year, a.trending_month,
-         CAST(a.trending_appearances AS BIGINT) AS trending_appearances,
-         CAST(s.total_views AS BIGINT) AS total_views, t.top5_tags
-  FROM ct_app a JOIN ct_stats s ON {_on('a', 's', TK)}
-  LEFT JOIN tag_lists t ON {_on('a', 't', TK)})""",
+  SELECT * FROM (
+    SELECT {TK}, CAST(sum(n) AS BIGINT) AS trending_appearances, CAST(sum(v) AS BIGINT) AS total_views
+    FROM (SELECT {TK}, video_id, count(*) AS n, max(video_view_count) AS v FROM {MONTH_ROWS} GROUP BY ALL)
+    GROUP BY {TK})
+  LEFT JOIN (SELECT {TK}, string_agg(tag, '|' ORDER BY tag_rank) AS top5_tags FROM top_tags GROUP BY {TK})
+  USING ({TK}))""",
 )
 TAG_COUNTS = with_ctes(*TAG_CTES, final="SELECT * FROM tag_counts")
 TOP_TAGS = with_ctes(*TAG_CTES, final="SELECT * FROM top_tags")
@@ -214,32 +170,18 @@ CATEGORY_TRENDS = with_ctes(*CT_CTES, final="SELECT * FROM category_trends")
 
 # ---------------------------------------------------------------- R5
 VK = f"{C}, trending_year, trending_month"
+MONTH_FIELDS = (
+    "video_view_count, video_title, video_category_id, channel_title, video_like_count, "
+    "video_comment_count, video_duration"
+)
+MONTH_PEAK = _best(MONTH_FIELDS, MONTH_FIELDS.removeprefix("video_view_count, "))
 VT_CTES = (
-    f"""vt_app AS (
-  SELECT video_id, {VK}, count(video_id) AS trending_appearances FROM msnap
-  GROUP BY video_id, {VK})""",
-    f"""vt_peak AS (
-  SELECT * FROM (
-    SELECT video_id, {VK}, video_title, video_category_id, channel_title, video_view_count,
-           video_like_count, video_comment_count, video_duration,
-           row_number() OVER (PARTITION BY video_id, {VK}
-             ORDER BY video_view_count DESC NULLS LAST, video_title ASC NULLS LAST,
-                      video_category_id ASC NULLS LAST, channel_title ASC NULLS LAST,
-                      video_like_count ASC NULLS LAST, video_comment_count ASC NULLS LAST,
-                      video_duration ASC NULLS LAST) AS rn
-    FROM msnap) WHERE rn = 1)""",
-    f"""vt_joined AS (
-  SELECT p.*, a.trending_appearances FROM vt_peak p
-  JOIN vt_app a ON p.video_id = a.video_id AND {_on('p', 'a', VK)})""",
-    f"""vt_ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY {VK}
-      ORDER BY trending_appearances DESC, video_view_count DESC NULLS LAST, video_id ASC) AS rk
-  FROM vt_joined)""",
     f"""video_trends AS (
-  SELECT {C}, trending_year, trending_month, video_title, video_category_id, channel_title,
-         video_view_count, video_like_count, video_comment_count, video_duration,
-         CAST(trending_appearances AS BIGINT) AS trending_appearances
-  FROM vt_ranked WHERE rk = 1)""",
+  SELECT {VK}, {", ".join("p." + f for f in MONTH_FIELDS.split(", "))}, n AS trending_appearances
+  FROM (SELECT video_id, {VK}, CAST(count(*) AS BIGINT) AS n, {MONTH_PEAK} AS p
+        FROM msnap WHERE {C} IS NOT NULL AND trending_year IS NOT NULL GROUP BY video_id, {VK})
+  QUALIFY row_number() OVER (PARTITION BY {VK}
+          ORDER BY n DESC, p.video_view_count DESC NULLS LAST, video_id) = 1)""",
 )
 VIDEO_TRENDS = with_ctes(*VT_CTES, final="SELECT * FROM video_trends")
 
@@ -579,11 +521,20 @@ FROM video_trends"""
 )
 
 # ================================================================ sighting summary
+SK = f"{C}, video_category_id, channel_title, video_id, trending_year, trending_month, video_tags"
+
+
+def _peak_columns(prefix: str, fields: str) -> str:
+    return ", ".join(f"{prefix}.{f} AS {prefix}_{f}" for f in fields.split(", ") if f not in ("video_category_id", "channel_title"))
+
+
 SIGHTING_SUMMARY = with_ctes(
-    final=f"""SELECT {C}, video_category_id, channel_title, video_id, trending_year, trending_month, video_tags,
-       CAST(count(*) AS BIGINT) AS sightings, max(video_view_count) AS max_views,
-       max(video_like_count) AS max_likes, max(channel_subscriber_count) AS max_subscribers,
-       max(channel_view_count) AS max_channel_views, min(channel_custom_url) AS min_custom_url
-FROM msnap
-GROUP BY {C}, video_category_id, channel_title, video_id, trending_year, trending_month, video_tags"""
+    final=f"""SELECT {SK}, CAST(sightings AS BIGINT) AS sightings, max_views, max_likes, max_subscribers,
+       max_channel_views, min_custom_url, {_peak_columns('peak_video', PEAK_FIELDS)},
+       {_peak_columns('peak_month', MONTH_FIELDS)}
+FROM (SELECT {SK}, count(*) AS sightings, max(video_view_count) AS max_views,
+             max(video_like_count) AS max_likes, max(channel_subscriber_count) AS max_subscribers,
+             max(channel_view_count) AS max_channel_views, min(channel_custom_url) AS min_custom_url,
+             {PEAK} AS peak_video, {MONTH_PEAK} AS peak_month
+      FROM (SELECT *, {ENGAGEMENT} AS engagement_rating FROM msnap) GROUP BY {SK})"""
 )
