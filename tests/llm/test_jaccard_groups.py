@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("trendlake.llm")
 
-from trendlake.llm.jaccard_join import divide_skip, extra_length, prefix_length, size_classes, with_partner
+from trendlake.llm.jaccard_join import _perhaps_in, divide_skip, extra_length, prefix_length, size_classes, with_partner
 
 
 def _sets(rng, n):
@@ -49,3 +49,12 @@ def test_size_classes_keep_linkable_sizes_together():
     for n in range(1, 2000):
         most = n * 100 // 85
         assert np.searchsorted(borders, most, "right") - np.searchsorted(borders, n, "right") <= 1
+
+
+def test_the_bitmap_lets_every_needed_text_through_and_few_others(spark):
+    texts = spark.range(-500, 20_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    kept = spark.range(-500, 20_000, 7).selectExpr("id as node")
+    got = {r.doc_id for r in _perhaps_in(texts, kept).collect()}
+    needed = set(range(-500, 20_000, 7))
+    assert needed <= got and len(got - needed) < 100
+    assert _perhaps_in(texts, kept.limit(0)).count() == 0
