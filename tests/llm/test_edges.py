@@ -63,3 +63,17 @@ def test_passes_over_a_split_benchmark_agree(frames):
     whole = contamination(docs.where("doc_id <> 4"), items).select(columns).collect()
     split = contamination(docs.where("doc_id <> 4"), items, max_broadcast_words=20).select(columns).collect()
     assert sorted(whole) == sorted(split)
+
+
+@pytest.mark.parametrize("bound", [20, 5])
+def test_every_row_is_judged_by_its_own_text_whatever_the_passes(spark, frames, bound):
+    hit = " ".join(f"word{i}" for i in range(20))
+    rows = [(7, hit, "hit"), (7, "clean text here", "same id"), (7, hit + " tail", "third"), (None, hit, "null hit"), (None, "clean words only", "null clean"), (None, None, "null text"), (8, LONG, "part")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    items = spark.createDataFrame([(1, hit), (2, " ".join(f"word{i}" for i in range(10, 40))), (3, "one two"), (4, "third tail")], "item_id long, text string")
+    split = {"max_broadcast_words": bound}
+    for run in (lambda **k: contamination(docs, items, **k), lambda **k: decontaminate(docs, items, **k), lambda **k: decontaminate(docs, items, remove="spans", **k)):
+        assert sorted(map(repr, run(**split).collect())) == sorted(map(repr, run().collect()))
+    assert contamination(docs, items, **split).count() == len(rows)
+    assert {r.name for r in decontaminate(docs, items, **split).collect()} == {"same id", "null clean", "null text", "part"}
+    assert {r.name: r.text for r in decontaminate(docs, items, remove="spans", **split).collect()}["third"] == " tail"

@@ -8,11 +8,14 @@ verified word by word before it counts.
 
 Size of what is broadcast: the windows of at most ``max_broadcast_words`` item
 words travel in one pass.  A larger benchmark is split by a hash of its items
-into as many passes as that bound needs; the passes' hits are merged by document.
+into as many passes as that bound needs: the rows are written once with a row number,
+each pass is a written table (its broadcast is destroyed after it), and the passes'
+hits are merged by row number, so the size of a benchmark never changes a result.
 
 Defined results: null or empty text has no words and no hits; repeated item rows
 count once by id; an item without id marks words as hit but is not listed; an
-empty benchmark hits nothing; documents with a null id are kept as they are.
+empty benchmark hits nothing.  Each row is judged by its own text, whatever its id:
+rows with a null id or with the id of another row are documents of their own.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import row_slices
+from .store import cut, row_slices
 from .words import ALNUM, find_words, shingle_hashes
 
 SLICE_BYTES = 4 << 20
+ROW = "decontaminate_row"
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<first:int,end:int>>"
 
 
@@ -110,7 +114,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
 
 
 def _merge(parts: list[DataFrame], share: int) -> DataFrame:
-    """One row per document from the passes' rows: the union of the hit spans and of the items."""
+    """One row per row number from the passes' rows: the union of the hit spans and of the items."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part.where("n_hit > 0"))
@@ -128,6 +132,7 @@ def _merge(parts: list[DataFrame], share: int) -> DataFrame:
                              "contaminated": n_hit > 0 and share * n_hit >= r["n_words"], "items": items, "spans": _runs(flags)})
             yield pa.RecordBatch.from_pylist(rows, schema=_REPORT_ARROW)
 
+    # the scans give row numbers as doc_id
     grouped = every.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     return grouped.mapInArrow(joined, REPORT)
@@ -138,19 +143,38 @@ _REPORT_ARROW = pa.schema([
     ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """One row per document: words, hit words, items met, hit spans (word positions), and whether ``share * n_hit >= n_words``."""
-    spark = docs.sparkSession
+def _items(benchmark: DataFrame, max_broadcast_words: int) -> tuple[DataFrame, int]:
+    """The items with a text, and the passes that their size takes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    passes = max(1, math.ceil(total / 2 / max_broadcast_words))  # a word and its gap take two characters at least
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return items, max(1, math.ceil(total / 2 / max_broadcast_words))  # a word and its gap take two characters at least
+
+
+def _window_set(items: DataFrame, n: int):
+    return items.sparkSession.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in items.collect()], n))
+
+
+def _in_passes(docs: DataFrame, items: DataFrame, passes: int, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` written with a row number, and a report whose doc_id is that row number."""
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+    numbered = rows.select(F.col(ROW).alias("doc_id"), "text")
     parts = []
     for k in range(passes):
-        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        windows = spark.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in chosen.collect()], n))
-        parts.append(texts.mapInArrow(lambda batches, w=windows: _scan(w.value, share)(batches), REPORT))
-    return parts[0] if passes == 1 else _merge(parts, share)
+        windows = _window_set(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k), n)
+        parts.append(cut(numbered.mapInArrow(lambda batches, w=windows: _scan(w.value, share)(batches), REPORT), "decontaminate-pass"))
+        windows.destroy()
+    return rows, _merge(parts, share)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, max_broadcast_words: int = 2_000_000) -> DataFrame:
+    """One row per document: words, hit words, items met, hit spans (word positions), and whether ``share * n_hit >= n_words``."""
+    items, passes = _items(benchmark, max_broadcast_words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if passes > 1:
+        rows, report = _in_passes(texts, items, passes, n, share)
+        return rows.select(ROW, "doc_id").join(report.withColumnRenamed("doc_id", ROW), ROW).drop(ROW)
+    windows = _window_set(items, n)
+    return texts.mapInArrow(lambda batches: _scan(windows.value, share)(batches), REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, remove: str = "documents", max_broadcast_words: int = 2_000_000) -> DataFrame:
@@ -160,17 +184,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if total / 2 > max_broadcast_words:
-        report = contamination(docs, benchmark, n, share, max_broadcast_words)
-        if remove == "documents":
-            return docs.join(report.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-        raise ValueError("cutting spans takes a benchmark within max_broadcast_words; remove documents instead")
-    windows = spark.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in items.collect()], n))
+    items, passes = _items(benchmark, max_broadcast_words)
     at = docs.columns.index("text")
 
+    def cleaned(part, spans):
+        texts = [_without(t, s) for t, s in zip(part.column(at).to_pylist(), spans.to_pylist())]
+        return part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    if passes > 1:
+        rows, report = _in_passes(docs, items, passes, n, share)
+        report = report.withColumnRenamed("doc_id", ROW)
+        if remove == "documents":
+            return rows.join(report.where("contaminated").select(ROW), ROW, "left_anti").select(docs.columns)
+        found = rows.join(report.where("n_hit > 0").select(ROW, F.col("spans").alias("decontaminate_spans")), ROW, "left").select(*docs.columns, "decontaminate_spans")
+
+        def run_found(batches):
+            for batch in batches:
+                for part in row_slices(batch, "text", SLICE_BYTES):
+                    spans = part.column(part.num_columns - 1)
+                    yield cleaned(part.select(part.schema.names[:-1]), spans)
+
+        return found.mapInArrow(run_found, docs.schema)
+    windows = _window_set(items, n)
+
     def run(batches):
         scan = _scan(windows.value, share)
         for batch in batches:
@@ -180,8 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
                 if remove == "documents":
                     yield part.filter(pc.invert(report.column("contaminated")))
                 else:
-                    texts = [_without(t, s) for t, s in zip(part.column(at).to_pylist(), report.column("spans").to_pylist())]
-                    yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                    yield cleaned(part, report.column("spans"))
 
     return docs.mapInArrow(run, docs.schema)
 
