@@ -6,17 +6,21 @@ segmented into pieces in many ways; its probability is the sum over all of them,
 by a forward pass.  A text's log probability is the sum over its words.
 
 Learning: words of labelled texts are counted for each language (at most
-``words_per_language`` most frequent words, the bound of what the driver sees), and
+``words_per_language`` most frequent words, the bound of what the driver sees; of words
+seen equally often a hash decides, so scripts without spaces give an even sample), and
 ``rounds`` of expectation-maximisation by forward-backward turn them into expected
 piece counts, smoothed towards the same floor in every language.
 
+Words longer than ``MAX_WORD`` characters are cut into stretches of that many, in
+learning and in prediction alike.
+
 Prediction reads the text alone.  Every distinct word of a slice is scored once.
 ``score`` is the posterior of the predicted language, all learned ones being equally
 likely beforehand.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is
 every text if nothing can be learned; ties go to the language first by code point;
-rows without a label or text teach nothing.
+rows without a label or text teach nothing, and a label without any word is not learned.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ MAX_PIECE = 16
 FLOOR = 0.01
 UNKNOWN = -18.0  # log probability of a character that no piece covers
 MAX_MEMO = 300_000  # words whose scores a task keeps
-MAX_WORD = 64  # longer words are scored in stretches of this many characters
+MAX_WORD = 64  # longer words are learned and scored in stretches of this many characters
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,12 +133,13 @@ def _matrices(words: list[str]):
 
 def learn(labelled: DataFrame, pieces: list[str], label: str = "lang", words_per_language: int = 20_000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """The languages and log probabilities (languages x pieces) from the rows' ``text`` and label."""
-    words = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where(f"w <> '' and length(w) <= {MAX_WORD}")
+    stretches = F.regexp_extract_all(F.lower("text"), F.lit(rf"[^\x20\x09-\x0D]{{1,{MAX_WORD}}}"), F.lit(0))
+    words = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.explode(stretches).alias("w"))
     counted = words.groupBy("lang", "w").count()
     # a language may have most of the words: the best of each of 64 shares first, then the best of those
-    share = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("count"), "w")
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("count"), F.xxhash64("w"), "w")
     best = counted.withColumn("r", F.row_number().over(share)).where(F.col("r") <= words_per_language)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= words_per_language)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("w"), "w"))).where(F.col("r") <= words_per_language)
     rows = best.select("lang", "w", "count").collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
