@@ -1,19 +1,23 @@
 """Substring dedup by content-defined chunks: a gear rolling hash cuts, digests find repeats.
 
-A cut falls after a byte where the top bits of the 32-byte gear hash are zero, unless
-another such byte lies within the ``MIN_CHUNK - 1`` before it, and only before the
-start of a character.  Whether a place is a cut depends on the bytes near it alone, so
-an insertion shifts no chunk but those around it.  Stretches without a cut are divided
-every ``MAX_CHUNK`` bytes from their last cut.
-
-The first occurrence of a chunk (by doc_id, then place) stays.  A run of neighbouring
-chunks that all stand earlier elsewhere is removed if it has ``min_bytes`` or more; a
-short chunk that happens to recur is no reason to cut a text.  The 64-bit digests are
-enough for that: a removed run needs several neighbouring chunks to be repeats.
+A cut falls after a byte whose gear hash (over the last ``GEAR_WINDOW`` bytes) is the
+least of some ``CUT_WINDOW`` neighbouring ones of its text, and only before the start of
+a character.  Whether a place is a cut depends on the bytes near it alone, so an insertion
+shifts no chunk but those around it, and two copies of a passage of ``2 * CUT_WINDOW +
+GEAR_WINDOW`` bytes have a whole chunk in common wherever they stand (unless the passage
+repeats itself within ``CUT_WINDOW`` bytes: of such cuts the first stays).  Stretches
+without a cut are divided every ``MAX_CHUNK`` bytes from their last cut.
+
+The first occurrence of a chunk (by doc_id, then place) stays.  Neighbouring chunks whose
+first occurrences are neighbours in one text form a run; a run is extended byte by byte
+at both ends, as far as ``REACH`` bytes, while the bytes equal those beside the first
+occurrence.  What adjoining extended runs cover is removed if it has ``min_bytes`` or
+more; a short chunk that happens to recur is no reason to cut a text.
 
 Skew: chunks are counted with map-side combining, so the copies of a chunk in a third
 of all documents reach the reducer as one row for each task; the join back is an
-ordinary equi-join that adaptive execution splits.
+ordinary equi-join that adaptive execution splits.  The bytes beside a first occurrence
+are read once for all runs that need them and joined back in the same way.
 
 Defined results: null text is empty and keeps nothing to remove; rows equal in id and
 text count as one document; further rows with the same text under another id are
@@ -34,16 +38,16 @@ from .store import cut, row_slices
 from .words import mix, text_bytes
 
 SLICE_BYTES = 2 << 20
-GEAR_WINDOW = 32
-CUT_BITS = 4
-MIN_CHUNK = 16
+GEAR_WINDOW = 16
+CUT_WINDOW = 80
 MAX_CHUNK = 1024
+REACH = 2 * CUT_WINDOW
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """``h = (h << 1) + gear[byte]`` on 32 bits at every byte: a sum over the last 32 bytes, built by doubling."""
+    """``h = (h << 1) + gear[byte]`` on 32 bits at every byte: a sum over the last ``GEAR_WINDOW`` bytes, built by doubling."""
     h = GEAR[data]
     reach = 1
     while reach < GEAR_WINDOW:
@@ -52,18 +56,38 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def window_minima(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places behind the least hash of every ``CUT_WINDOW`` places that lie in one text (the last of equal ones)."""
+    n = len(data)
+    if n < CUT_WINDOW + GEAR_WINDOW:
+        return np.zeros(0, np.int64)
+    key = np.append(gear_hashes(data)[:-1].astype(np.uint64), np.uint64(0))  # of a cut before byte i + 1
+    key[:-1][(data[1:] & 0xC0) == 0x80] = np.uint64(0xFFFFFFFF)
+    key = (key << np.uint64(32)) | np.arange(n, 0, -1).astype(np.uint64)
+    least, reach = key, 1
+    while 2 * reach <= CUT_WINDOW:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    size = n - CUT_WINDOW + 1
+    least = np.minimum(least[:size], least[CUT_WINDOW - reach:][:size])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(size)
+    # neither hash nor window may reach into another text, and no cut falls behind a text's last byte
+    inside = (at - offsets[row[:size]] >= GEAR_WINDOW - 1) & (at + CUT_WINDOW < offsets[1:][row[:size]])
+    found = least[inside]
+    found = found[np.diff(found, prepend=np.uint64(0)) != 0]
+    place, value = n - (found & np.uint64(0xFFFFFFFF)).astype(np.int64), found >> np.uint64(32)
+    again = np.zeros(len(place), bool)
+    again[1:] = (np.diff(place) <= CUT_WINDOW) & (value[1:] == value[:-1]) & (row[place[1:]] == row[place[:-1]])
+    return place[~again & (value != np.uint64(0xFFFFFFFF))] + 1
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of all chunks of some texts that lie end to end in ``data``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    low = np.flatnonzero((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1  # a cut falls before this byte
-    low = low[low < n]
-    row = np.searchsorted(offsets, low, side="right") - 1
-    low = low[low - offsets[row] >= GEAR_WINDOW]  # the hash must not reach into the text before
-    gap = np.diff(low, prepend=-MIN_CHUNK)
-    low = low[gap >= MIN_CHUNK]
-    low = low[(data[low] & 0xC0) != 0x80]
+    low = window_minima(data, offsets)
     starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], low)
     room = np.diff(np.append(starts, n))
     for k in np.flatnonzero(room > MAX_CHUNK).tolist():
@@ -101,16 +125,72 @@ def text_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def removed_spans(repeats: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
-    """Runs of neighbouring repeated chunks ``(first byte, end byte)`` of ``min_bytes`` or more."""
+    """What adjoining or overlapping repeats ``(first byte, end byte)`` cover, if that has ``min_bytes`` or more."""
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(set(repeats)):
-        if out and out[-1][1] == lo:
-            out[-1] = out[-1][0], hi
+        if out and out[-1][1] >= lo:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
         else:
             out.append((lo, hi))
     return [s for s in out if s[1] - s[0] >= min_bytes]
 
 
+RUN = "doc_id long, mark int, lo int, hi int, first_id long, first_mark int, first_lo int, first_hi int"
+
+
+def _runs(batches):
+    """Neighbouring repeated chunks with neighbouring first occurrences in one text, as one row."""
+    for batch in batches:
+        out = []
+        for doc, repeats in zip(batch.column("id").to_pylist(), batch.column("repeats").to_pylist()):
+            last = None
+            for r in sorted(repeats, key=lambda r: (r["mark"], r["lo"])):
+                f = r["first"]
+                if last and last[1:2] + last[3:6:2] == [r["mark"], r["lo"], f["mark"]] and last[4] == f["doc_id"] and last[7] == f["lo"]:
+                    last[3] += r["size"]
+                    last[7] += r["size"]
+                elif not last or last[1] != r["mark"] or r["lo"] >= last[3]:  # rows equal in id and text bring a chunk twice
+                    last = [doc, r["mark"], r["lo"], r["lo"] + r["size"], f["doc_id"], f["mark"], f["lo"], f["lo"] + r["size"]]
+                    out.append(last)
+        columns = list(zip(*out)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (0, 4) else pa.int32()) for k, c in enumerate(columns)],
+                                         names=["doc_id", "mark", "lo", "hi", "first_id", "first_mark", "first_lo", "first_hi"])
+
+
+def _beside(batches):
+    """The ``REACH`` bytes before and behind wanted places of the texts."""
+    for part in _slices(batches):
+        data, offsets = text_bytes(part.column("text"))
+        raw, marks = data.tobytes(), text_marks(data, offsets)
+        rows = []
+        for k, (doc, places) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("places").to_pylist())):
+            lo, hi = int(offsets[k]), int(offsets[k + 1])
+            for p in places:
+                if p["mark"] == marks[k]:
+                    at = lo + p["at"]
+                    rows.append((doc, p["mark"], p["at"], p["behind"], raw[at:min(at + REACH, hi)] if p["behind"] else raw[max(lo, at - REACH):at]))
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["place_id", "place_mark", "place_at", "behind", "bytes"])
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def extended(text: bytes, lo: int, hi: int, before: bytes, behind: bytes) -> tuple[int, int]:
+    """``lo, hi`` moved outwards over the bytes that equal ``before`` and ``behind``, to starts of characters."""
+    end = hi + common_prefix(text[hi:hi + REACH], behind)
+    begin = lo - common_prefix(text[max(0, lo - REACH):lo][::-1], before[::-1])
+    while begin < lo and text[begin] & 0xC0 == 0x80:
+        begin += 1
+    while hi < end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return begin, end
+
+
 def _report(min_bytes: int):
     def run(batches):
         for part in _slices(batches):
@@ -119,7 +199,7 @@ def _report(min_bytes: int):
             rows = []
             for k, repeats in enumerate(part.column("repeats").to_pylist()):
                 text = raw[int(offsets[k]):int(offsets[k + 1])]
-                spans = removed_spans([(r["lo"], r["lo"] + r["size"]) for r in repeats or () if r["mark"] == marks[k]], min_bytes)
+                spans = removed_spans([extended(text, r["lo"], r["hi"], r["before"] or b"", r["behind"] or b"") for r in repeats or () if r["mark"] == marks[k]], min_bytes)
                 kept, at = [], 0
                 for lo, hi in spans:
                     kept.append(text[at:lo])
@@ -135,10 +215,23 @@ def _report(min_bytes: int):
 def repeated_chunks(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the ``kept`` text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = cut(texts.mapInArrow(_chunk_rows, "digest long, doc_id long, mark int, lo int, size int"), "chunks")
+    # chunked twice rather than written: what a text's chunks are depends on nothing else
+    chunks = texts.mapInArrow(_chunk_rows, "digest long, doc_id long, mark int, lo int, size int")
     place = F.struct("doc_id", "mark", "lo")
     first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     repeats = chunks.join(first, "digest").where(~place.eqNullSafe(F.col("first")))
-    merged = repeats.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "size")).alias("repeats"))
-    found = texts.join(merged, texts.doc_id.eqNullSafe(merged.id), "left").select("doc_id", "text", "repeats")
+    merged = repeats.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "size", "first")).alias("repeats"))
+    runs = cut(merged.mapInArrow(_runs, RUN), "chunk-runs")
+    ends = [runs.select(F.col("first_id").alias("place_id"), F.col("first_mark").alias("place_mark"), F.col(at).alias("place_at"), F.lit(behind).alias("behind")) for at, behind in (("first_lo", False), ("first_hi", True))]
+    wanted = ends[0].unionByName(ends[1]).distinct().groupBy(F.col("place_id").alias("id")).agg(F.collect_list(F.struct(F.col("place_mark").alias("mark"), F.col("place_at").alias("at"), "behind")).alias("places"))
+    # rows equal in id and text give the same bytes
+    beside = cut(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("doc_id", "text", "places").mapInArrow(_beside, "place_id long, place_mark int, place_at int, behind boolean, bytes binary"), "chunk-beside").groupBy("place_id", "place_mark", "place_at", "behind").agg(F.first("bytes").alias("bytes"))
+
+    def with_bytes(df, at, behind, name):
+        side = beside.where(F.col("behind") == behind).select("place_id", "place_mark", "place_at", F.col("bytes").alias(name))
+        return df.join(side, df.first_id.eqNullSafe(side.place_id) & (df.first_mark == side.place_mark) & (df[at] == side.place_at), "left").drop("place_id", "place_mark", "place_at")
+
+    known = with_bytes(with_bytes(runs, "first_lo", False, "before"), "first_hi", True, "behind")
+    spans = known.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "hi", "before", "behind")).alias("repeats"))
+    found = texts.join(spans, texts.doc_id.eqNullSafe(spans.id), "left").select("doc_id", "text", "repeats")
     return found.mapInArrow(_report(min_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
