@@ -15,9 +15,10 @@ split; the chain from the entries is what is kept, and magic inside payloads nev
 whose chain does not end at the end of the file is reported by ``broken_files``.
 
 Defined results: null html is the empty payload; null urls are written without a target;
-line breaks in a url are percent-encoded; page_id must not be null (such pages
-are not archived); repeated page_ids are archived each and equal payloads among them refer
-to the largest id; an empty table writes no file.
+line breaks in a url are percent-encoded; pages without a page_id are archived each as
+``<urn:page:>`` and read back with a null one, null being less than any id; repeated
+page_ids are archived each and equal payloads among them refer to the largest id; an empty
+table writes no file.
 """
 
 from __future__ import annotations
@@ -41,17 +42,17 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 def plan_records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """Pages with payload_bytes, payload_digest (SHA-1), record_type and refers_to."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    held = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
     # one row of each payload comes back by its digest; pre-aggregated, so copies cost a row for each task
     several = held.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("c")).where("c > 1").select("payload_digest", "response")
     joined = held.join(several, "payload_digest", "left")
-    revisit = F.col("response").isNotNull() & (F.col("response") != F.col("page_id")) & (F.col("payload_bytes") >= min_revisit)
+    revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_revisit)
     return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
                          F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
 
-def record_bytes(page_id: int, url: str | None, html: bytes, payload_bytes: int, digest: str, kind: str, refers_to: int | None) -> bytes:
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+def record_bytes(page_id: int | None, url: str | None, html: bytes, payload_bytes: int, digest: str, kind: str, refers_to: int | None) -> bytes:
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{"" if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload_bytes}"]
@@ -216,7 +217,11 @@ def parse_record(raw: bytes) -> dict:
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     payload = block[:-4].partition(b"\r\n\r\n")[2]
-    number = lambda name: int(fields[name].removeprefix("<urn:page:").removesuffix(">"))
+
+    def number(name):
+        digits = fields[name].removeprefix("<urn:page:").removesuffix(">")
+        return int(digits) if digits else None
+
     out = {"page_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI")}
     if fields["WARC-Type"] == "revisit":
         return out | {"payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number("WARC-Refers-To"), "payload": None}
