@@ -47,7 +47,8 @@ STAGES = [
     ("token_output", shipped(token_output)),
 ]
 
-#: The learned rules and the tokenizer have no SQL; tests hold the pipeline against brute force.
+#: The learned rules and the tokenizer have no SQL; a test holds near duplicates and contamination, each over all
+#: documents, against brute force.  No test holds the other stages or the whole of ``run``.
 ORACLE_SQL = None
 
 
