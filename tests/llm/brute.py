@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -131,3 +132,68 @@ def token_rows(docs, encode):
         out.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def planted_words(doc_id, text):
+    """The words of a text, repeated from a place on where the id's CRC asks for it."""
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if h % 10 or not n or doc_id is None:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+
+
+def word_runs(w, exponent=4, least=6):
+    """(start, length, period) of all runs: for each period the maximal stretches of words that equal the word a period on."""
+    found, n = {}, len(w)
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(least, exponent * q) and not any(s <= i and i + length <= s + m and q % p == 0 for (s, p), m in found.items() if p < q):
+                found[i, q] = length
+            i = j
+    return sorted((s, m, q) for (s, q), m in found.items())
+
+
+def periodic_row(w):
+    runs = sorted(word_runs(w), key=lambda r: (r[0], r[2]))
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    lines = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def importance_rows(docs, target, buckets=10_000, percent=25, min_words=20):
+    """doc_id -> n_features, weight, score, rank."""
+    def features(t):
+        w = ALNUM_WORD.findall((t or "").translate(ASCII_LOWER))
+        return len(w), [zlib.crc32(x.encode()) % buckets for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    source, wanted = Counter(), Counter()
+    held = {}
+    for d, t in docs:
+        held[d] = features(t)
+        source.update(held[d][1])
+    for t in target:
+        wanted.update(features(t)[1])
+    s_all, t_all = float(sum(source.values())), float(sum(wanted.values()))
+    gain = [math.floor(1000 * math.log((wanted[b] + 1.0) * (s_all + buckets) / ((source[b] + 1.0) * (t_all + buckets)))) for b in range(buckets)]
+    out = {}
+    for d, (n, found) in held.items():
+        weight = sum(gain[b] for b in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"7:{d}".encode()).hexdigest()[:8], 16)
+        out[d] = (len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    open_ = sorted((d for d in held if held[d][0] >= min_words), key=lambda d: (-out[d][2], d))
+    rank = {d: k + 1 for k, d in enumerate(open_[:percent * len(open_) // 100])}
+    return {d: (*x, rank.get(d)) for d, x in out.items()}

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from . import oracles
 from .chunk_dedup import repeated_chunks
 from .decontaminate import contamination
+from .importance import importance_scores, with_rank
 from .jaccard_join import jaccard_classes
 from .language_id import identify, learn, load_pieces
 from .mixing import with_copies
+from .periodic_runs import periodic_runs
 from .quality_rules import judge
 from .secret_scan import scan_secrets
 from .store import shipped
 from .suffix_dedup import repeated_strings
+from .text_stats import let, whole_text, words
 from .token_store import write_tokens
+from .toxicity import learn_toxicity, predicted, score_toxicity
 from .warc import read_archives, write_archives
 
 
@@ -75,5 +79,44 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality_rules, op2_mixing, op3_token_store, op4_chunk_dedup, op5_suffix_dedup, op6_warc, op7_jaccard_join, op8_language_id, op9_decontaminate, op10_secret_scan)}
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, the words of one id in ten repeated from a place on with a period, both by the id's CRC."""
+    doc_id = F.col("doc_id").cast("long")
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        tail = F.transform(F.sequence(a, n.cast("int") - 1), lambda i: F.get(w, a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")).otherwise("")
+
+    return docs.select(doc_id.alias("doc_id"), F.when(h % 10 == 0, let(words(whole_text()), repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs(planted_repeats(_table(spark, sf_dir, "documents")), exponent=4, least=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = learn_toxicity(docs, labels.where(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
+
+
+def op13_importance(spark, sf_dir):
+    scored = importance_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, seed="7")
+    return with_rank(scored.drop("text"), percent=25, min_words=20).drop("n_words")
+
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality_rules, op2_mixing, op3_token_store, op4_chunk_dedup, op5_suffix_dedup, op6_warc, op7_jaccard_join, op8_language_id, op9_decontaminate, op10_secret_scan, op11_periodic_runs, op12_toxicity, op13_importance)}
 ORACLE_SQL = oracles.ORACLE_SQL
