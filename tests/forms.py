@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 from itertools import groupby
 
+from tests.conftest import snap_row
+
 C, CAT, V, CH = "video_trending_country", "video_category_id", "video_id", "channel_title"
 
 
@@ -95,3 +98,18 @@ def month_videos(rows):
         shown = (country, year, month, r["video_title"], r[CAT], r[CH], views, r["video_like_count"], r["video_comment_count"], r["video_duration"], len(seen))
         found.append(((country, year, month), (-len(seen), high(views), video), shown))
     return [row[:-1] for row in best(found, 1)]
+
+
+def random_rows(seed, n=300):
+    rnd = random.Random(seed)
+    values = {
+        "video_id": list("abcdefg"),
+        "video_trending_country": ["US", "DE", "JP", None],
+        "video_category_id": ["Music", "News", "Gaming", "Sports", "Film", "Autos", None],
+        "video_view_count": ["1", "5", "10", "100", "x", None, "0"],
+        "video_like_count": ["1", "2", None, "bad"],
+        "channel_title": ["c1", "c2", None],
+        "video_title": ["t1", "t2", None],
+        "video_trending__date": ["2024.01.05", "2024.01.20", "2024.02.01", "x", None],
+    }
+    return [snap_row(**{c: rnd.choice(v) for c, v in values.items()}) for _ in range(n)]

@@ -1,29 +1,12 @@
 """The rankings against plain Python on hand-made and random rows (tests/forms.py)."""
 
-import random
-
 import pytest
 
 from trendlake.fixtures import daily_raw
 from trendlake.operators import clean_snapshots, sighting_summary, top_categories, top_channels, top_videos, video_trends, with_trending_month
 
 from tests import forms
-from tests.conftest import SF_SMALL, raw_rows, snap_row
-
-
-def random_rows(seed, n=300):
-    rnd = random.Random(seed)
-    values = {
-        "video_id": list("abcdefg"),
-        "video_trending_country": ["US", "DE", "JP", None],
-        "video_category_id": ["Music", "News", "Gaming", "Sports", "Film", "Autos", None],
-        "video_view_count": ["1", "5", "10", "100", "x", None, "0"],
-        "video_like_count": ["1", "2", None, "bad"],
-        "channel_title": ["c1", "c2", None],
-        "video_title": ["t1", "t2", None],
-        "video_trending__date": ["2024.01.05", "2024.01.20", "2024.02.01", "x", None],
-    }
-    return [snap_row(**{c: rnd.choice(v) for c, v in values.items()}) for _ in range(n)]
+from tests.conftest import SF_SMALL, raw_rows
 
 
 def rows_of(df):
@@ -41,7 +24,7 @@ def check(snap, k):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_random_rows_with_nulls(spark, seed):
-    check(clean_snapshots(raw_rows(spark, random_rows(seed))), 3)
+    check(clean_snapshots(raw_rows(spark, forms.random_rows(seed))), 3)
 
 
 def test_daily_view(spark):

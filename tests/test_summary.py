@@ -19,7 +19,7 @@ from trendlake.session import scratch_dir
 from trendlake.sources import write_snapshots
 
 from tests.conftest import SF_SMALL, raw_rows
-from tests.test_rankings import _random_rows
+from tests.forms import random_rows
 
 OPS = [top_categories, top_channels, top_videos, peak_snapshots, tag_counts, category_trends, video_trends]
 
@@ -44,7 +44,7 @@ def test_summary_gives_same_rows_on_fixture(fixture_pair, op):
 
 def test_summary_gives_same_rows_on_random_frames(spark):
     for seed in range(3):
-        rows = _random_rows(seed, n=400)
+        rows = random_rows(seed, n=400)
         for i, r in enumerate(rows):  # repeated sightings over a few dates, some bad
             r["video_trending__date"] = ["2024.01.05", "2024.01.20", "2024.02.01", "bad", None][i % 5]
             r["video_tags"] = ["a,bb,cc", "bb; Dd", None, "x|y,zz"][i % 4]
@@ -55,7 +55,7 @@ def test_summary_gives_same_rows_on_random_frames(spark):
 
 
 def test_summary_shrinks_repeated_sightings(spark):
-    rows = [dict(r, video_trending__date=f"2024.01.{d:02d}") for r in _random_rows(1, n=50) for d in range(1, 11)]
+    rows = [dict(r, video_trending__date=f"2024.01.{d:02d}") for r in random_rows(1, n=50) for d in range(1, 11)]
     snap = clean_snapshots(raw_rows(spark, rows))
     assert sighting_summary(snap).count() * 5 <= snap.count()
 
