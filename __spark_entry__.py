@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendlake import oracle
+from trendlake import oracle, store_queries
 from trendlake.fixtures import DRAFT_SPEC, daily_raw, drafts, read_table, trending_raw
 from trendlake.functions import (
     channel_link,
@@ -352,6 +352,8 @@ def _own_queries() -> dict[str, Q]:
         "daily_category_trends": _on_summary(lambda s: publishable(category_trends(s)), daily_raw),
         "daily_video_trends": _on_summary(video_trends, daily_raw),
         "daily_display_videos": lambda spark, sf: display_rows(top_videos(clean_snapshots(daily_raw(spark, sf))), "videos"),
+        # published stores, CSV files of several headers, long lists
+        **store_queries.QUERIES,
     }
 
 
@@ -424,4 +426,5 @@ def _own_oracle_sql() -> dict[str, str]:
         "daily_category_trends": o.on_daily(o.CATEGORY_TRENDS),
         "daily_video_trends": o.on_daily(o.VIDEO_TRENDS),
         "daily_display_videos": o.on_daily(o.DISPLAY_VIDEOS),
+        **store_queries.ORACLE_SQL,
     }

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+
+from trendlake.sources.sinks import VERSION_SUFFIX
 
 # Statement kinds the ad-hoc endpoint accepts.
 READ_ONLY_PREFIXES = ("SELECT", "SHOW", "DESCRIBE", "WITH")
@@ -15,12 +16,31 @@ READ_ONLY_PREFIXES = ("SELECT", "SHOW", "DESCRIBE", "WITH")
 _REFUSED_NODES = {"ScriptTransformation", "CallMethodViaReflection", "TryReflect"}
 
 
+def _shown(name: str) -> bool:
+    """Versions that a published table's view points at are not listed."""
+    return not VERSION_SUFFIX.search(name)
+
+
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Names of the non-temporary tables, sorted."""
-    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and _shown(t.name))
     return spark.createDataFrame([(n,) for n in names], "table_name string")
 
 
+def list_all_tables(spark: SparkSession) -> DataFrame:
+    """C1 over every catalog and database: (catalog, database, table_name), sorted."""
+    found = []
+    current = spark.catalog.currentCatalog()
+    for catalog in sorted(c.name for c in spark.catalog.listCatalogs()):
+        try:
+            spark.catalog.setCurrentCatalog(catalog)
+            for database in sorted(d.name for d in spark.catalog.listDatabases()):
+                found += [(catalog, database, t.name) for t in spark.catalog.listTables(database) if not t.isTemporary and _shown(t.name)]
+        finally:
+            spark.catalog.setCurrentCatalog(current)
+    return spark.createDataFrame(sorted(found), "catalog string, database string, table_name string")
+
+
 def require_table(spark: SparkSession, name: str) -> None:
     """Raise ``KeyError`` when the table does not exist."""
     if not spark.catalog.tableExists(name):
@@ -28,24 +48,18 @@ def require_table(spark: SparkSession, name: str) -> None:
 
 
 def describe_table(spark: SparkSession, table: str | DataFrame) -> DataFrame:
-    """(field, type, null, default) per column in order; default is NULL."""
+    """(field, type, null, default) per column in order.  The default is the text that
+    the column was declared with (``DEFAULT ...``), else NULL."""
     if isinstance(table, str):
         require_table(spark, table)
         schema = spark.table(table).schema
     else:
         schema = table.schema
-    rows = [(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", None) for f in schema.fields]
-    return spark.createDataFrame(
-        rows,
-        T.StructType(
-            [
-                T.StructField("field", T.StringType()),
-                T.StructField("type", T.StringType()),
-                T.StructField("null", T.StringType()),
-                T.StructField("default", T.StringType()),
-            ]
-        ),
-    )
+    rows = [
+        (f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO", f.metadata.get("CURRENT_DEFAULT"))
+        for f in schema.fields
+    ]
+    return spark.createDataFrame(rows, "field string, type string, null string, default string")
 
 
 class ReadOnlyViolation(PermissionError):

@@ -103,42 +103,62 @@ def series_domain(rows: DataFrame, value: str = APPEARANCES, by: Sequence[str] =
 
 
 def trend_series(
-    rows: DataFrame, series: str = CATEGORY, value: str = APPEARANCES, by: Sequence[str] = (COUNTRY,)
+    rows: DataFrame,
+    series: str = CATEGORY,
+    value: str = APPEARANCES,
+    by: Sequence[str] = (COUNTRY,),
+    tags: str | None = None,
 ) -> DataFrame:
     """A13 / P16, one row per chart point: (country, series, point_index,
     date, value); points without a date are dropped, the rest numbered in
-    date order within their series."""
+    date order within their series.  ``tags`` names the column of the month's
+    tags, which each point then carries as an array (F9)."""
     pts = (
         rows.withColumn("_date", _point_date(rows))
         .filter(F.col("_date").isNotNull())
         .withColumn("_series", F.coalesce(F.col(series).cast("string"), F.lit("")))
         .withColumn("_value", number_or_zero(value))
     )
-    w = Window.partitionBy(*by, "_series").orderBy(F.col("_date").asc(), F.col("_value").asc())
+    order = [F.col("_date").asc(), F.col("_value").asc()]
+    carried = []
+    if tags is not None:
+        pts = pts.withColumn("_tags", parse_tags(tags, rows.schema[tags].dataType))
+        order.append(F.col("_tags").asc())
+        carried = [F.col("_tags").alias("tags")]
+    w = Window.partitionBy(*by, "_series").orderBy(*order)
     return pts.withColumn("point_index", F.row_number().over(w)).select(
         *by,
         F.col("_series").alias(series),
         "point_index",
         F.col("_date").alias("date"),
         F.col("_value").alias("value"),
+        *carried,
     )
 
 
 def trend_series_arrays(
-    rows: DataFrame, series: str = CATEGORY, value: str = APPEARANCES, by: Sequence[str] = (COUNTRY,)
+    rows: DataFrame,
+    series: str = CATEGORY,
+    value: str = APPEARANCES,
+    by: Sequence[str] = (COUNTRY,),
+    tags: str | None = None,
 ) -> DataFrame:
-    """A13 as arrays: one row per series with its date-sorted points.  A series
-    holds one point per month, so each array is bounded by the calendar."""
-    pts = trend_series(rows, series, value, by)
+    """A13 as arrays: one row per series with its date-sorted points (date, value and, with
+    ``tags``, the month's tags).  A series holds one point per month, so each array is bounded
+    by the calendar."""
+    pts = trend_series(rows, series, value, by, tags)
+    fields = ["date", "value"] + (["tags"] if tags is not None else [])
     return pts.groupBy(*by, series).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("point_index", "date", "value"))),
-            lambda p: F.struct(p["date"].alias("date"), p["value"].alias("value")),
+            F.array_sort(F.collect_list(F.struct("point_index", *fields))),
+            lambda p: F.struct(*[p[f].alias(f) for f in fields]),
         ).alias("points")
     )
 
 
-def pinned_points(rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str = "category") -> DataFrame:
+def pinned_points(
+    rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str = "category", position: Sequence[str] = ()
+) -> DataFrame:
     """R10 (J6): pinned cards for ``name|date`` keys, in the order given.
 
     ``rows`` are one country's trend rows (R7 shape).  The name is the
@@ -146,6 +166,10 @@ def pinned_points(rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str =
     the date is the date part of ``date``.  Keys without a row are dropped.
     Keys come as a list or as a DataFrame (``pos``, ``key``); the join is a plain
     one, so Spark broadcasts them by their bytes or not at all.
+
+    Of rows with one key, the last in input order counts.  A DataFrame has no order of
+    its own, so ``position`` names the columns that give it (``position`` of an ordered
+    table, or ``file`` and ``offset`` of CSV rows).  Without them, the least row counts.
     """
     if kind not in ("category", "video"):
         raise ValueError("kind must be 'category' or 'video'")
@@ -159,8 +183,12 @@ def pinned_points(rows: DataFrame, keys: Sequence[str] | DataFrame, kind: str =
     else:
         name = F.coalesce(F.col("video_title").cast("string"), F.lit(""))
     keyed = rows.withColumn("key", F.concat(name, F.lit("|"), date_part_text("date")))
-    others = [c for c in keyed.columns if c != "key"]
-    one = first_per_group(keyed, ["key"], [asc(c) for c in others])
+    others = [c for c in keyed.columns if c != "key" and c not in position]
+    if position:
+        last = F.max(F.struct(*position, *others)).alias("_last")  # an aggregate, so combined map-side
+        one = keyed.groupBy("key").agg(last).select("key", *[F.col(f"_last.{c}").alias(c) for c in others])
+    else:
+        one = first_per_group(keyed, ["key"], [asc(c) for c in others])
     hit = one.join(key_df, on="key", how="inner")
     if kind == "category":
         tags_type = rows.schema["top5_tags"].dataType if "top5_tags" in rows.columns else T.StringType()

@@ -11,6 +11,10 @@ as ``min(struct(order key, payload))``.  This is an ordinary aggregate, so it is
 combined map-side: a group with a third of all rows is reduced inside every
 map task and the shuffle carries one row per group per task.  A window would
 instead shuffle and sort every row of that group in one task.
+
+``rank_by_range``    exact ranks of any length: the rows are range partitioned by group and
+order, and a row's rank is its place in its partition plus the group's rows in the partitions
+before it.  A group with a third of all rows is spread over a third of the partitions.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendlake.session import scratch_dir
+
 
 @dataclass(frozen=True)
 class Order:
@@ -53,15 +59,42 @@ def top_k_per_group(
     """Keep the first ``k`` rows of every partition and number them 1..k.
 
     The partial WindowGroupLimit is planned for ``k`` up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).  A session that
-    asks for longer lists should raise that setting itself.
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).  Longer lists go by
+    ``rank_by_range``, which writes a table; a session may raise that setting instead.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if 0 <= threshold < k:
+        return rank_by_range(df, partition_by, order, rank_col).filter(F.col(rank_col) <= k)
     w = Window.partitionBy(*partition_by).orderBy(*[o.as_sort_column() for o in order])
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def rank_by_range(df: DataFrame, partition_by: Sequence[str], order: Sequence[Order], rank_col: str = "rank") -> DataFrame:
+    """``df`` with the row number of each row within its group, without a task that holds a group.
+
+    The ranges are sampled from the data and cut groups anywhere, so every partition holds
+    about as many rows.  The sorted rows are written once, with their place (partition number
+    and row in it), which makes the places a fact that any later task reads alike.  ``order``
+    should decide between all rows of a group; NULL keys form a group.
+    """
+    groups = [F.col(c).asc_nulls_first() for c in partition_by]
+    sort = [*groups, *[o.as_sort_column() for o in order]]
+    path = scratch_dir(df.sparkSession, "ranked")
+    df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    names = [f"_group_{i}" for i in range(len(partition_by))]
+    pieces = placed.groupBy(*[F.col(c).alias(n) for c, n in zip(partition_by, names)], F.col("_range").alias("_of")).agg(
+        F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    shifts = pieces.select(*names, "_of", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_range") == F.col("_of")
+    for c, n in zip(partition_by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return placed.join(shifts, same).select(*df.columns, (F.col("_place") + F.col("_shift")).cast("int").alias(rank_col))
+
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 

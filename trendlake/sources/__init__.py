@@ -1,5 +1,8 @@
 """Readers (S1, S2, S6, S7) and sinks."""
 
+from trendlake.sources.csv_files import CsvFiles, read_csv_files
+from trendlake.sources.ordered import OrderedTable, open_ordered, write_ordered
+from trendlake.sources.releases import Release, open_release, publish_release, sweep
 from trendlake.sources.results import read_results_csv
 from trendlake.sources.sinks import (
     export_csv,
@@ -23,4 +26,13 @@ __all__ = [
     "publish_jdbc",
     "publishable",
     "read_published",
+    "CsvFiles",
+    "read_csv_files",
+    "OrderedTable",
+    "open_ordered",
+    "write_ordered",
+    "Release",
+    "open_release",
+    "publish_release",
+    "sweep",
 ]

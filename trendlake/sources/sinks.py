@@ -9,6 +9,9 @@ task; it is meant for the small top-k tables.
 
 from __future__ import annotations
 
+import os
+import re
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -89,8 +92,9 @@ def publish(
     """S8 + S10: full refresh of one result table.
 
     With ``path`` the table is written as Parquet there; without, it is saved
-    to the session catalog under ``table``.  Rows are partitioned by country
-    and sorted by the table's lookup keys within each file.
+    to the session catalog under ``table`` (a view of its latest version).  Rows are
+    partitioned by country and sorted by the table's lookup keys within each file.
+    Several tables are replaced together by ``sources.releases``.
     """
     spec = RESULT_TABLES.get(table)
     out = conform(df, spec) if spec else publishable(df)
@@ -114,18 +118,50 @@ def publish(
     if path is not None:
         writer.parquet(path)
         return
-    # Catalog table: the new version is written completely to its own folder
-    # under the warehouse, and only then is the catalog entry pointed at it.
-    # A failed or lost job leaves the previous version in place; readers never
-    # see a half-written table.
-    spark = df.sparkSession
-    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    location = f"{root}/{table}/v-{uuid.uuid4().hex}"
+    _publish_to_catalog(out, writer, parts, table)
+
+
+#: Ends the name of a version table: milliseconds since 1970, then a random part.
+VERSION_SUFFIX = re.compile(r"__v(\d{13})_[0-9a-f]{8}$")
+KEPT_VERSIONS = 2
+
+
+def _publish_to_catalog(out: DataFrame, writer, parts: Sequence[str], table: str) -> None:
+    """Write a version table of its own and then point the view ``table`` at it, in one catalog step.
+
+    Readers see the old version until that step and the new one after it, never none; a run
+    that fails before it changes nothing.  The last ``KEPT_VERSIONS`` versions stay.
+    """
+    spark = out.sparkSession
+    root = _shared_warehouse(spark)
+    database, _, name = table.rpartition(".")
+    prefix = f"{database}." if database else ""
+    version = f"{name}__v{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
+    location = f"{root}/{database or 'default'}/{version}"
     writer.parquet(location)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.catalog.createTable(table, path=location, source="parquet")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    by = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
+    spark.sql(f"CREATE TABLE {prefix}`{version}` ({columns}) USING parquet{by} LOCATION '{location}'")
     if parts:
-        spark.catalog.recoverPartitions(table)
+        spark.catalog.recoverPartitions(f"{prefix}{version}")
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {table}")  # a plain table from before there were versions
+    spark.sql(f"CREATE OR REPLACE VIEW {prefix}`{name}` AS SELECT {', '.join(f'`{c}`' for c in out.columns)} FROM {prefix}`{version}`")
+
+    found = [t.name for t in spark.catalog.listTables(database or None) if VERSION_SUFFIX.search(t.name) and VERSION_SUFFIX.sub("", t.name) == name]
+    for old in sorted(found)[:-KEPT_VERSIONS]:
+        spark.sql(f"DROP TABLE {prefix}`{old}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{database or 'default'}/{old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _shared_warehouse(spark: SparkSession) -> str:
+    """The warehouse folder; on a cluster it must have been set, as the default is a folder of the driver's machine."""
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    default = re.fullmatch(r"(file:/*)?.*/spark-warehouse", root) and re.sub(r"^file:/*", "/", root) == f"{os.getcwd()}/spark-warehouse"
+    if default and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.sql.warehouse.dir to a folder shared by all executors")
+    return root
 
 
 def read_published(spark: SparkSession, table: str, path: str) -> DataFrame:
