@@ -115,20 +115,20 @@ class ToxicityModel:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, fit_words: int) -> DataFrame:
-    """``text, label, nth`` of the rows to learn from: the least by hash, as many of each label, up to the bounds."""
+    """``text, label, nth`` of the rows to learn from: the least by hash, as many of each label, up to the bounds.
+
+    Of each label ``2 * rows`` ids are chosen (not every one need have a document) and
+    broadcast, so no other text leaves its task.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    place = F.xxhash64("id", F.lit(12)) / float(1 << 64) + 0.5
-    share = F.lit(1.0)
-    for k, n in counts.items():  # about twice the rows wanted leave their tasks, not all
-        share = F.when(F.col("label") == k, min(1.0, 2 * rows / n)).otherwise(share)
-    chosen = marked.where(place <= share)
-    held = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id")
-    nth = Window.partitionBy("label").orderBy("place", "text")
-    some = held.withColumn("place", place).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= rows)
+    hashed = marked.withColumn("place", F.xxhash64("id", F.lit(12)))
+    least = lambda df, n, *by: df.where("label = 0").orderBy(*by).limit(n).unionByName(df.where("label = 1").orderBy(*by).limit(n))
+    chosen = least(hashed, 2 * rows, "place")
+    met = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    some = least(cut(met, "toxicity-labelled"), rows, "place", "text")  # 2 * rows rows at most, also in what follows
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("place", "text")))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    before = F.sum(size).over(Window.orderBy("nth", "label"))  # at most twice ``rows`` rows
-    return some.withColumn("words", before).where(F.col("words") <= fit_words).select("text", "label", "nth")
+    return some.withColumn("words", F.sum(size).over(Window.orderBy("nth", "label"))).where(F.col("words") <= fit_words).select("text", "label", "nth")
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4_096, fit_words: int = 16_000_000, least_docs: int = 2, learner: Ftrl = Ftrl()) -> ToxicityModel:
