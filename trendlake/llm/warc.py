@@ -14,6 +14,12 @@ the start of the file, with edges of doubled reach each round, finds the entry o
 split; the chain from the entries is what is kept, and magic inside payloads never is.  A file
 whose chain does not end at the end of the file is reported by ``broken_files``.
 
+Archives of other tools read back as well (versions 1.0 and 1.1): header names in any case,
+folded header lines, record types of any kind.  An id that is no ``<urn:page:N>`` gives a null
+page_id and stays in ``record_id``; a block of another type than ``application/http`` is the
+payload as it is; a revisit has the digest that its header states (null without one), and its
+size only if this module wrote it.  Each file must be uncompressed.
+
 Defined results: null html is the empty payload; null urls are written without a target;
 line breaks in a url are percent-encoded; pages without a page_id are archived each as
 ``<urn:page:>`` and read back with a null one, null being less than any id; repeated
@@ -30,25 +36,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import with_perhaps
 from .store import cut, locate, row_slices, unique_name, work_dir
 
 MAGIC = b"WARC/1.0\r\n"
+MAGICS = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MAX_HEADER = 64 << 10
 LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+RECORD = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
 def plan_records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """Pages with payload_bytes, payload_digest (SHA-1), record_type and refers_to."""
+    """Pages with payload_bytes, payload_digest (SHA-1), record_type and refers_to.
+
+    Only pages whose digest may be among the repeated ones (a bounded bitmap tells) go
+    through the join's shuffle; the others are responses where they are read.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    # one row of each payload comes back by its digest; pre-aggregated, so copies cost a row for each task
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+    # pre-aggregated, so copies cost a row for each task
     several = held.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("c")).where("c > 1").select("payload_digest", "response")
-    joined = held.join(several, "payload_digest", "left")
+    several = cut(several, "warc-repeated")
+    marked = with_perhaps(held, "payload_digest", several.select("payload_digest"), "perhaps")
+    joined = marked.where("perhaps").join(several, "payload_digest", "left").select(*held.columns, "response")
+    every = joined.unionByName(marked.where("not perhaps").select(*held.columns, F.lit(None).cast("long").alias("response")))
     revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_revisit)
-    return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
-                         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    return every.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest",
+                        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
 
 def record_bytes(page_id: int | None, url: str | None, html: bytes, payload_bytes: int, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -125,14 +140,15 @@ def _scan_split(path: str, size: int, lo: int, hi: int) -> list[tuple[int, int,
         begin = max(0, lo - 4)
         data = _read(file, begin, min(size, hi + MAX_HEADER) - begin)
     found = []
-    at = data.find(MAGIC, lo - begin)
-    while 0 <= at < hi - begin:
+    for match in MAGICS.finditer(data, lo - begin):
+        at = match.start()
+        if at >= hi - begin:
+            break
         offset = begin + at
         if offset == 0 or data[at - 4:at] == b"\r\n\r\n":
             end = _record_end(system, where, data, at, offset, size)
             if end is not None:
                 found.append((offset, end))
-        at = data.find(MAGIC, at + 1)
     leaves: dict[int, int] = {}
     for offset, successor in reversed(found):  # successors lie behind, so they are known
         leaves[offset] = leaves.get(successor, successor)
@@ -170,7 +186,8 @@ def reachable_entries(edges: DataFrame) -> DataFrame:
             return grown
         reached = grown
         far = jump.select("path", F.col("at").alias("to"), F.col("to").alias("next"))
-        jump = cut(jump.join(far, ["path", "to"]).select("path", "at", F.col("next").alias("to")), "warc-jump").unionByName(jump.join(far, ["path", "to"], "left_anti").select("path", "at", "to"))
+        # one left join, written whole: each round reads a table and its plan stays as small as the first one's
+        jump = cut(jump.join(far, ["path", "to"], "left").select("path", "at", F.coalesce("next", "to").alias("to")), "warc-jump")
 
 
 def verified_records(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
@@ -212,23 +229,44 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     return chains.mapInArrow(run, RECORD)
 
 
+PAGE = re.compile(r"<urn:page:(\d*)>")
+
+
+def header_fields(head: bytes) -> dict[str, str]:
+    """The named fields of a header block (after its version line), names in lower case; of repeated names the first counts."""
+    lines: list[str] = []
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    fields: dict[str, str] = {}
+    for name, colon, value in (line.partition(":") for line in lines):
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def page_number(record_id: str | None) -> int | None:
+    found = PAGE.fullmatch(record_id or "")
+    return int(found[1]) if found and found[1] else None
+
+
 def parse_record(raw: bytes) -> dict:
     """A record's fields; the payload's size and digest are taken from the payload itself where there is one."""
     head, _, block = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    payload = block[:-4].partition(b"\r\n\r\n")[2]
-
-    def number(name):
-        digits = fields[name].removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
-
-    out = {"page_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI")}
-    if fields["WARC-Type"] == "revisit":
-        return out | {"payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number("WARC-Refers-To"), "payload": None}
-    return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "refers_to": None, "payload": payload}
+    fields, block = header_fields(head), block[:-4]
+    kind = fields.get("warc-type")
+    out = {"record_id": fields.get("warc-record-id"), "page_id": page_number(fields.get("warc-record-id")), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": None}
+    if kind == "revisit":
+        size, digest = fields.get("x-payload-length"), fields.get("warc-payload-digest")
+        return out | {"payload_bytes": int(size) if size else None, "payload_digest": digest.removeprefix("sha1:") if digest else None, "refers_to": page_number(fields.get("warc-refers-to")), "payload": None}
+    http = fields.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload}
 
 
-_RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+_RECORD_ARROW = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
 
 def _record_batch(rows: list[dict]) -> pa.RecordBatch:
