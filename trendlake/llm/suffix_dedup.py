@@ -147,21 +147,21 @@ def repeated_spans(texts: list[bytes], copies: list[int], length: int) -> list[l
     symbols = data.astype(np.int16) + 2
     symbols[data == SEPARATOR] = 1
     symbols[-1] = 0
-    before, common = permuted_common_prefixes(data, suffix_array(symbols, length))
+    before, common = permuted_common_prefixes(data, suffix_array(symbols))
     twice = common >= length
     twice[before[np.flatnonzero(twice)]] = True
     sizes = np.array([len(t) for t in texts])
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
     for k in np.flatnonzero(np.array(copies) > 1):
         twice[at[k]:at[k] + sizes[k] - length + 1] = True
-    step = np.zeros(len(data) + length + 1, np.int64)
-    whole = np.zeros(len(data) + 1, np.int64)  # where a string of full length fits into its segment
+    step = np.zeros(len(data) + length + 1, np.int32)
+    whole = np.zeros(len(data) + 1, np.int8)  # where a string of full length fits into its segment
     whole[at[:-1]] += 1
     whole[at[:-1] + np.maximum(sizes - length + 1, 0)] -= 1
-    begins = np.flatnonzero(twice & (np.cumsum(whole[:-1]) > 0))
+    begins = np.flatnonzero(twice & (np.cumsum(whole[:-1], dtype=np.int8) > 0))
     step[begins] += 1
     step[begins + length] -= 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(step) > 0).view(np.int8), [0]])))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(step, out=step) > 0).view(np.int8), [0]])))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     lo, hi = edges[::2], edges[1::2]
     of = np.searchsorted(at, lo, side="right") - 1
