@@ -190,9 +190,20 @@ def _word_counts(batches):
 
 
 def word_dictionary(texts: DataFrame, words: int) -> bytes:
-    """The ``words`` most frequent words of at most 64 bytes over all rows, joined by spaces."""
+    """At most ``words`` frequent words of at most 64 bytes, counted over all rows, joined by spaces.
+
+    A histogram of the counts (eight levels for each doubling) gives the least level from
+    which on no more than ``words`` words are left, so only those reach the driver.
+    """
     counts = texts.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return b" ".join(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect())
+    counts = cut(counts.where("n > 1").select("word", F.floor(8 * F.log2("n")).cast("int").alias("level")), "importance-words")
+    taken, least = 0, 1 << 30
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > words:
+            break
+        least = r["level"]
+    return b" ".join(sorted(bytes(r["word"]) for r in counts.where(F.col("level") >= least).select("word").collect()))
 
 
 def bucket_counts(texts: DataFrame, dictionary, buckets: int) -> np.ndarray:
@@ -224,7 +235,7 @@ def gumbel(doc_id: Column, seed: str) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
-def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = 10_000, seed: str = "7", dictionary_words: int = 50_000) -> DataFrame:
+def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = 10_000, seed: str = "7", dictionary_words: int = 65_536) -> DataFrame:
     """doc_id, text, n_words, n_features, weight and score of every row of ``docs`` (``target`` needs a text column)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
