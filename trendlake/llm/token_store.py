@@ -49,9 +49,11 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file, each distinct word once.
 
-    The tokenizer must never let a token or a normalisation reach over ASCII white
-    space; that holds for vocabularies whose pre-tokenizer drops white space.  The
-    ids of a text are then the ids of its words end to end.
+    The ids of a text are the ids of its words end to end if no token and no normalisation
+    reaches over ASCII white space; a file for which that does not hold is refused.  Trailing
+    punctuation is looked up on its own where the file makes it a piece of its own, and only
+    behind characters that normalise to a letter or digit at the end (some letters become a
+    base and a mark, and the mark belongs to the punctuation's piece).
     """
 
     def __init__(self, path: str):
@@ -60,6 +62,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.closing: dict[str, bool] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if any(ids(space.join(("Ab", "c,", "9"))) != ids("Ab") + ids("c,") + ids("9") for space in (" ", "\n", " \t\r\v\f ")):
+            raise ValueError(f"{path}: tokens of this vocabulary depend on white space")
+        self.lower = all(ids(f"{c}b{c}") == ids(f"{c}b{c}".lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        self.cuts = all(ids(f"a{x}{y}") == ids("a") + ids(x + y) for x in _PUNCTUATION for y in ("", ".", '"'))
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -68,6 +76,16 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _closes(self, character: str) -> bool:
+        """Whether a word's last character is a letter or an ASCII digit, also once it is normalised."""
+        if character.isascii():
+            return character.isalnum()
+        if character not in self.closing:
+            normalizer = self.tokenizer.normalizer
+            last = normalizer.normalize_str(character)[-1:] if normalizer else character
+            self.closing[character] = character.isalpha() and last.isalpha()
+        return self.closing[character]
+
     def _lookup(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         memo = self.memo
@@ -78,11 +96,11 @@ class WordEncoder:
                 heads.append(word)
                 tails.append("")
                 continue
-            if word.isascii():
+            if self.lower and word.isascii():
                 word = word.lower()
             while end and word[end - 1] in _PUNCTUATION:
                 end -= 1
-            if 0 < end < len(word) and (word[end - 1].isalpha() or "0" <= word[end - 1] <= "9"):
+            if self.cuts and 0 < end < len(word) and self._closes(word[end - 1]):
                 heads.append(word[:end])
                 tails.append(word[end:])
             else:
@@ -123,18 +141,28 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
     """A zstandard dictionary from the first 4,096 ids of at most ``sample`` documents, the least by a hash of their id.
 
     The hash is cut off where about ``sample`` documents are expected below it, so that no
-    more than those leave their tasks.
+    more than those leave their tasks.  It is trained in one task over the first 16,384
+    characters of these; the sample decides the size of the files, never their ids.
     """
     held = docs.where("text is not null").select("doc_id", "text")
     share = min(1.0, 1.2 * sample / max(1, held.count()))
     rank = F.xxhash64("doc_id") / float(1 << 64) + 0.5
-    rows = held.where(rank <= share).select(F.substring("text", 1, 16_384).alias("text"), rank.alias("rank")).orderBy("rank").limit(sample).select("text").collect()
-    ids, firsts = WordEncoder.of(tokenizer).encode(pa.array([r["text"] for r in rows], pa.large_string()))
-    samples = [np.append(ids[a:b][:4096], end_id).astype(f"<u{width}").tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-    try:
-        return zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from: an own dictionary of plain content
-        return b"".join(samples)[:dictionary_bytes]
+    chosen = held.where(rank <= share).select(F.substring("text", 1, 16_384).alias("text"), rank.alias("rank")).orderBy("rank", "text").limit(sample)
+
+    def train(batches):
+        samples = []
+        for batch in batches:
+            for part in row_slices(batch, "text", SLICE_BYTES):
+                ids, firsts = WordEncoder.of(tokenizer).encode(part.column("text"))
+                samples += [np.append(ids[a:b][:4096], end_id).astype(f"<u{width}").tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
+        try:
+            found = zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
+        except zstandard.ZstdError:  # too little to learn from: an own dictionary of plain content
+            found = b"".join(samples)[:dictionary_bytes]
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["dictionary"])
+
+    trained = chosen.select("text").repartition(1).mapInArrow(train, "dictionary binary").first()
+    return bytes(trained["dictionary"]) if trained else b""
 
 
 @dataclass
