@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trendlake.jobs import refresh_release
 from trendlake.operators.explore import pinned_points, trend_series, trend_series_arrays
 from trendlake.schema import RAW_COLUMNS
-from trendlake.sources import csv_files, open_release, read_csv_files
+from trendlake.sources import csv_files, open_release, read_csv_files, read_results_csv
 
 from tests.conftest import snap_row
 
@@ -136,3 +136,10 @@ def test_points_carry_their_tags(spark):
     assert [(p.point_index, p.value, p.tags) for p in points] == [(1, 4.0, ["p", "q"]), (2, 3.0, ["x", "y"]), (3, 6.0, [])]
     assert [p.tags for p in trend_series_arrays(df, "category", tags="top5_tags").first().points] == [["p", "q"], ["x", "y"], []]
     assert "tags" not in trend_series(df, "category").columns and trend_series_arrays(df, "category").select(F.explode("points").alias("p")).select("p.*").columns == ["date", "value"]
+
+
+def test_results_in_splits_equal_the_one_task_read(spark, tmp_path, tiny_splits):
+    (tmp_path / "r.csv").write_text('Country,Views,note\nUS,5,"a\nb"\n\nDE\n"J""P",7,\n' + 'X,1,"y, ""z"""\n' * 20)
+    schema = "country string, views long, note string, more int"
+    both = [read_results_csv(spark, str(tmp_path), spark.createDataFrame([], schema).schema, {"Country": "country", "Views": "views"}, in_splits=x) for x in (False, True)]
+    assert both[0].columns == both[1].columns and sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))

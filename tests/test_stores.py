@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendlake.operators.catalog import describe_table, list_all_tables, list_tables
+from trendlake.operators.lookups import browse
 from trendlake.plans.ordering import asc, desc, rank_by_range, top_k_per_group
 from trendlake.schema import RESULT_TABLES
 from trendlake.session import scratch_dir
@@ -61,6 +62,16 @@ def test_pages_equal_the_plain_sort(table, want):
         table.page(5, 0, {"nope": 1})
 
 
+def test_browsing_a_table_in_order(table, want):
+    assert tuples(browse(table, limit="6", offset="210")) == [r[:-1] for r in want[210:216]]
+    assert tuples(browse(table, {"country": "A"}, limit=3, offset=5)) == [r[:-1] for r in want if r[0] == "A"][5:8]
+    for bad in ({"limit": 10**9}, {"offset": -1}, {"order_by": ["views"]}):
+        with pytest.raises(ValueError):
+            browse(table, **bad)
+    with pytest.raises(KeyError):
+        browse(table, {"position": 1})
+
+
 def test_a_deep_page_reads_the_files_it_overlaps(table):
     files = table.index.count()
     assert len(table.page(5, 200).inputFiles()) <= 2

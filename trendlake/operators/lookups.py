@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from trendlake.functions.dates import month_start_text
 from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, RESULT_TABLES, YEAR
+from trendlake.sources.ordered import OrderedTable
 from trendlake.sources.sinks import LIST_SEPARATOR
 
 LIST_LENGTH = 10
@@ -100,8 +101,18 @@ def country_report(tables: Mapping[str, DataFrame], country: str) -> dict[str, D
     }
 
 
+def _page_bounds(limit: int | str | None, offset: int | str | None, max_page: int) -> tuple[int, int]:
+    n = int(PAGE_SIZE if limit is None else limit)
+    if n > max_page:
+        raise ValueError(f"a page has at most {max_page} rows")
+    skip = int(0 if offset is None else offset)
+    if n < 0 or skip < 0:
+        raise ValueError("limit and offset must not be negative")
+    return n, skip
+
+
 def browse(
-    table: DataFrame,
+    table: DataFrame | OrderedTable,
     filters: Mapping[str, object] | None = None,
     limit: int | str | None = PAGE_SIZE,
     offset: int | str | None = 0,
@@ -114,17 +125,20 @@ def browse(
     Unknown filter columns are rejected (they are never spliced into SQL).
     Pages follow a stable order: ``order_by``, else the table's primary key,
     else all columns.  A page of more than ``max_page`` rows is refused.
+
+    A table published in order (``sources.ordered``, ``Release.table``) is paged in its own
+    order through its index: however large the offset, only the files that the page overlaps
+    are read.  Any other DataFrame is sorted down to ``limit + offset`` rows.
     """
     filters = dict(filters or {})
     unknown = [k for k in filters if k not in table.columns]
     if unknown:
         raise KeyError(f"unknown column(s): {', '.join(sorted(unknown))}")
-    n = int(PAGE_SIZE if limit is None else limit)
-    if n > max_page:
-        raise ValueError(f"a page has at most {max_page} rows")
-    skip = int(0 if offset is None else offset)
-    if n < 0 or skip < 0:
-        raise ValueError("limit and offset must not be negative")
+    n, skip = _page_bounds(limit, offset, max_page)
+    if isinstance(table, OrderedTable):
+        if order_by:
+            raise ValueError("a table published in order is paged in that order")
+        return table.page(n, skip, filters).select(*table.columns)
     cond = F.lit(True)
     for col, value in filters.items():
         cond = cond & (F.col(col) == F.lit(value).cast(table.schema[col].dataType))

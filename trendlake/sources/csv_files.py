@@ -218,16 +218,22 @@ def read_csv_files(spark: SparkSession, path: str, short_rows: str = "bad", max_
 
 
 def _parsed(body: DataFrame, headers: list[list[str]], short_rows: str) -> DataFrame:
-    """``body`` with ``fields`` (an array of text, one more than the header's names) and ``reason``."""
+    """``body`` with ``fields`` (an array of text) and ``reason``; each record is parsed once."""
     options = {"quote": CSV_OPTIONS["quote"], "escape": CSV_OPTIONS["escape"], "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "misfit", "maxCharsPerColumn": "-1", "maxColumns": str(20_480 + 2 * max(map(len, headers), default=0))}
-    fields, misfit = F.lit(None).cast("array<string>"), F.lit(None).cast("boolean")
+    spare = 1 if short_rows == "pad" else 0  # one more column shows whether there are too many fields
+
+    def split(names: list[str]) -> Column:
+        of = [f"f{i}" for i in range(len(names))]
+        schema = ", ".join(f"{f} string" for f in [*of, *["spare"] * spare, "misfit"])
+
+        def parts(row: Column) -> Column:
+            misfit = row.getField("spare" if spare else "misfit").isNotNull()
+            return F.struct(F.array(*[row.getField(f) for f in of]).alias("fields"), misfit.alias("misfit"))
+
+        return F.element_at(F.transform(F.array(F.from_csv("record", schema, options)), parts), 1)
+
+    found = F.lit(None).cast("struct<fields:array<string>,misfit:boolean>")
     for k, names in enumerate(headers):
-        of = [f"f{i}" for i in range(len(names) + 1)]  # one more shows whether there are too many
-        parsed = F.from_csv("record", ", ".join(f"{f} string" for f in [*of, "misfit"]), options)
-        exact = F.from_csv("record", ", ".join(f"{f} string" for f in [*of[:-1], "misfit"]), options)
-        fits = parsed.getField(of[-1]).isNull() if short_rows == "pad" else exact.getField("misfit").isNull()
-        at = F.col("header") == k
-        fields = F.when(at, F.array(*[exact.getField(f) for f in of[:-1]])).otherwise(fields)
-        misfit = F.when(at, ~fits).otherwise(misfit)
-    reason = (F.when(F.col("record").isNull(), "the record is too long").when(~F.col("closed"), "a quote is not closed").when(misfit, "the fields do not fit the header"))
-    return body.select("file", "offset", "header", "record", fields.alias("fields"), reason.alias("reason"))
+        found = F.when(F.col("header") == k, split(names)).otherwise(found)
+    reason = F.when(F.col("record").isNull(), "the record is too long").when(~F.col("closed"), "a quote is not closed").when(F.col("found.misfit"), "the fields do not fit the header")
+    return body.withColumn("found", found).select("file", "offset", "header", "record", F.col("found.fields").alias("fields"), reason.alias("reason"))

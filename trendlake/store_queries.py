@@ -20,7 +20,7 @@ from trendlake.operators.catalog import describe_table, list_tables, require_tab
 from trendlake.operators.dims import country_coverage
 from trendlake.operators.display import display_rows
 from trendlake.operators.explore import leading_categories, leading_category_trends, pinned_points, trend_series, trend_series_arrays
-from trendlake.operators.lookups import country_category_trends, country_report, country_top, country_video_trends
+from trendlake.operators.lookups import browse, country_category_trends, country_report, country_top, country_video_trends
 from trendlake.plans.ordering import asc
 from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, RAW_COLUMNS, RESULT_TABLES, VIEWS, YEAR
 from trendlake.session import scratch_dir
@@ -33,6 +33,7 @@ FILES = 6  # ranges of a published table, so that small test data has several
 DATABASE = "trendlake_results"
 LATE_YEAR, LATE_MONTH = 1997, 3
 LONG_LIST = 1_500
+MANY_VIEWS = 103_500
 ANALYSES = {
     "top10_channels_per_country": top_channels,
     "top10_categories_per_country": top_categories,
@@ -98,6 +99,12 @@ def release_page(spark, sf):
     return table.page(limit=100, offset=n // 10)
 
 
+def release_browse(spark, sf):
+    """The same depth through the browsing operator, by category."""
+    table = _table(spark, sf, "category_trends_over_time")
+    return browse(table, {CATEGORY: "Brand#11"}, limit="25", offset="90")
+
+
 def release_filtered_page(spark, sf):
     return _table(spark, sf, "category_trends_over_time").page(limit=40, offset=70, equal={YEAR: LATE_YEAR})
 
@@ -244,8 +251,8 @@ def nation_coverage(spark, sf):
     of = lambda df: df.select(F.col("channel_country").alias(COUNTRY))
     lists = {
         "channels": of(snap.join(top_channels(snap, 2).select("channel_title"), "channel_title", "left_semi")),
-        "categories": of(snap.where((F.col(CATEGORY) == "Brand#11") & (F.col(VIEWS) > 50_000))),
-        "videos": of(snap.join(top_videos(snap, 1).select("video_title"), "video_title", "left_semi")),
+        "categories": of(snap.where((F.col(CATEGORY) == "Brand#11") & (F.col(VIEWS) > MANY_VIEWS))),
+        "videos": of(snap.join(top_videos(snap, 2).select("channel_title"), "channel_title", "left_semi")),
     }
     return country_coverage(nations, lists)
 
@@ -286,7 +293,7 @@ def csv_quarantine(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    release_tables, release_order, release_page, release_filtered_page, release_date_lookup, release_range_lookup, release_top_views, release_title_lookup,
+    release_tables, release_order, release_page, release_browse, release_filtered_page, release_date_lookup, release_range_lookup, release_top_views, release_title_lookup,
     release_country_report, country_argument, catalog_tables, column_defaults, long_top_videos, pinned_last_wins, pinned_long_lists, trend_series_tags, trend_arrays,
     dirty_trend_series, month_labels, display_country_video_trends, nation_coverage, csv_by_header, csv_quoted_newlines, csv_quarantine)}
 
@@ -317,6 +324,7 @@ ORACLE_SQL = {
     "release_order": o.on_results(final="\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, position, {_order_text(n).replace('STRING', 'VARCHAR')} AS row_key FROM ({_placed(n)})" for n in ANALYSES)),
     "release_page": o.on_results(final=f"SELECT * FROM ({_CT}) WHERE position > (SELECT count(*) // 10 FROM category_trends) AND position <= (SELECT count(*) // 10 FROM category_trends) + 100"),
+    "release_browse": o.on_results(final="SELECT * FROM category_trends WHERE video_category_id = 'Brand#11' ORDER BY video_trending_country, video_category_id, trending_year, trending_month LIMIT 25 OFFSET 90"),
     "release_filtered_page": o.on_results(final=f"SELECT * FROM ({_CT}) WHERE trending_year = {LATE_YEAR} ORDER BY position LIMIT 40 OFFSET 70"),
     "release_date_lookup": o.on_results(final=f"SELECT * FROM ({_CT}) WHERE trending_year = {LATE_YEAR} AND trending_month = {LATE_MONTH}"),
     "release_range_lookup": o.on_results(final=f"SELECT * FROM ({_VT}) WHERE video_view_count >= 50000 AND trending_year BETWEEN 1996 AND 1998"),
@@ -362,8 +370,8 @@ FROM category_trends WHERE trending_month % 6 IN (0, 1)"""),
     "nation_coverage": o.on_results(final=f"""SELECT name, nation_key, has_channels, has_categories, has_videos, has_channels OR has_categories OR has_videos AS has_data
 FROM (SELECT n_name AS name, n_nationkey AS nation_key,
         n_name IN (SELECT channel_country FROM snap WHERE channel_title IN (SELECT channel_title FROM top_channels WHERE rank <= 2)) AS has_channels,
-        n_name IN (SELECT channel_country FROM snap WHERE video_category_id = 'Brand#11' AND video_view_count > 50000) AS has_categories,
-        n_name IN (SELECT channel_country FROM snap WHERE video_title IN (SELECT video_title FROM top_videos WHERE rank = 1)) AS has_videos
+        n_name IN (SELECT channel_country FROM snap WHERE video_category_id = 'Brand#11' AND video_view_count > {MANY_VIEWS}) AS has_categories,
+        n_name IN (SELECT channel_country FROM snap WHERE channel_title IN (SELECT channel_title FROM top_videos WHERE rank <= 2)) AS has_videos
       FROM nation)"""),
     "csv_by_header": o.with_ctes(final="SELECT * REPLACE (CASE WHEN length(video_id) % 3 = 2 THEN NULL ELSE channel_view_count END AS channel_view_count) FROM snap"),
     "csv_quoted_newlines": """SELECT p_partkey AS part_key, p_name || ' "x",' || chr(10) || 'line two' || chr(13) || chr(10) AS title, p_size AS size
