@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import with_perhaps
 from .store import cut
 from .text_stats import SYMBOLS, char_count, dup_lines, let, repeated_window_words, text_lines, whole_text, words
 
@@ -185,8 +186,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the base rule or a learned rule rejects; they are measured again in the scan, so no text is shuffled."""
-    rules = learn_rules(_measured(docs), labels)
+    """``docs`` without the rows that the base rule or a learned rule rejects.
+
+    To learn, only documents that may be labelled are measured (a bounded bitmap tells); to
+    judge, all are, in the scan.  No text is shuffled.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rules = learn_rules(_measured(with_perhaps(keyed, "doc_id", ids, "labelled").where("labelled")), labels)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     judged = with_measures(with_counts(held, "row")).where(~F.col("base_failed") & matched_rule(rules).isNull())
     return judged.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
