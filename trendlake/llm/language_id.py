@@ -5,11 +5,12 @@ The pieces of a fixed public vocabulary get a probability for each language.  A
 segmented into pieces in many ways; its probability is the sum over all of them, taken
 by a forward pass.  A text's log probability is the sum over its words.
 
-Learning: words of labelled texts are counted for each language (at most
-``words_per_language`` most frequent words, the bound of what the driver sees; of words
-seen equally often a hash decides, so scripts without spaces give an even sample), and
-``rounds`` of expectation-maximisation by forward-backward turn them into expected
-piece counts, smoothed towards the same floor in every language.
+Learning: of each language about ``rows_per_language`` labelled rows are drawn by a hash of
+the row (all, if there are fewer), and every word of their whole texts is counted.  Each of
+``rounds`` of expectation-maximisation is a Spark job: tasks run forward-backward over their
+words and emit expected counts of (language, piece), as whole numbers of ``1 / SCALE`` so that
+their sum does not depend on its order; the sums, languages x pieces numbers, make the next
+probabilities, smoothed towards the same floor in every language.
 
 Words longer than ``MAX_WORD`` characters are cut into stretches of that many, in
 learning and in prediction alike.
@@ -28,15 +29,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import row_slices
+from .store import cut, row_slices
 
 SLICE_BYTES = 2 << 20
 MARK = "▁"
 MAX_PIECE = 16
 FLOOR = 0.01
+SCALE = 1 << 20
 UNKNOWN = -18.0  # log probability of a character that no piece covers
 MAX_MEMO = 300_000  # words whose scores a task keeps
 MAX_WORD = 64  # longer words are learned and scored in stretches of this many characters
@@ -119,43 +121,62 @@ class Lattice:
             beta[end - 1] = np.logaddexp(beta[end - 1], beta[end] + UNKNOWN)
 
 
-def _matrices(words: list[str]):
-    """(word numbers, matrix of code points) for the words of each length; the word mark comes first."""
+def _matrices(words: list[str], most: int = 8192):
+    """(word numbers, matrix of code points) for the words of each length, ``most`` at a time; the word mark comes first."""
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_size.setdefault(len(w), []).append(i)
     for ids in by_size.values():
-        for at in range(0, len(ids), 8192):
-            some = ids[at:at + 8192]
+        for at in range(0, len(ids), most):
+            some = ids[at:at + most]
             text = "".join(MARK + words[i] for i in some)
             yield np.array(some), np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(some), -1).astype(np.uint64)
 
 
-def learn(labelled: DataFrame, pieces: list[str], label: str = "lang", words_per_language: int = 20_000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
-    """The languages and log probabilities (languages x pieces) from the rows' ``text`` and label."""
+def learning_words(labelled: DataFrame, label: str, rows_per_language: int) -> tuple[list[str], DataFrame]:
+    """The languages, and the words of their drawn rows with the times that each language has them (a written table)."""
+    held = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull())
+    place = (F.xxhash64(*labelled.columns) / float(1 << 64) + 0.5).alias("place")
+    drawn = held.select(F.col(label).cast("string").alias("lang"), "text", place)
+    sizes = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}  # a row for each language
+    if not sizes:
+        return [], labelled.limit(0)
+    shares = labelled.sparkSession.createDataFrame([(k, rows_per_language / n) for k, n in sorted(sizes.items())], "lang string, share double")
     stretches = F.regexp_extract_all(F.lower("text"), F.lit(rf"[^\x20\x09-\x0D]{{1,{MAX_WORD}}}"), F.lit(0))
-    words = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.explode(stretches).alias("w"))
-    counted = words.groupBy("lang", "w").count()
-    # a language may have most of the words: the best of each of 64 shares first, then the best of those
-    share = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("count"), F.xxhash64("w"), "w")
-    best = counted.withColumn("r", F.row_number().over(share)).where(F.col("r") <= words_per_language)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("w"), "w"))).where(F.col("r") <= words_per_language)
-    rows = best.select("lang", "w", "count").collect()
-    languages = sorted({r["lang"] for r in rows})
+    words = drawn.join(F.broadcast(shares), "lang").where("place <= share").select("lang", F.explode(stretches).alias("w"))
+    counted = cut(words.groupBy("lang", "w").count(), "language-words")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    seen = F.array(*[F.sum(F.when(F.col("lang") == k, F.col("count")).otherwise(0)) for k in languages]).alias("seen")
+    return languages, cut(counted.groupBy("w").agg(seen), "language-seen")
+
+
+def _expected(pieces, log_p):
+    def run(batches):
+        lattice, p = Lattice(pieces.value), log_p.value
+        total = np.zeros_like(p)
+        for batch in batches:
+            seen = np.asarray(batch.column("seen").flatten(), np.float64).reshape(-1, len(p)).T
+            for ids, codes in _matrices(batch.column("w").to_pylist(), max(256, 32_768 // len(p))):
+                lattice.expected(codes, p, seen[:, ids], total)
+        scaled = np.rint(total * SCALE).astype(np.int64)
+        language, piece = np.nonzero(scaled)
+        yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(piece, pa.int32()), pa.array(scaled[language, piece], pa.int64())], names=["language", "piece", "n"])
+    return run
+
+
+def learn(labelled: DataFrame, pieces: list[str], label: str = "lang", rows_per_language: int = 500, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+    """The languages and log probabilities (languages x pieces) from the rows' ``text`` and label; other columns only tell rows apart."""
+    languages, words = learning_words(labelled, label, rows_per_language)
     if not languages:
         return [], np.zeros((0, len(pieces)))
-    distinct = sorted({r["w"] for r in rows})
-    number = {w: i for i, w in enumerate(distinct)}
-    seen = np.zeros((len(languages), len(distinct)))
-    for r in rows:
-        seen[languages.index(r["lang"]), number[r["w"]]] = r["count"]
-    lattice = Lattice(pieces)
+    context = labelled.sparkSession.sparkContext
+    sent = context.broadcast(pieces)
     log_p = np.full((len(languages), len(pieces)), -np.log(len(pieces)))
     for _ in range(rounds):
-        total = np.zeros_like(log_p)
-        for ids, codes in _matrices(distinct):
-            lattice.expected(codes, log_p, seen[:, ids], total)
-        total += FLOOR
+        model = context.broadcast(log_p)
+        sums = words.mapInArrow(_expected(sent, model), "language int, piece int, n long").groupBy("language", "piece").agg(F.sum("n").alias("n")).toArrow()
+        total = np.full_like(log_p, FLOOR)
+        total[sums["language"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy() / SCALE
         log_p = np.log(total / total.sum(axis=1, keepdims=True))
     return languages, log_p
 
