@@ -67,7 +67,7 @@ def op8_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     pieces = load_pieces(tokenizer_file("piece_bpe_32k.model"))
-    languages, log_p = learn(docs.where(~F.coalesce(held_out, F.lit(False))).select("text", "lang"), pieces)
+    languages, log_p = learn(docs.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text", "lang"), pieces)
     return identify(docs, languages, log_p, pieces).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
@@ -118,5 +118,20 @@ def op13_importance(spark, sf_dir):
 
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality_rules, op2_mixing, op3_token_store, op4_chunk_dedup, op5_suffix_dedup, op6_warc, op7_jaccard_join, op8_language_id, op9_decontaminate, op10_secret_scan, op11_periodic_runs, op12_toxicity, op13_importance)}
+def quality_base_counts(spark, sf_dir):
+    """The columns of op1 that do not depend on what is learned."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark, sf_dir):
+    """The columns of op2 that do not depend on the draw."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_base_spans(spark, sf_dir):
+    """The columns of op10 without the spans that the method adds."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality_rules, op2_mixing, op3_token_store, op4_chunk_dedup, op5_suffix_dedup, op6_warc, op7_jaccard_join, op8_language_id, op9_decontaminate, op10_secret_scan, op11_periodic_runs, op12_toxicity, op13_importance, quality_base_counts, mixing_targets, secret_base_spans)}
 ORACLE_SQL = oracles.ORACLE_SQL
