@@ -7,7 +7,8 @@ window of a document is hashed, looked up in the sorted hash set, and a hit is
 verified word by word before it counts.
 
 Size of what is broadcast: the windows of at most ``max_broadcast_words`` item
-words travel in one pass.  A larger benchmark is split by a hash of its items
+words (about twice as many characters) travel in one pass, some 32 bytes and the letters of
+each: 80 MB for the default of two million.  A larger benchmark is split by a hash of its items
 into as many passes as that bound needs: the rows are written once with a row number,
 each pass is a written table (its broadcast is destroyed after it), and the passes'
 hits are merged by row number, so the size of a benchmark never changes a result.
@@ -38,42 +39,61 @@ REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 
 class WindowSet:
-    """The item windows of one pass: sorted hashes by window length, and what verifies a hit."""
+    """The item windows of one pass in flat arrays: sorted hashes by window length, and the words that verify a hit.
+
+    A window takes its hash and the number of its first word (16 bytes), a word its place in
+    the items' text (16 bytes), so a pass holds 32 bytes for each item word and the text.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple[bytes, frozenset]]]] = {}
-        ids = [i for i, _ in items]
+        self.ids = [i for i, _ in items]
         words = find_words(pa.array([t for _, t in items], pa.large_string()), ALNUM, lower=True)
-        hashes = words.hashes() if len(words.starts) else np.zeros(0, np.uint64)
-        raw = words.data.tobytes()
-        found: dict[int, dict[int, dict[bytes, set]]] = {}
-        for row, item_id in enumerate(ids):
-            first, end = words.firsts[row], words.firsts[row + 1]
-            size = min(n, end - first)
-            if not size:
-                continue
-            for at, h in enumerate(shingle_hashes(hashes[first:end], size).tolist(), first):
-                text = b" ".join(raw[words.starts[k]:words.ends[k]] for k in range(at, at + size))
-                found.setdefault(int(size), {}).setdefault(h, {}).setdefault(text, set()).add(item_id)
-        for size, by_hash in found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
-            self.by_length[size] = keys, [by_hash[k] for k in keys.tolist()]
+        sizes = words.ends - words.starts
+        self.begins = np.cumsum(sizes + 1) - (sizes + 1)
+        self.stops = self.begins + sizes
+        text = np.full(int(self.stops[-1]) if len(sizes) else 0, 0x20, np.uint8)  # one space between words
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text[np.repeat(self.begins, sizes) + inside] = words.data[np.repeat(words.starts, sizes) + inside]
+        self.text, self.firsts = text.tobytes(), words.firsts
+        hashes, counts = words.hashes(), words.counts()
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            if size == n:
+                at = np.flatnonzero(words.rows[:len(sizes) - n + 1] == words.rows[n - 1:])
+            else:
+                at = words.firsts[:-1][counts == size]
+            keys = shingle_hashes(hashes, size)[at]
+            order = np.argsort(keys, kind="stable")
+            self.by_length[size] = keys[order], at[order]
+
+    def _items(self, size: int, place: int, text: bytes) -> set | None:
+        """Ids of the items with a window of that hash and text; ``place``: the first window of the hash."""
+        keys, at = self.by_length[size]
+        found, key = None, keys[place]
+        while place < len(keys) and keys[place] == key:
+            first = int(at[place])
+            if self.text[self.begins[first]:self.stops[first + size - 1]] == text:
+                found = set() if found is None else found
+                found.add(self.ids[int(np.searchsorted(self.firsts, first, side="right")) - 1])
+            place += 1
+        return found
 
     def hits(self, words, hashes: np.ndarray) -> list[tuple[int, int, set]]:
         """Verified (first word, length, item ids) of every window occurrence, over all rows at once."""
-        out = []
+        out, known = [], {}
         raw = None
-        for size, (keys, texts) in self.by_length.items():
+        for size, (keys, _) in self.by_length.items():
             windows = shingle_hashes(hashes, size)
-            at = np.searchsorted(keys, windows)
-            at[at == len(keys)] = 0
+            place = np.searchsorted(keys, windows)
+            place[place == len(keys)] = 0
             same_row = words.rows[:len(windows)] == words.rows[size - 1:]
-            for k in np.flatnonzero((keys[at] == windows) & same_row).tolist():
+            for k in np.flatnonzero((keys[place] == windows) & same_row).tolist():
                 raw = raw if raw is not None else words.data.tobytes()
                 text = b" ".join(raw[words.starts[j]:words.ends[j]] for j in range(k, k + size))
-                items = texts[at[k]].get(text)
-                if items is not None:
-                    out.append((k, size, items))
+                if text not in known:
+                    known[text] = self._items(size, int(place[k]), text)
+                if known[text] is not None:
+                    out.append((k, size, known[text]))
         return out
 
 
