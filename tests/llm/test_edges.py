@@ -77,3 +77,33 @@ def test_every_row_is_judged_by_its_own_text_whatever_the_passes(spark, frames,
     assert contamination(docs, items, **split).count() == len(rows)
     assert {r.name for r in decontaminate(docs, items, **split).collect()} == {"same id", "null clean", "null text", "part"}
     assert {r.name: r.text for r in decontaminate(docs, items, remove="spans", **split).collect()}["third"] == " tail"
+
+
+@pytest.mark.parametrize("symbols", [0, 1, 3, 40])
+def test_keys_of_any_quality_spread_over_the_buckets(spark, symbols):
+    from trendlake.llm.mixing import with_keys
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", f"concat(repeat('word ', 10), repeat('#', {symbols})) as text")
+    sizes = sorted(r["count"] for r in with_keys(docs, "mix", 4_096).groupBy("mix.bucket").count().collect())
+    assert sizes[-1] < 0.01 * 20_000
+    firsts = with_keys(docs, "mix", 4_096).groupBy("mix.bucket").agg({"mix.key": "min"}).orderBy("bucket").collect()
+    assert [r[1] for r in firsts] == sorted(r[1] for r in firsts)
+
+
+def test_the_drawn_documents_are_those_of_least_keys(spark):
+    """Taken documents of each source: whole epochs, then by key until the next would go beyond the middle of its size."""
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7) + "#" * (k % 4), f"s{k % 3}") for k in range(900)], "doc_id long, text string, source string")
+    from trendlake.llm.mixing import with_keys
+
+    keys = {r.doc_id: (r.mix.key, r.doc_id, r.mix.size) for r in with_keys(docs, "mix", 4_096).collect()}
+    rows = with_copies(docs).select("doc_id", "source", "mix.*").collect()
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in rows if r.source == source]
+        epochs = int(mine[0].target // mine[0].source_size)
+        budget, until, more = mine[0].target - epochs * mine[0].source_size, 0, set()
+        for r in sorted(mine, key=lambda r: keys[r.doc_id]):
+            until += r.size
+            if until - r.size / 2 > budget:
+                break
+            more.add(r.doc_id)
+        assert {r.doc_id: r.copies for r in mine} == {r.doc_id: epochs + (r.doc_id in more) for r in mine}

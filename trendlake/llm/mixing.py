@@ -9,8 +9,9 @@ documents in the order of ``-ln(u) / quality`` (``u`` uniform from a hash of the
 ``quality`` a weight from the text), until the next would go beyond the middle of its
 own size.  Nothing is drawn at run time, so reruns agree.
 
-No source is sorted in one place: keys fall into ``buckets`` equal shares of their
-distribution, bucket sums are pre-aggregated and prefix-summed (at most ``buckets`` rows
+No source is sorted in one place: keys fall into buckets, ``buckets`` equal shares of the
+distribution for quality 1 crossed with as many for quality 0.1 (so no quality piles its keys
+up in one), bucket sums are pre-aggregated and prefix-summed (at most twice ``buckets`` rows
 for a source), and only the one bucket in which a source's budget ends is sorted.  What
 comes out is a row for each source - its epochs and the last key that is taken - and every
 document is decided in the scan by comparing its own key.
@@ -45,7 +46,9 @@ def with_keys(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
     text = whole_text()
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality(text)
     keyed = docs.withColumn("mix", F.struct(word_count(text).alias("size"), key.alias("key")))
-    bucket = F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("mix.key"))))).cast("int")
+    # equal shares of the keys of quality 1, and of those of quality 0.1 where the first leave a long tail
+    share = lambda q: F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-q * F.col("mix.key")))))
+    bucket = (share(1.0) + share(0.1)).cast("int")
     return keyed.withColumn("mix", F.struct("mix.size", "mix.key", bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id")))
 
 
