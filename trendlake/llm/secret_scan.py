@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import with_perhaps
 from .store import cut
 from .text_stats import let, whole_text
 from .trigrams import trigram_query
@@ -118,10 +119,13 @@ def _written(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, base: tuple[str, ...] = ("assign", "access", "hex")) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``n_<kind>`` of each rule, base_sha256 and spans."""
     index = cut(build_index(docs, rules), "trigram-index")
-    proposed = propose(index, rules)
+    proposed = cut(propose(index, rules), "trigram-proposals")
     full = [r for r, n in enumerate(_queries(rules)[1]) if n == 0]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    held = texts.join(proposed, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    # only texts that may have a proposal (a bounded bitmap tells) go through the join's shuffle
+    marked = with_perhaps(texts, "doc_id", proposed.select("id"), "perhaps")
+    joined = marked.where("perhaps").join(proposed, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    held = joined.select("doc_id", "text", "proposed").unionByName(marked.where("not perhaps").select("doc_id", "text", F.lit(None).cast("array<int>").alias("proposed")))
     nothing = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
 
     def found(r, rule):
@@ -129,7 +133,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
         return spans if r in full else F.when(F.array_contains("proposed", r), spans).otherwise(nothing)
 
     by_rule = held.select("doc_id", *[found(r, rule).alias(f"s{r}") for r, rule in enumerate(rules)])
-    joined = lambda some: F.concat(*[F.col(f"s{r}") for r in some])
+    of_rules = lambda some: F.concat(*[F.col(f"s{r}") for r in some])
     return by_rule.select(
         "doc_id", *[F.size(f"s{r}").cast("long").alias(f"n_{rule.kind}") for r, rule in enumerate(rules)],
-        F.sha2(_written(joined([r for r, rule in enumerate(rules) if rule.kind in base])), 256).alias("base_sha256"), _written(joined(range(len(rules)))).alias("spans"))
+        F.sha2(_written(of_rules([r for r, rule in enumerate(rules) if rule.kind in base])), 256).alias("base_sha256"), _written(of_rules(range(len(rules)))).alias("spans"))
