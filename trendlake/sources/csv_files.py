@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendlake.session import scratch_dir
+from trendlake.session import scratch_dir, ship_code
 from trendlake.sources.snapshots import CSV_OPTIONS
 
 MAX_HEADERS = 1_000
@@ -192,6 +192,7 @@ def read_csv_files(spark: SparkSession, path: str, short_rows: str = "bad", max_
     """
     if short_rows not in ("bad", "pad"):
         raise ValueError("short_rows must be 'bad' or 'pad'")
+    ship_code(spark)
     lines = _lines(spark, path)
     kept = scratch_dir(spark, "csv-splits")
     _splits(lines).write.parquet(kept)

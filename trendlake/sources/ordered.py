@@ -23,6 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendlake.plans.ordering import Order
 
@@ -89,20 +90,24 @@ class OrderedTable:
     spark: SparkSession
     path: str
     index: DataFrame
-    columns: list[str] = field(init=False)
+    schema: T.StructType = field(init=False)
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "columns", self.rows().columns)
+        object.__setattr__(self, "schema", self.spark.read.parquet(f"{self.path}/data").schema)
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
 
     def rows(self) -> DataFrame:
         """All rows (in no order once Spark has dealt them out; see ``with_position``)."""
-        return self.spark.read.parquet(f"{self.path}/data")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data")
 
     def _read(self, files: DataFrame, keep_file: bool = False) -> DataFrame:
         """The rows of some files of the index, with their position."""
         some = files.select("file", "start")
         names = [r["file"] for r in some.collect()]
-        rows = self.spark.read.schema(self.rows().schema).parquet(*[f"{self.path}/data/{n}" for n in names]) if names else self.rows().where("false")
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{n}" for n in names]) if names else self.rows().where("false")
         return self._numbered(rows, some, keep_file)
 
     def _numbered(self, rows: DataFrame, files: DataFrame, keep_file: bool = False) -> DataFrame:
@@ -119,7 +124,7 @@ class OrderedTable:
     def _can_equal(self, column: str, value: object) -> Column:
         """On the index: whether a file can hold ``value`` in ``column`` (``None``: a null)."""
         test = F.lit(True)
-        kind = self.rows().schema[column].dataType
+        kind = self.schema[column].dataType
         if f"min_{column}" in self.index.columns:
             if value is None:
                 test &= F.col(f"nulls_{column}") > 0
@@ -134,7 +139,7 @@ class OrderedTable:
     def _can_lie_between(self, column: str, low: object, high: object) -> Column:
         if f"min_{column}" not in self.index.columns:
             return F.lit(True)
-        kind = self.rows().schema[column].dataType
+        kind = self.schema[column].dataType
         above = F.lit(True) if low is None else F.col(f"max_{column}") >= F.lit(low).cast(kind)
         below = F.lit(True) if high is None else F.col(f"min_{column}") <= F.lit(high).cast(kind)
         return F.coalesce(above & below, F.lit(False))
@@ -145,7 +150,7 @@ class OrderedTable:
         return self.index.where(reduce(Column.__and__, tests, F.lit(True)))
 
     def _holds(self, equal: Mapping[str, object], between: Mapping[str, tuple]) -> Column:
-        kind = {f.name: f.dataType for f in self.rows().schema.fields}
+        kind = {f.name: f.dataType for f in self.schema.fields}
         tests = [F.col(c).eqNullSafe(F.lit(v).cast(kind[c])) for c, v in equal.items()]
         for c, (low, high) in between.items():
             tests += [] if low is None else [F.col(c) >= F.lit(low).cast(kind[c])]
