@@ -42,12 +42,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .store import cut, row_slices
 from .words import NOT_SPACE, find_words, shingle_hashes
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A list of fewer documents is never set aside as long.
 LONG_LIST = 32
 #: Words are counted in this many buckets (the size of the broadcast table, whatever the corpus).
@@ -377,8 +378,12 @@ def _with_components(rows: DataFrame, classes: DataFrame, joined: DataFrame) ->
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the document of least doc_id of every component, and every document that links with nothing.
 
-    Of repeated rows with a kept doc_id one stays; rows without doc_id all stay.
+    Of repeated rows with a kept doc_id the one of least text stays (then of least other
+    columns); rows without doc_id all stay.
     """
     classes = jaccard_classes(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = F.min_by(F.struct(*columns), F.struct("text", *ordered)).alias("row")
+    kept = docs.join(classes, "doc_id", "left_semi").select(docs.columns).groupBy("doc_id").agg(row)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
