@@ -12,7 +12,9 @@ The first occurrence of a chunk (by doc_id, then place) stays.  Neighbouring chu
 first occurrences are neighbours in one text form a run; a run is extended byte by byte
 at both ends, as far as ``REACH`` bytes, while the bytes equal those beside the first
 occurrence.  What adjoining extended runs cover is removed if it has ``min_bytes`` or
-more; a short chunk that happens to recur is no reason to cut a text.
+more; a short chunk that happens to recur is no reason to cut a text.  Chunks meet by a
+64-bit digest; before a run's bytes go, a second hash of all of them must equal that of the
+first occurrence, so 128 bits decide.
 
 Skew: chunks are counted with map-side combining, so the copies of a chunk in a third
 of all documents reach the reducer as one row for each task; the join back is an
@@ -158,20 +160,25 @@ def _runs(batches):
 
 
 def _beside(batches):
-    """The ``REACH`` bytes before and behind wanted places of the texts."""
+    """The ``REACH`` bytes before and behind wanted spans of the texts, and a second hash of what lies in them."""
     for part in _slices(batches):
         data, offsets = text_bytes(part.column("text"))
         raw, marks = data.tobytes(), text_marks(data, offsets)
         rows = []
-        for k, (doc, places) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("places").to_pylist())):
-            lo, hi = int(offsets[k]), int(offsets[k + 1])
-            for p in places:
-                if p["mark"] == marks[k]:
-                    at = lo + p["at"]
-                    rows.append((doc, p["mark"], p["at"], p["behind"], raw[at:min(at + REACH, hi)] if p["behind"] else raw[max(lo, at - REACH):at]))
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["place_id", "place_mark", "place_at", "behind", "bytes"])
+        for k, (doc, spans) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spans").to_pylist())):
+            first, end = int(offsets[k]), int(offsets[k + 1])
+            for s in spans:
+                if s["mark"] == marks[k]:
+                    lo, hi = first + s["lo"], first + s["hi"]
+                    rows.append((doc, s["mark"], s["lo"], s["hi"], raw[max(first, lo - REACH):lo], raw[hi:min(hi + REACH, end)], second_hash(raw[lo:hi])))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["span_id", "span_mark", "span_lo", "span_hi", "before", "behind", "check"])
+
+
+def second_hash(text: bytes) -> int:
+    """A hash of a run's bytes that is independent of its chunks' digests."""
+    return xxhash.xxh64_intdigest(text, seed=0x5EED) - (1 << 63)
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -199,7 +206,9 @@ def _report(min_bytes: int):
             rows = []
             for k, repeats in enumerate(part.column("repeats").to_pylist()):
                 text = raw[int(offsets[k]):int(offsets[k + 1])]
-                spans = removed_spans([extended(text, r["lo"], r["hi"], r["before"] or b"", r["behind"] or b"") for r in repeats or () if r["mark"] == marks[k]], min_bytes)
+                # equal digests are not enough to delete bytes: the run must also have its first occurrence's second hash
+                same = (r for r in repeats or () if r["mark"] == marks[k] and second_hash(text[r["lo"]:r["hi"]]) == r["check"])
+                spans = removed_spans([extended(text, r["lo"], r["hi"], r["before"] or b"", r["behind"] or b"") for r in same], min_bytes)
                 kept, at = [], 0
                 for lo, hi in spans:
                     kept.append(text[at:lo])
@@ -222,16 +231,12 @@ def repeated_chunks(docs: DataFrame, min_bytes: int = 128) -> DataFrame:
     repeats = chunks.join(first, "digest").where(~place.eqNullSafe(F.col("first")))
     merged = repeats.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "size", "first")).alias("repeats"))
     runs = cut(merged.mapInArrow(_runs, RUN), "chunk-runs")
-    ends = [runs.select(F.col("first_id").alias("place_id"), F.col("first_mark").alias("place_mark"), F.col(at).alias("place_at"), F.lit(behind).alias("behind")) for at, behind in (("first_lo", False), ("first_hi", True))]
-    wanted = ends[0].unionByName(ends[1]).distinct().groupBy(F.col("place_id").alias("id")).agg(F.collect_list(F.struct(F.col("place_mark").alias("mark"), F.col("place_at").alias("at"), "behind")).alias("places"))
+    wanted = runs.select("first_id", F.col("first_mark").alias("mark"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi")).distinct().groupBy(F.col("first_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("spans"))
+    beside = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("doc_id", "text", "spans").mapInArrow(_beside, "span_id long, span_mark int, span_lo int, span_hi int, before binary, behind binary, check long")
     # rows equal in id and text give the same bytes
-    beside = cut(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("doc_id", "text", "places").mapInArrow(_beside, "place_id long, place_mark int, place_at int, behind boolean, bytes binary"), "chunk-beside").groupBy("place_id", "place_mark", "place_at", "behind").agg(F.first("bytes").alias("bytes"))
-
-    def with_bytes(df, at, behind, name):
-        side = beside.where(F.col("behind") == behind).select("place_id", "place_mark", "place_at", F.col("bytes").alias(name))
-        return df.join(side, df.first_id.eqNullSafe(side.place_id) & (df.first_mark == side.place_mark) & (df[at] == side.place_at), "left").drop("place_id", "place_mark", "place_at")
-
-    known = with_bytes(with_bytes(runs, "first_lo", False, "before"), "first_hi", True, "behind")
-    spans = known.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "hi", "before", "behind")).alias("repeats"))
+    place = ["span_id", "span_mark", "span_lo", "span_hi"]
+    beside = cut(beside, "chunk-beside").groupBy(*place).agg(*[F.first(c).alias(c) for c in ("before", "behind", "check")])
+    known = runs.join(beside, runs.first_id.eqNullSafe(beside.span_id) & (runs.first_mark == beside.span_mark) & (runs.first_lo == beside.span_lo) & (runs.first_hi == beside.span_hi))
+    spans = known.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "lo", "hi", "before", "behind", "check")).alias("repeats"))
     found = texts.join(spans, texts.doc_id.eqNullSafe(spans.id), "left").select("doc_id", "text", "repeats")
     return found.mapInArrow(_report(min_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
