@@ -222,6 +222,29 @@ def test_an_unset_warehouse_is_refused_on_a_cluster(spark, monkeypatch):
     assert sinks._shared_warehouse(Cluster) == "hdfs://shared/warehouse"
 
 
+def test_versions_lie_in_the_checkpoint_location_if_the_warehouse_is_unset(tmp_path):
+    import os
+
+    settings = {"spark.sql.warehouse.dir": f"file:{os.getcwd()}/spark-warehouse", "spark.checkpoint.dir": f"{tmp_path}/"}
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: settings.get(key, default))
+
+    for master in ("spark://host:7077", "local-cluster[3,4,10240]"):
+        Cluster.sparkContext.master = master
+        assert sinks._version_root(Cluster) == f"{tmp_path}/warehouse"
+    settings["spark.sql.warehouse.dir"] = "hdfs://shared/warehouse"
+    assert sinks._version_root(Cluster) == "hdfs://shared/warehouse"
+    settings.update({"spark.sql.warehouse.dir": f"file:{os.getcwd()}/spark-warehouse", "spark.checkpoint.dir": None})
+    Cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="warehouse"):
+        sinks._version_root(Cluster)
+
+
 def test_declared_defaults_are_described(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS with_defaults (a INT DEFAULT 7, b STRING DEFAULT 'x', c INT) USING parquet")
     assert [(r.field, r.default) for r in describe_table(spark, "with_defaults").collect()] == [("a", "7"), ("b", "'x'"), ("c", None)]

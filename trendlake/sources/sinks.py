@@ -133,7 +133,7 @@ def _publish_to_catalog(out: DataFrame, writer, parts: Sequence[str], table: str
     that fails before it changes nothing.  The last ``KEPT_VERSIONS`` versions stay.
     """
     spark = out.sparkSession
-    root = _shared_warehouse(spark)
+    root = _version_root(spark)
     database, _, name = table.rpartition(".")
     prefix = f"{database}." if database else ""
     version = f"{name}__v{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
@@ -155,11 +155,28 @@ def _publish_to_catalog(out: DataFrame, writer, parts: Sequence[str], table: str
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _version_root(spark: SparkSession) -> str:
+    """Where version tables lie: the warehouse, or a folder of the shared checkpoint location
+    where the warehouse is still the default one, which executors may not see."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        root = _shared_warehouse(spark)
+    except RuntimeError:
+        if not shared:
+            raise
+        return f"{shared.rstrip('/')}/warehouse"
+    own_processes = spark.sparkContext.master.startswith("local-cluster")
+    return f"{shared.rstrip('/')}/warehouse" if own_processes and shared and _is_default(root) else root
+
+
+def _is_default(root: str) -> bool:
+    return bool(re.fullmatch(r"(file:/*)?.*/spark-warehouse", root)) and re.sub(r"^file:/*", "/", root) == f"{os.getcwd()}/spark-warehouse"
+
+
 def _shared_warehouse(spark: SparkSession) -> str:
     """The warehouse folder; on a cluster it must have been set, as the default is a folder of the driver's machine."""
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    default = re.fullmatch(r"(file:/*)?.*/spark-warehouse", root) and re.sub(r"^file:/*", "/", root) == f"{os.getcwd()}/spark-warehouse"
-    if default and not spark.sparkContext.master.startswith("local"):
+    if _is_default(root) and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.sql.warehouse.dir to a folder shared by all executors")
     return root
 
