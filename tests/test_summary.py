@@ -65,3 +65,40 @@ def test_snapshot_path_adds_no_shuffle(spark, fixture_pair):
     # two-level aggregate + rank window: exactly three exchanges, as before the summary existed
     plan = physical_plan(top_categories(snap), "simple")
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def _nodes_below(plan, node):
+    """The lines of a plan's text from the deepest ``node`` down."""
+    lines = plan.splitlines()
+    at = max(k for k, line in enumerate(lines) if node in line)
+    return "\n".join(lines[at + 1:])
+
+
+def test_the_summary_sorts_nothing_before_its_shuffle(spark, fixture_pair):
+    path = scratch_dir(spark, "cleaned")
+    write_snapshots(fixture_pair[0], path)
+    plan = physical_plan(sighting_summary(spark.read.parquet(path)), "simple")
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
+    below = _nodes_below(plan, "Exchange")
+    assert "Sort" not in below and "Aggregate" not in below
+
+
+@pytest.mark.parametrize("op", [top_channels, top_videos, video_trends], ids=lambda o: o.__name__)
+def test_rankings_of_a_summary_shuffle_counts_only(fixture_pair, op):
+    plan = physical_plan(op(fixture_pair[1]), "simple")
+    first = [ln for ln in plan.splitlines() if "HashAggregate(keys=[video_id" in ln and "partial_sum(sightings" in ln]
+    assert first and all("partial_min" not in ln for ln in first)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_null_keys_and_unseen_views_rank_alike_from_a_summary(spark):
+    rows = random_rows(11, n=300)
+    for i, r in enumerate(rows):
+        r["video_trending_country"] = ["US", None, "DE"][i % 3]
+        r["video_view_count"] = ["many", "5", "5", "12"][i % 4]
+        r["video_trending__date"] = ["2024.01.05", "2024.02.01", None][i % 3]
+    snap = clean_snapshots(raw_rows(spark, rows))
+    path = scratch_dir(spark, "summary-null-keys")
+    write_snapshots(sighting_summary(snap), path)
+    for op in (top_channels, top_videos, video_trends):
+        assert rows_of(op(spark.read.parquet(path))) == rows_of(op(snap)), op.__name__

@@ -10,7 +10,10 @@ level 1.  Both levels combine map-side, so a hot group never reaches one task
 whole.  The country rank is ``row_number() <= k`` with a total tie-break,
 which Catalyst turns into a partial WindowGroupLimit before the shuffle.
 
-Inputs are cleaned snapshots or their sighting summary (operators.summary).
+Inputs are cleaned snapshots or their sighting summary (operators.summary).  A summary is a
+written table, so channels and videos are ranked by their counts and views alone, and only
+the rows of the listed ones are read for the rest (``rows_of``): counts and maxima reduce by
+hashing, whereas text reduces by a sort of the whole table.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.operators.clean import drop_null_keys
-from trendlake.operators.summary import PEAK_VIDEO, SIGHTINGS, as_sightings, peak_video_key
+from trendlake.operators.summary import PEAK_VIDEO, SIGHTINGS, as_sightings, is_summary, peak_video_key, rows_of
 from trendlake.plans.ordering import asc, desc, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -32,6 +35,8 @@ from trendlake.schema import (
 )
 
 DEFAULT_K = 10
+# Lists of up to so many rows a country are sent to all tasks.
+MAX_SENT_K = 1_000
 
 
 def top_categories(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -62,6 +67,8 @@ def top_categories(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """(channel, category) pairs per country by sightings, then summed peak views."""
+    if is_summary(snap) and k <= MAX_SENT_K:
+        return _top_channels_of_summary(snap, k)
     # High-cardinality keys first: both levels are sort-based (string min), and
     # the sort compares a prefix of the first key.
     keys = [CHANNEL, COUNTRY, CATEGORY]
@@ -96,6 +103,25 @@ def top_channels(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     )
 
 
+def _top_channels_of_summary(summary: DataFrame, k: int) -> DataFrame:
+    keys = [CHANNEL, COUNTRY, CATEGORY]
+    rows = drop_null_keys(summary, keys)
+    per_video = rows.groupBy(VIDEO, *keys).agg(F.sum(SIGHTINGS).alias("n"), F.max("max_views").alias("v"))
+    groups = per_video.groupBy(*keys).agg(
+        F.sum("n").alias(APPEARANCES), F.sum("v").alias("total_views"), F.count(F.lit(1)).alias("total_videos")
+    )
+    order = [desc(APPEARANCES), desc("total_views"), asc(CHANNEL), asc(CATEGORY)]
+    top = top_k_per_group(groups, [COUNTRY], order, k)
+    return rows_of(rows, top, keys).groupBy(*top.columns).agg(
+        F.max("max_subscribers").alias("channel_subscribers"),
+        F.max("max_channel_views").alias("channel_view_count"),
+        F.min("min_custom_url").alias("channel_custom_url"),
+    ).select(
+        COUNTRY, CHANNEL, "channel_custom_url", CATEGORY, APPEARANCES, "total_views",
+        "total_videos", "channel_subscribers", "channel_view_count", "rank",
+    )
+
+
 def peak_snapshots(snap: DataFrame) -> DataFrame:
     """W4 + J2: one row per (video, country) -- the peak-views sighting with its
     engagement -- and the number of sightings.  Sightings with a NULL country
@@ -117,9 +143,12 @@ def peak_snapshots(snap: DataFrame) -> DataFrame:
 
 def top_videos(snap: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Videos per country by sightings, then by peak views, then video id."""
-    ranked = top_k_per_group(
-        peak_snapshots(snap), [COUNTRY], [desc(APPEARANCES), desc(VIEWS), asc(VIDEO)], k
-    )
+    order = [desc(APPEARANCES), desc(VIEWS), asc(VIDEO)]
+    if is_summary(snap) and k <= MAX_SENT_K:
+        counts = snap.groupBy(VIDEO, COUNTRY).agg(F.sum(SIGHTINGS).alias("_n"), F.max("max_views").alias(VIEWS))
+        counts = counts.withColumn(APPEARANCES, F.when(F.col(COUNTRY).isNotNull(), F.col("_n")))
+        snap = rows_of(snap, top_k_per_group(counts, [COUNTRY], order, k).select(VIDEO, COUNTRY), [VIDEO, COUNTRY])
+    ranked = top_k_per_group(peak_snapshots(snap), [COUNTRY], order, k)
     return ranked.select(
         COUNTRY, CATEGORY, "video_title", CHANNEL, "video_duration", VIEWS, "engagement_rating",
         APPEARANCES, "peak_trending_date", "rank",

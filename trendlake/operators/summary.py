@@ -86,15 +86,19 @@ def peak_month_key() -> Column:
     return PEAK_MONTH.widen(PEAK_MONTH_SLIM, "peak_month")
 
 
+# The columns of a snapshot that a summary row is made of, besides its keys.
+_CARRIED = [
+    VIEWS, LIKES, COMMENTS, TRENDING_DATE, "video_title", "video_duration", "channel_subscriber_count",
+    "channel_view_count", "channel_custom_url",
+]
+
+
 def is_summary(df: DataFrame) -> bool:
     return SIGHTINGS in df.columns
 
 
-def as_sightings(snap: DataFrame) -> DataFrame:
-    """Summary-shaped rows: a summary as is, cleaned snapshots as weight-1 rows."""
-    if is_summary(snap):
-        return snap
-    rows = with_trending_month(snap).withColumns(
+def _typed(snap: DataFrame) -> DataFrame:
+    return snap.withColumns(
         {
             VIEWS: F.col(VIEWS).cast("long"),
             LIKES: F.col(LIKES).cast("long"),
@@ -102,37 +106,60 @@ def as_sightings(snap: DataFrame) -> DataFrame:
             "engagement_rating": engagement_rating(VIEWS, LIKES, COMMENTS),
         }
     )
-    return rows.select(
-        *SUMMARY_KEYS,
-        F.lit(1).cast("long").alias(SIGHTINGS),
-        F.col(VIEWS).alias("max_views"),
-        F.col(LIKES).alias("max_likes"),
-        F.col("channel_subscriber_count").cast("long").alias("max_subscribers"),
-        F.col("channel_view_count").cast("long").alias("max_channel_views"),
-        F.col("channel_custom_url").alias("min_custom_url"),
-        PEAK_VIDEO_SLIM.key().alias("peak_video"),
-        PEAK_MONTH_SLIM.key().alias("peak_month"),
-    )
+
+
+def _measures() -> dict[str, Column]:
+    """What a snapshot brings into each column of its summary row."""
+    return {
+        SIGHTINGS: F.lit(1).cast("long"),
+        "max_views": F.col(VIEWS),
+        "max_likes": F.col(LIKES),
+        "max_subscribers": F.col("channel_subscriber_count").cast("long"),
+        "max_channel_views": F.col("channel_view_count").cast("long"),
+        "min_custom_url": F.col("channel_custom_url"),
+        "peak_video": PEAK_VIDEO_SLIM.key(),
+        "peak_month": PEAK_MONTH_SLIM.key(),
+    }
+
+
+def as_sightings(snap: DataFrame) -> DataFrame:
+    """Summary-shaped rows: a summary as is, cleaned snapshots as weight-1 rows."""
+    if is_summary(snap):
+        return snap
+    return _typed(with_trending_month(snap)).select(*SUMMARY_KEYS, *[c.alias(name) for name, c in _measures().items()])
 
 
 def sighting_summary(snap: DataFrame) -> DataFrame:
-    """Aggregate cleaned snapshots into the summary (one shuffle, combined map-side).
+    """Aggregate cleaned snapshots into the summary (one shuffle).
+
+    The snapshots' own columns, each once, are dealt out by video and country; behind that
+    shuffle they are sorted and reduced, and the peak keys are made.  A video has a row a day in
+    a country, so combining in the map tasks would find next to nothing to combine; it would sort
+    all rows of a file split (which spills, and takes the more memory the better a file is
+    compressed) and send two peak keys for each.
 
     Groups with NULL keys are kept as groups; each analysis drops the NULL
     keys its own semantics drop.  Write the result once (``write_snapshots``)
     and pass the written table to the analyses.
     """
-    s = as_sightings(snap)
-    return s.groupBy(*SUMMARY_KEYS).agg(
-        F.sum(SIGHTINGS).alias(SIGHTINGS),
-        F.max("max_views").alias("max_views"),
-        F.max("max_likes").alias("max_likes"),
-        F.max("max_subscribers").alias("max_subscribers"),
-        F.max("max_channel_views").alias("max_channel_views"),
-        F.min("min_custom_url").alias("min_custom_url"),
-        F.min("peak_video").alias("peak_video"),
-        F.min("peak_month").alias("peak_month"),
-    )
+    if is_summary(snap):
+        rows, of = snap, {name: F.col(name) for name in _measures()}
+    else:
+        rows = with_trending_month(snap).select(*dict.fromkeys([*SUMMARY_KEYS, *_CARRIED]))
+        rows, of = _typed(rows.repartition(VIDEO, COUNTRY)), _measures()
+    reduce = lambda name: F.sum if name == SIGHTINGS else F.max if name.startswith("max_") else F.min
+    return rows.groupBy(*SUMMARY_KEYS).agg(*[reduce(name)(c).alias(name) for name, c in of.items()])
+
+
+def rows_of(summary: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """The summary rows whose ``keys`` are in ``listed`` (NULL equals NULL), with its other columns.
+
+    ``listed`` has each key once and is small: some rows a country, or a country's month."""
+    names = {c: f"_listed_{c}" for c in keys}
+    same = F.lit(True)
+    for c, name in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return summary.join(F.broadcast(listed.withColumnsRenamed(names)), same).drop(*names.values())
 
 
 def with_peak_columns(summary: DataFrame) -> DataFrame:

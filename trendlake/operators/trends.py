@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trendlake.functions.tags import clean_tag, long_enough, split_tags
 from trendlake.operators.clean import drop_null_keys
 from trendlake.functions.dates import parse_trending_date
-from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, is_summary, peak_month_key
+from trendlake.operators.summary import PEAK_MONTH, SIGHTINGS, as_sightings, is_summary, peak_month_key, rows_of
 from trendlake.plans.ordering import asc, desc, first_per_group, top_k_per_group
 from trendlake.schema import (
     APPEARANCES,
@@ -111,12 +111,17 @@ def video_trends(snap: DataFrame) -> DataFrame:
     """The top video of every (country, year, month) with its peak counters.
 
     Both steps (peak row per video-month, top video per country-month) are
-    arg-min aggregates, so hot videos and hot months combine map-side.
+    arg-min aggregates, so hot videos and hot months combine map-side.  From a (written)
+    summary, the top videos are found by their counts and views first, which reduce by hashing;
+    then only their rows are reduced to peak rows.
     """
     keys = [COUNTRY, YEAR, MONTH]
+    rows = _monthly(snap, keys)
+    if is_summary(snap):
+        counts = rows.groupBy(VIDEO, *keys).agg(F.sum(SIGHTINGS).alias(APPEARANCES), F.max("max_views").alias(VIEWS))
+        rows = rows_of(rows, first_per_group(counts, keys, MONTH_TOP_ORDER).select(*keys, VIDEO), [*keys, VIDEO])
     peak = (
-        _monthly(snap, keys)
-        .groupBy(VIDEO, *keys)
+        rows.groupBy(VIDEO, *keys)
         .agg(F.sum(SIGHTINGS).alias(APPEARANCES), F.min(peak_month_key()).alias("_first"))
         .select(VIDEO, *keys, APPEARANCES, *PEAK_MONTH.restore("_first"))
     )

@@ -36,7 +36,7 @@ PUBLISH_ORDER = (
 
 def write_snapshots(df: DataFrame, path: str) -> None:
     """S3: overwrite a Parquet snapshot table."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def publishable(df: DataFrame) -> DataFrame:
