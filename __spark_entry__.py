@@ -37,7 +37,7 @@ from trendlake.operators import (
     video_trends,
     with_trending_month,
 )
-from trendlake.operators.summary import with_peak_columns
+from trendlake.operators.summary import DEALT_BY, with_peak_columns
 from trendlake.operators.catalog import readonly_sql
 from trendlake.operators.dims import (
     countries_without_data,
@@ -66,6 +66,7 @@ from trendlake.operators.quality import check_constraints, constraint_summary
 from trendlake.schema import CATEGORY_TRENDS, COUNTRY, RESULT_TABLES
 from trendlake.session import scratch_dir
 from trendlake.sources import (
+    buckets,
     export_csv,
     publish,
     publishable,
@@ -73,6 +74,7 @@ from trendlake.sources import (
     read_results_csv,
     read_snapshots,
     read_snapshots_csv,
+    write_by_key,
     write_snapshots,
 )
 
@@ -104,8 +106,7 @@ def _on_summary(op, raw=trending_raw) -> Q:
     def run(spark, sf):
         cleaned, summary = scratch_dir(spark, "cleaned"), scratch_dir(spark, "summary")
         write_snapshots(clean_snapshots(raw(spark, sf)), cleaned)
-        write_snapshots(sighting_summary(read_snapshots(spark, cleaned)), summary)
-        return op(read_snapshots(spark, summary))
+        return op(write_by_key(sighting_summary(read_snapshots(spark, cleaned), buckets(spark)), summary, DEALT_BY))
     return run
 
 
@@ -241,13 +242,14 @@ def _q_search(spark, sf):
 
 # ---------------------------------------------------------------- quality, sinks
 def _q_constraint_summary(spark, sf):
-    snap = snapshots(spark, sf)
+    # The five results come from the written summary, as in the refresh job: one pass over the snapshots, not six.
+    summary = write_by_key(sighting_summary(snapshots(spark, sf), buckets(spark)), scratch_dir(spark, "summary"), DEALT_BY)
     tables = {
-        "top10_channels_per_country": top_channels(snap),
-        "top10_categories_per_country": top_categories(snap),
-        "top10_videos_per_country": top_videos(snap),
-        "category_trends_over_time": publishable(category_trends(snap)),
-        "video_trends_over_time": video_trends(snap),
+        "top10_channels_per_country": top_channels(summary),
+        "top10_categories_per_country": top_categories(summary),
+        "top10_videos_per_country": top_videos(summary),
+        "category_trends_over_time": publishable(category_trends(summary)),
+        "video_trends_over_time": video_trends(summary),
     }
     return reduce(DataFrame.unionByName, [constraint_summary(df, RESULT_TABLES[n]) for n, df in tables.items()])
 

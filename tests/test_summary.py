@@ -16,7 +16,8 @@ from trendlake.operators import (
 )
 from trendlake.plans import physical_plan
 from trendlake.session import scratch_dir
-from trendlake.sources import write_snapshots
+from trendlake.operators.summary import DEALT_BY
+from trendlake.sources import buckets, write_by_key, write_snapshots
 
 from tests.conftest import SF_SMALL, raw_rows
 from tests.forms import random_rows
@@ -102,3 +103,13 @@ def test_null_keys_and_unseen_views_rank_alike_from_a_summary(spark):
     write_snapshots(sighting_summary(snap), path)
     for op in (top_channels, top_videos, video_trends):
         assert rows_of(op(spark.read.parquet(path))) == rows_of(op(snap)), op.__name__
+
+
+@pytest.mark.parametrize("op", [top_categories, top_channels, top_videos, video_trends, category_trends], ids=lambda o: o.__name__)
+def test_a_summary_in_buckets_is_not_shuffled_by_video(spark, fixture_pair, op):
+    names = [t.name for t in spark.catalog.listTables()]
+    path = scratch_dir(spark, "summary-by-key")
+    summary = write_by_key(sighting_summary(fixture_pair[0], buckets(spark)), path, DEALT_BY)
+    assert [t.name for t in spark.catalog.listTables()] == names
+    assert "hashpartitioning(video_id" not in physical_plan(op(summary), "simple")
+    assert rows_of(op(summary)) == rows_of(op(fixture_pair[0]))

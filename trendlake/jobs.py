@@ -19,8 +19,9 @@ from trendlake.operators import (
     top_videos,
     video_trends,
 )
+from trendlake.operators.summary import DEALT_BY
 from trendlake.schema import RAW_COLUMNS
-from trendlake.sources import Release, publish_all, publish_release, read_csv_files, read_snapshots, read_snapshots_csv, write_snapshots
+from trendlake.sources import Release, buckets, publish_all, publish_release, read_csv_files, read_snapshots, read_snapshots_csv, write_by_key, write_snapshots
 
 
 def refresh_results(spark: SparkSession, raw_path: str, out_root: str, raw_format: str = "parquet") -> dict[str, str]:
@@ -58,8 +59,7 @@ def refresh_release(spark: SparkSession, raw_path: str, out_root: str, raw_forma
 def _results(spark: SparkSession, raw: DataFrame, paths: dict[str, str]) -> dict[str, DataFrame]:
     """The five analyses over the summary of ``raw``, which is written on the way."""
     write_snapshots(clean_snapshots(raw), paths["cleaned"])
-    write_snapshots(sighting_summary(read_snapshots(spark, paths["cleaned"])), paths["summary"])
-    summary = read_snapshots(spark, paths["summary"])
+    summary = write_by_key(sighting_summary(read_snapshots(spark, paths["cleaned"]), buckets(spark)), paths["summary"], DEALT_BY)
     return {
         "top10_channels_per_country": top_channels(summary),
         "top10_categories_per_country": top_categories(summary),

@@ -86,6 +86,8 @@ def peak_month_key() -> Column:
     return PEAK_MONTH.widen(PEAK_MONTH_SLIM, "peak_month")
 
 
+# All analyses count by these and others first.
+DEALT_BY = [VIDEO, COUNTRY]
 # The columns of a snapshot that a summary row is made of, besides its keys.
 _CARRIED = [
     VIEWS, LIKES, COMMENTS, TRENDING_DATE, "video_title", "video_duration", "channel_subscriber_count",
@@ -129,7 +131,7 @@ def as_sightings(snap: DataFrame) -> DataFrame:
     return _typed(with_trending_month(snap)).select(*SUMMARY_KEYS, *[c.alias(name) for name, c in _measures().items()])
 
 
-def sighting_summary(snap: DataFrame) -> DataFrame:
+def sighting_summary(snap: DataFrame, partitions: int | None = None) -> DataFrame:
     """Aggregate cleaned snapshots into the summary (one shuffle).
 
     The snapshots' own columns, each once, are dealt out by video and country; behind that
@@ -139,14 +141,15 @@ def sighting_summary(snap: DataFrame) -> DataFrame:
     compressed) and send two peak keys for each.
 
     Groups with NULL keys are kept as groups; each analysis drops the NULL
-    keys its own semantics drop.  Write the result once (``write_snapshots``)
+    keys its own semantics drop.  Write the result once (``write_snapshots``, or
+    ``write_by_key`` by ``DEALT_BY`` if it was dealt out to that many ``partitions``)
     and pass the written table to the analyses.
     """
     if is_summary(snap):
         rows, of = snap, {name: F.col(name) for name in _measures()}
     else:
         rows = with_trending_month(snap).select(*dict.fromkeys([*SUMMARY_KEYS, *_CARRIED]))
-        rows, of = _typed(rows.repartition(VIDEO, COUNTRY)), _measures()
+        rows, of = _typed(rows.repartition(*([partitions] if partitions else []), *DEALT_BY)), _measures()
     reduce = lambda name: F.sum if name == SIGHTINGS else F.max if name.startswith("max_") else F.min
     return rows.groupBy(*SUMMARY_KEYS).agg(*[reduce(name)(c).alias(name) for name, c in of.items()])
 

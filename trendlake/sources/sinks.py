@@ -39,6 +39,26 @@ def write_snapshots(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_by_key(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """A Parquet table in buckets of ``keys``, opened: whatever groups by these keys and others
+    reads it without a shuffle.
+
+    ``df`` should be dealt out by ``repartition(buckets(spark), *keys)``, so that each task writes
+    one file.  The name in the catalog is only needed to open the table, and goes again.
+    """
+    spark, name = df.sparkSession, f"by_key_{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite").bucketBy(buckets(spark), *keys).option("path", path).option("compression", "zstd")
+    writer.saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table has a path of its own
+    return table
+
+
+def buckets(spark: SparkSession) -> int:
+    """As many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def publishable(df: DataFrame) -> DataFrame:
     """Array columns -> ``a|b|c`` text; an empty or missing list -> NULL."""
     cols = []

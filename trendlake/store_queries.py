@@ -19,12 +19,13 @@ from trendlake.operators import category_trends, clean_snapshots, sighting_summa
 from trendlake.operators.catalog import describe_table, list_tables, require_table
 from trendlake.operators.dims import country_coverage
 from trendlake.operators.display import display_rows
+from trendlake.operators.summary import DEALT_BY
 from trendlake.operators.explore import leading_categories, leading_category_trends, pinned_points, trend_series, trend_series_arrays
 from trendlake.operators.lookups import browse, country_category_trends, country_report, country_top, country_video_trends
 from trendlake.plans.ordering import asc
 from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, RAW_COLUMNS, RESULT_TABLES, VIEWS, YEAR
 from trendlake.session import scratch_dir
-from trendlake.sources import export_csv, publish, publish_release, publishable, read_csv_files, read_snapshots, sweep, write_ordered, write_snapshots
+from trendlake.sources import buckets, export_csv, publish, publish_release, publishable, read_csv_files, sweep, write_by_key, write_ordered
 from trendlake.sources.ordered import OrderedTable
 from trendlake.sources.releases import RESULT_ORDER, open_release
 
@@ -48,9 +49,7 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_dir(spark, "summary")
-    write_snapshots(sighting_summary(_snapshots(spark, sf)), path)
-    return read_snapshots(spark, path)
+    return write_by_key(sighting_summary(_snapshots(spark, sf), buckets(spark)), scratch_dir(spark, "summary"), DEALT_BY)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> OrderedTable:
