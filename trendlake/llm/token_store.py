@@ -40,34 +40,54 @@ from .store import cut, locate, row_slices, unique_name, work_dir
 MAGIC = b"TKZ1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("ids", "<i8"), ("offset", "<i8"), ("size", "<i8")])
 MANIFEST = "path string, first_doc long, last_doc long, n_docs long, n_ids long, order_in_task long, task long"
-SLICE_BYTES = 4 << 20
-MAX_MEMO = 600_000
+SLICE_BYTES = 2 << 20
+MAX_MEMO = 400_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes texts with a ``tokenizers`` file, each distinct word once.
+    """Encodes texts with a ``tokenizers`` file, each distinct piece once.
 
     The ids of a text are the ids of its words end to end if no token and no normalisation
-    reaches over ASCII white space; a file for which that does not hold is refused.  Trailing
-    punctuation is looked up on its own where the file makes it a piece of its own, and only
-    behind characters that normalise to a letter or digit at the end (some letters become a
-    base and a mark, and the mark belongs to the punctuation's piece).
+    reaches over ASCII white space; a file for which that does not hold is refused.  Where the
+    file makes ASCII letters, single digits and punctuation pieces of their own, plain words
+    are cut there by their bytes.  Other words (with an apostrophe, a control character, a
+    special token's beginning or beyond ASCII) stay whole but for their trailing punctuation, which is
+    looked up on its own behind characters that normalise to a letter or digit at the end (some
+    letters become a base and a mark, and the mark belongs to the punctuation's piece).
+
+    New words of letters are encoded many at a time where the model ends each piece with a
+    suffix that tells them apart again.  The memo is an Arrow array of pieces beside an array of
+    ids; once it is full, it starts again with the pieces of the texts at hand.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo, self.flat, self.starts = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.odd: dict[str, bytes] = {}
         self.closing: dict[str, bool] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         if any(ids(space.join(("Ab", "c,", "9"))) != ids("Ab") + ids("c,") + ids("9") for space in (" ", "\n", " \t\r\v\f ")):
             raise ValueError(f"{path}: tokens of this vocabulary depend on white space")
         self.lower = all(ids(f"{c}b{c}") == ids(f"{c}b{c}".lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.cuts = all(ids(f"a{x}{y}") == ids("a") + ids(x + y) for x in _PUNCTUATION for y in ("", ".", '"'))
+        digits, marks = "0123456789", sorted(_PUNCTUATION - {"'"})
+        borders = [pair for x in digits for y in (*digits, *marks, "ab", "Ab") for pair in ((x, y), (y, x))]
+        borders += [pair for x in marks for y in ("ab", "Ab", "s", "t") for pair in ((x, y), (y, x))]
+        self.plain = self.cuts and all(ids(x + y) == ids(x) + ids(y) for x, y in borders)
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # by id: whether it ends a piece
+        if suffix and all(c in vocabulary and c + suffix in vocabulary for c in pre_tokenizers.ByteLevel.alphabet()):
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.model = Tokenizer(self.tokenizer.model)  # alone, for words of a to z, which nothing before it changes
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probes = [*"abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "thequickbrownfox", "jumpsoverthelazydog", "tokenization", "st", "fi"]
+        self.bare = self.plain and self.ends is not None and ids(" ".join(probes)) == self.model.encode(" ".join(probes), add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -86,55 +106,146 @@ class WordEncoder:
             self.closing[character] = character.isalpha() and last.isalpha()
         return self.closing[character]
 
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        heads, tails = [], []
-        for word in words:
-            end = len(word)
-            if "<|" in word:  # may hold a special token, which is found before lower-casing
-                heads.append(word)
-                tails.append("")
-                continue
-            if self.lower and word.isascii():
-                word = word.lower()
-            while end and word[end - 1] in _PUNCTUATION:
-                end -= 1
-            if self.cuts and 0 < end < len(word) and self._closes(word[end - 1]):
-                heads.append(word[:end])
-                tails.append(word[end:])
+    def _head(self, word: str) -> tuple[str, str]:
+        """A word as it is looked up, and its trailing punctuation where that is a piece of its own."""
+        if "<|" in word:  # may hold a special token, which is found before lower-casing
+            return word, ""
+        if self.lower and word.isascii():
+            word = word.lower()
+        end = len(word)
+        while end and word[end - 1] in _PUNCTUATION:
+            end -= 1
+        if self.cuts and 0 < end < len(word) and self._closes(word[end - 1]):
+            return word[:end], word[end:]
+        return word, ""
+
+    def _joined(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of words encoded as one text and each word's last position, if each is one piece."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, last + 1) if len(last) == len(words) else None  # each has one piece at least
+
+    def _odd(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers; such words are few."""
+        if len(self.odd) > MAX_MEMO // 4:
+            self.odd = {}
+        parts = [self._head(w) for w in words]
+        new = [w for w in dict.fromkeys(x for part in parts for x in part) if w not in self.odd]
+        for at in range(0, len(new), 256):
+            some = new[at:at + 256]
+            letters = [w for w in some if w.isalpha()] if self.ends is not None else []
+            if letters and (found := self._joined(self.tokenizer, letters)):
+                self.odd.update(zip(letters, (part.tobytes() for part in np.split(found[0], found[1][:-1]))))
+                some = [w for w in some if not w.isalpha()]
+            if some:
+                for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    self.odd[word] = np.array(code.ids, "<u4").tobytes()
+        return [self.odd[h] + self.odd[t] for h, t in parts]
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words end to end, and the number of ids of each."""
+        plain = np.asarray(pc.match_substring_regex(words, "^[a-z]+$")) if self.bare else np.zeros(len(words), bool)
+        values, where = words.filter(pa.array(plain)).to_pylist(), np.flatnonzero(plain)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for at in range(0, len(values), 256):
+            some = where[at:at + 256]
+            if found := self._joined(self.model, values[at:at + 256]):
+                parts.append((some, found[0]))
+                sizes[some] = np.diff(found[1], prepend=0)
             else:
-                heads.append(word)
-                tails.append("")
-        new = [w for w in dict.fromkeys([*heads, *tails]) if w not in memo]
-        if len(memo) > MAX_MEMO:
-            memo.clear()
-            new = list(dict.fromkeys([*heads, *tails]))
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[word] = np.array(code.ids, "<u4").tobytes()
-        return [memo[h] + memo[t] if t else memo[h] for h, t in zip(heads, tails)]
+                plain[some] = False
+        where = np.flatnonzero(~plain)
+        table = self._odd(words.filter(pa.array(~plain)).to_pylist())
+        sizes[where] = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        parts.append((where, np.frombuffer(b"".join(table), "<u4")))
+        flat, begins = np.empty(int(sizes.sum()), "<u4"), np.cumsum(sizes) - sizes
+        for some, ids in parts:
+            flat[_ranges(begins[some], sizes[some])] = ids
+        return flat, sizes
+
+    def _lookup(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of some distinct pieces in the memo, which learns the new ones."""
+        found = pc.index_in(pieces, value_set=self.memo)
+        new = pieces.filter(found.is_null())
+        places = np.asarray(found.fill_null(-1)).astype(np.int64)
+        if len(new):
+            words = pc.ascii_trim_whitespace(new).dictionary_encode()
+            flat, sizes = self._encode_words(words.dictionary)
+            word = np.asarray(words.indices)
+            begins = np.cumsum(sizes) - sizes
+            places[places < 0] = len(self.memo) + np.arange(len(new))
+            self.memo = pa.concat_arrays([self.memo, new])
+            self.flat = np.concatenate([self.flat, flat[_ranges(begins[word], sizes[word])]])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes[word])])
+        if len(self.memo) > MAX_MEMO:
+            begins, sizes = self.starts[places], np.diff(self.starts)[places]
+            self.memo, self.flat, self.starts = pieces, self.flat[_ranges(begins, sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            places = np.arange(len(pieces))
+        return places
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Stretches that together are the texts, and each row's first one (one more at the end).
+
+        A stretch is a piece with at most one white space before it, or white space alone.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return pa.array([], pa.large_string()), np.zeros(1, np.int64)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]]
+        rows = offsets - offsets[0]
+        if not len(data):
+            return pa.array([], pa.large_string()), np.zeros(len(rows), np.int64)
+        kind = _KINDS[data]
+        space = kind == _SPACE
+        words = np.zeros(len(data), bool)
+        words[1:] = space[1:] != space[:-1]
+        after = words & ~space  # a word behind white space begins with the last of it
+        words[rows[rows < len(data)]] = True
+        after[rows[rows < len(data)]] = False
+        words ^= after
+        words[:-1] |= after[1:]
+        firsts = np.flatnonzero(words)
+        if self.plain:
+            odd = kind == _OTHER
+            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+            whole = np.repeat(np.logical_or.reduceat(odd, firsts), np.diff(firsts, append=len(data)))
+            begins = kind == _DIGIT
+            begins[1:] |= kind[1:] != kind[:-1]
+            firsts = np.flatnonzero((begins & ~whole & ~after) | words)
+            if self.lower:
+                data = np.where(whole & ~space, data, _LOWER[data])
+        ends = np.append(firsts, len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+        return pieces, np.searchsorted(firsts, rows)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows end to end, and each row's first position (one more at the end)."""
-        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        if not len(coded):
+        pieces, rows = self._pieces(texts)
+        if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        table = self._lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.frombuffer(b"".join(table), "<u4")
-        word = np.asarray(coded.indices)
-        lengths = sizes[word]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(first[word] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        coded = pieces.dictionary_encode()
+        places = self._lookup(coded.dictionary)[np.asarray(coded.indices)]
+        begins = self.starts[places]
+        sizes = self.starts[places + 1] - begins
+        return self.flat[_ranges(begins, sizes)], np.concatenate([[0], np.cumsum(sizes)])[rows]
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of stretches, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[list(b" \t\n\v\f\r")] = _SPACE
+_KINDS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KINDS[list(b"0123456789")] = _DIGIT
+_KINDS[[ord(c) for c in _PUNCTUATION - {"'"}]] = _MARK
+_LOWER = np.where(_KINDS == _SPACE, ord(" "), np.frombuffer(bytes(range(256)).lower(), np.uint8)).astype(np.uint8)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int, dictionary_bytes: int) -> bytes:
