@@ -61,6 +61,13 @@ def test_splits_equal_the_one_task_read(spark, tmp_path, tiny_splits):
     assert sorted(map(str, many.rows(["id", "t", "u"]).collect())) == sorted(map(str, one.collect()))
 
 
+def test_each_record_is_joined_and_parsed_once(spark, tmp_path):
+    random_files(tmp_path, 4)
+    rows = read_csv_files(spark, str(tmp_path)).rows(["id", "t", "u"]).where("id is not null and lower(t) <> 'x'")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_positions_are_byte_offsets_in_input_order(spark, tmp_path, tiny_splits):
     random_files(tmp_path, 2)
     rows = read_csv_files(spark, f"{tmp_path}/b.csv").rows(["id"], position=True).orderBy("file", "offset").collect()

@@ -3,15 +3,16 @@
 Spark reads a CSV file with quoted newlines in one task, because a split cannot know whether
 it begins inside quotes.  Whether it does is the parity of the quotes before it, so:
 
-1. One pass over the lines (split at ``\\n`` in parallel by the text source) counts the quotes
-   and bytes of each split and keeps each file's first line.  Running sums over a file's splits
-   give the parity and the byte offset at which each split begins; that table, a row for each
-   split, is written.
-2. A second pass walks the lines of each split with that parity and joins them to records.
-   Records that cross a split border leave as fragments, two for each split at most, and are
-   put together by file.
-3. Each record is parsed with the schema of its own file's header, and its fields are matched
-   to columns by name.  Records that do not fit their header, are longer than
+1. One pass over the lines (split at ``\\n`` in parallel by the text source) gives for each
+   split its bytes, whether its quotes are odd in number, its first line, and the two texts that
+   may belong to records over its borders: its lines to the first one with an odd number of
+   quotes, and those from the last such line on.  That table, a row for each split, is written.
+   Running sums over a file's splits then give the parity and the byte offset at which each
+   split begins, and with them the fragments of the records that cross borders.
+2. A second pass walks the lines of each split with that parity and joins them to the records
+   that lie in it.  The fragments are put together by file.
+3. Each record is parsed once, with the number of fields of its own file's header, and its fields
+   are matched to columns by name.  Records that do not fit their header, are longer than
    ``max_record_bytes`` or end within quotes are set aside with file, byte offset and reason.
 
 Quotes must stand only around fields (RFC 4180, which Spark's writer follows).  A quote that is
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,115 +37,165 @@ from trendlake.sources.snapshots import CSV_OPTIONS
 
 MAX_HEADERS = 1_000
 MAX_RECORD_BYTES = 16 << 20
-#: Kinds of record parts: a whole record, one that the next split goes on with, one that goes on from the split before.
-WHOLE, OPENS, GOES_ON = 0, 1, 2
-PARTS = "file string, offset long, kind int, size long, text string"
+SURVEY = "file string, split long, size long, odd boolean, any_odd boolean, first struct<value:string,odd:boolean>, lead string, lead_size long, tail string, tail_size long"
+WHOLE = "file string, offset long, text string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its file and split, its bytes and whether its quotes are odd in number."""
+    """Every line with its file and split."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        "value", (F.octet_length("value") + 1).cast("long").alias("size"), (quotes % 2 == 1).alias("odd"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
 
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """file, split, the byte offset and parity at which it begins, and its first line that is not blank."""
-    numbered = lines.withColumn("nth", F.monotonically_increasing_id())
-    first = F.min_by(F.when(F.trim("value") != "", F.struct("value", "odd")), F.when(F.trim("value") != "", F.col("nth")))
-    sums = numbered.groupBy("file", "split").agg(F.sum("size").alias("size"), F.sum(F.col("odd").cast("long")).alias("odd"), first.alias("first"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(
-        "file", "split", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("begins"),
-        (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"), "first")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where a split ends."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            file, split = batch.column("file"), batch.column("split").to_numpy()
+            ends = (split[1:] != split[:-1]) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(ends) + 1).tolist(), n]
+            for a, b in zip(edges, edges[1:]):
+                yield batch.slice(a, b - a)
+
+
+def _split_of(run: pa.RecordBatch) -> tuple[str, int]:
+    return run.column("file")[0].as_py(), run.column("split")[0].as_py()
 
 
-class _Assembler:
-    """Joins the lines of one split after another to record parts."""
+def _measured(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each line and whether its quotes are odd in number."""
+    return pc.binary_length(values).to_numpy().astype(np.int64) + 1, pc.count_substring(values, '"').to_numpy() % 2 == 1
+
+
+class _Text:
+    """Consecutive lines; beyond ``max_bytes`` only their size is kept."""
 
     def __init__(self, max_bytes: int):
-        self.max_bytes = max_bytes
-        self.split = None
-        self.rows: list[tuple] = []
-        self.pending: list[str] = []
-
-    def _emit(self, kind: int) -> None:
-        if self.held:
-            text = "\n".join(self.pending) if self.held <= self.max_bytes else None
-            self.rows.append((self.split[0], self.start, kind, self.held, text))
-        self.pending, self.held = [], 0
-
-    def _begin(self, split: tuple, offset: int, inside: bool) -> None:
-        self.close()
-        self.split, self.at, self.inside = split, offset, inside
-        self.start, self.held, self.pending, self.went_on = offset, 0, [], inside
-
-    def close(self) -> None:
-        """The end of a split: what is pending is whole, or goes on in the next split."""
-        if self.split is not None:
-            if self.went_on:
-                self._emit(GOES_ON)
-            else:
-                self._emit(OPENS if self.inside else WHOLE)
-        self.split = None
-
-    def add(self, split: tuple, offset: int, inside: bool, values: list[str], sizes: np.ndarray, odd: np.ndarray) -> None:
-        """Consecutive lines of one split."""
-        if split != self.split:
-            self._begin(split, offset, inside)
-        states = np.logical_xor.accumulate(np.concatenate([[self.inside], odd]))
-        starts = self.at + np.concatenate([[0], np.cumsum(sizes)])
-        for value, size, begins, start in zip(values, sizes.tolist(), (~states[:-1]).tolist(), starts[:-1].tolist()):
-            if begins:  # the line starts a record, so the one before it is complete
-                self._emit(GOES_ON if self.went_on else WHOLE)
-                self.went_on, self.start = False, start
-            self.held += size
-            if self.held <= self.max_bytes:
-                self.pending.append(value)
-            else:
-                self.pending = []
-        self.inside, self.at = bool(states[-1]), int(starts[-1])
-
-    def take(self) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
-        columns = list(zip(*rows)) or [()] * 5
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "offset", "kind", "size", "text"])
+        self.max_bytes, self.size, self.parts = max_bytes, 0, []
+
+    def add(self, values: pa.Array, sizes: np.ndarray) -> None:
+        self.size += int(sizes.sum())
+        self.parts = [*self.parts, values] if self.size <= self.max_bytes else []
+
+    def joined(self) -> pa.Array:
+        """One text, null if it is too long."""
+        if not self.parts:
+            return pa.nulls(1, pa.string())
+        lines = pa.concat_arrays(self.parts)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")
+
+
+class _Split:
+    """What the first pass keeps of a split."""
+
+    def __init__(self, of: tuple[str, int], max_bytes: int):
+        self.of, self.max_bytes = of, max_bytes
+        self.size, self.n_odd, self.first = 0, 0, None
+        self.lead, self.tail = _Text(max_bytes), _Text(max_bytes)
+
+    def add(self, values: pa.Array) -> None:
+        sizes, is_odd = _measured(values)
+        odd = np.flatnonzero(is_odd)
+        if self.first is None:
+            k = pc.index(pc.not_equal(pc.ascii_trim(values, " "), ""), True).as_py()
+            if k >= 0:
+                self.first = {"value": values[k].as_py(), "odd": bool(is_odd[k])}
+        if not self.n_odd and self.of[1]:  # a file begins outside of quotes
+            upto = int(odd[0]) + 1 if len(odd) else len(values)
+            self.lead.add(values[:upto], sizes[:upto])
+        if len(odd):
+            self.tail = _Text(self.max_bytes)
+            self.tail.add(values[int(odd[-1]):], sizes[odd[-1]:])
+        elif self.n_odd:
+            self.tail.add(values, sizes)
+        self.size, self.n_odd = self.size + int(sizes.sum()), self.n_odd + len(odd)
+
+    def row(self) -> pa.RecordBatch:
+        closed = not self.of[1] and self.n_odd % 2 == 0
+        columns = {
+            "file": pa.array([self.of[0]]), "split": pa.array([self.of[1]], pa.int64()), "size": pa.array([self.size], pa.int64()),
+            "odd": pa.array([self.n_odd % 2 == 1]), "any_odd": pa.array([self.n_odd > 0]), "first": pa.array([self.first], pa.struct({"value": pa.string(), "odd": pa.bool_()})),
+            "lead": self.lead.joined(), "lead_size": pa.array([self.lead.size], pa.int64()),
+            "tail": pa.nulls(1, pa.string()) if closed else self.tail.joined(), "tail_size": pa.array([self.tail.size], pa.int64())}
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def _survey(max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for lines in _runs(batches):
+            of = _split_of(lines)
+            if seen is None or of != seen.of:
+                if seen is not None:
+                    yield seen.row()
+                seen = _Split(of, max_bytes)
+            seen.add(lines.column("value"))
+        if seen is not None:
+            yield seen.row()
+    return run
+
+
+def _places(survey: DataFrame) -> DataFrame:
+    """file, split, the byte offset at which it begins, and whether it begins and ends inside quotes."""
+    upto = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    odd, mine = F.sum(F.col("odd").cast("long")).over(upto), F.col("odd").cast("long")
+    return survey.select("file", "split", (F.sum("size").over(upto) - F.col("size")).alias("begins"), ((odd - mine) % 2 == 1).alias("inside"), (odd % 2 == 1).alias("ends_inside"))
 
 
 def _assemble(max_bytes: int):
+    """The records that begin and end in one split."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Assembler(max_bytes)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            files, splits = batch.column("file").to_pylist(), batch.column("split").to_pylist()
-            values, begins, inside = batch.column("value").to_pylist(), batch.column("begins").to_pylist(), batch.column("inside").to_pylist()
-            sizes, odd = batch.column("size").to_numpy(), batch.column("odd").to_numpy(zero_copy_only=False)
-            edges = [0, *(k for k in range(1, n) if splits[k] != splits[k - 1] or files[k] != files[k - 1]), n]
-            for a, b in zip(edges, edges[1:]):
-                joined.add((files[a], splits[a]), begins[a], inside[a], values[a:b], sizes[a:b], odd[a:b])
-            yield joined.take()
-        joined.close()
-        yield joined.take()
+        split, pending = None, None
+        for lines in _runs(batches):
+            values, n = lines.column("value"), lines.num_rows
+            if _split_of(lines) != split:  # what was pending goes on in another split
+                split, pending = _split_of(lines), None
+                at, inside = lines.column("begins")[0].as_py(), lines.column("inside")[0].as_py()
+            sizes, odd = _measured(values)
+            states = np.logical_xor.accumulate(np.concatenate([[inside], odd]))
+            offsets = at + np.concatenate([[0], np.cumsum(sizes)])
+            inside, at = bool(states[-1]), int(offsets[-1])
+            starts = np.flatnonzero(~states[:-1])
+            before = int(starts[0]) if len(starts) else n
+            if pending is not None:
+                pending.add(values[:before], sizes[:before])
+                if before < n or not inside:
+                    yield _whole(split, [pending_at], pending.joined())
+                    pending = None
+            end = n
+            if inside and len(starts):
+                end, starts = int(starts[-1]), starts[:-1]
+                pending, pending_at = _Text(max_bytes), int(offsets[end])
+                pending.add(values[end:], sizes[end:])
+            if len(starts):
+                text = values[before:end]
+                if len(starts) < end - before:
+                    edges = np.concatenate([starts, [end]]) - before
+                    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), text), "\n")
+                fits = np.add.reduceat(sizes[:end], starts) <= max_bytes
+                yield _whole(split, offsets[starts], text if fits.all() else pc.if_else(pa.array(fits), text, None))
     return run
 
 
-def _records(parts: DataFrame, max_bytes: int) -> DataFrame:
+def _whole(split: tuple[str, int], offsets: Sequence[int], text: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"file": pa.repeat(split[0], len(text)), "offset": pa.array(offsets, pa.int64()), "text": text})
+
+
+def _records(whole: DataFrame, survey: DataFrame, places: DataFrame, max_bytes: int) -> DataFrame:
     """file, offset, text (null if too long) and whether the record is closed; fragments are put together by file."""
-    whole = parts.where(F.col("kind") == WHOLE).select("file", "offset", "text", F.lit(True).alias("closed"))
+    at_borders = survey.join(places, ["file", "split"])
+    goes_on = at_borders.where("inside").select("file", F.col("begins").alias("offset"), F.lit(False).alias("opens"), F.col("lead_size").alias("size"), F.col("lead").alias("text"))
+    opens = at_borders.where("ends_inside and any_odd").select("file", (F.col("begins") + F.col("size") - F.col("tail_size")).alias("offset"), F.lit(True).alias("opens"), F.col("tail_size").alias("size"), F.col("tail").alias("text"))
     in_file = Window.partitionBy("file").orderBy("offset")
-    opened = F.last(F.when(F.col("kind") == OPENS, F.col("offset")), ignorenulls=True).over(in_file)
-    pieces = parts.where(F.col("kind") != WHOLE).withColumn("opened", opened)
+    opened = F.last(F.when(F.col("opens"), F.col("offset")), ignorenulls=True).over(in_file)
+    pieces = goes_on.unionByName(opens).withColumn("opened", opened)
     rows = F.sort_array(F.collect_list(F.struct("offset", "text")))
     joined = pieces.groupBy("file", "opened").agg(rows.alias("rows"), F.count_if(F.col("text").isNull()).alias("missing"), F.sum("size").alias("size"), F.max("offset").alias("last"))
     text = F.when((F.col("missing") == 0) & (F.col("size") <= max_bytes), F.array_join("rows.text", "\n"))
     quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
     closed = F.coalesce(quotes % 2 == 0, F.lit(True))
-    return whole.unionByName(joined.select("file", F.col("opened").alias("offset"), text.alias("text"), closed.alias("closed")))
+    return whole.withColumn("closed", F.lit(True)).unionByName(joined.select("file", F.col("opened").alias("offset"), text.alias("text"), closed.alias("closed")))
 
 
 def header_names(line: str) -> list[str]:
@@ -159,11 +211,11 @@ class CsvFiles:
     headers: tuple[tuple[str, ...], ...]
 
     def _value(self, name: str) -> Column:
-        value = F.lit(None).cast("string")
-        for k, names in enumerate(self.headers):
-            if name in names:
-                value = F.when(F.col("header") == k, F.get(F.col("fields"), names.index(name))).otherwise(value)
-        return value
+        places = [names.index(name) if name in names else -1 for names in self.headers]
+        if max(places, default=-1) < 0:
+            return F.lit(None).cast("string")
+        # A list to look up, as a branch for each header and column makes code that Java does not compile.
+        return F.get(F.col("fields"), F.get(F.lit(places), F.col("header")))
 
     def names(self) -> list[str]:
         """All column names, in the order of the headers."""
@@ -195,13 +247,14 @@ def read_csv_files(spark: SparkSession, path: str, short_rows: str = "bad", max_
     ship_code(spark)
     lines = _lines(spark, path)
     kept = scratch_dir(spark, "csv-splits")
-    _splits(lines).write.parquet(kept)
-    splits = spark.read.parquet(kept)
+    lines.mapInArrow(_survey(max_record_bytes), SURVEY).repartition("file").write.parquet(kept)
+    survey = spark.read.parquet(kept)
     # A row for each split, as the driver's own list of splits has; joining it keeps the lines in order.
-    placed = lines.join(F.broadcast(splits.select("file", "split", "begins", "inside")), ["file", "split"])
-    records = _records(placed.select("file", "split", "value", "size", "odd", "begins", "inside").mapInArrow(_assemble(max_record_bytes), PARTS), max_record_bytes)
+    places = _places(survey)
+    placed = lines.join(F.broadcast(places.drop("ends_inside")), ["file", "split"])
+    records = _records(placed.mapInArrow(_assemble(max_record_bytes), WHOLE), survey, places, max_record_bytes)
 
-    first = splits.where("first is not null").groupBy("file").agg(F.min_by("first", "split").alias("first")).select("file", "first.value", "first.odd")
+    first = survey.where("first is not null").groupBy("file").agg(F.min_by("first", "split").alias("first")).select("file", "first.value", "first.odd")
     if first.where("odd").isEmpty():
         first = first.select("file", F.regexp_replace("value", "\r$", "").alias("header_text"))
     else:  # a name with a newline in it: the header is a record of several lines
@@ -213,7 +266,7 @@ def read_csv_files(spark: SparkSession, path: str, short_rows: str = "bad", max_
     number = spark.createDataFrame(list(zip(texts, range(len(texts)))), "header_text string, header int")
     of_file = first.join(F.broadcast(number), "header_text").select("file", "header", "header_text")
 
-    record = F.regexp_replace("text", "\r$", "")
+    record = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))
     body = records.join(F.broadcast(of_file), "file").withColumn("record", record).where("record is null or (trim(record) <> '' and record <> header_text)")
     return CsvFiles(_parsed(body, headers, short_rows), tuple(map(tuple, headers)))
 
@@ -223,8 +276,8 @@ def _parsed(body: DataFrame, headers: list[list[str]], short_rows: str) -> DataF
     options = {"quote": CSV_OPTIONS["quote"], "escape": CSV_OPTIONS["escape"], "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "misfit", "maxCharsPerColumn": "-1", "maxColumns": str(20_480 + 2 * max(map(len, headers), default=0))}
     spare = 1 if short_rows == "pad" else 0  # one more column shows whether there are too many fields
 
-    def split(names: list[str]) -> Column:
-        of = [f"f{i}" for i in range(len(names))]
+    def split(width: int) -> Column:
+        of = [f"f{i}" for i in range(width)]
         schema = ", ".join(f"{f} string" for f in [*of, *["spare"] * spare, "misfit"])
 
         def parts(row: Column) -> Column:
@@ -234,7 +287,8 @@ def _parsed(body: DataFrame, headers: list[list[str]], short_rows: str) -> DataF
         return F.element_at(F.transform(F.array(F.from_csv("record", schema, options)), parts), 1)
 
     found = F.lit(None).cast("struct<fields:array<string>,misfit:boolean>")
-    for k, names in enumerate(headers):
-        found = F.when(F.col("header") == k, split(names)).otherwise(found)
+    for width in sorted({len(names) for names in headers}):
+        found = F.when(F.col("header").isin([k for k, names in enumerate(headers) if len(names) == width]), split(width)).otherwise(found)
     reason = F.when(F.col("record").isNull(), "the record is too long").when(~F.col("closed"), "a quote is not closed").when(F.col("found.misfit"), "the fields do not fit the header")
-    return body.withColumn("found", found).select("file", "offset", "header", "record", F.col("found.fields").alias("fields"), reason.alias("reason"))
+    # The optimizer copies a column into each filter on it, but not one that is exploded.
+    return body.withColumn("found", F.explode(F.array(found))).select("file", "offset", "header", "record", F.col("found.fields").alias("fields"), reason.alias("reason"))
