@@ -148,8 +148,9 @@ def sighting_summary(snap: DataFrame, partitions: int | None = None) -> DataFram
     if is_summary(snap):
         rows, of = snap, {name: F.col(name) for name in _measures()}
     else:
-        rows = with_trending_month(snap).select(*dict.fromkeys([*SUMMARY_KEYS, *_CARRIED]))
-        rows, of = _typed(rows.repartition(*([partitions] if partitions else []), *DEALT_BY)), _measures()
+        own = [c for c in SUMMARY_KEYS if c not in (YEAR, MONTH)]  # those two come from the date, behind the shuffle
+        rows = snap.select(*own, *_CARRIED).repartition(*([partitions] if partitions else []), *DEALT_BY)
+        rows, of = _typed(with_trending_month(rows)), _measures()
     reduce = lambda name: F.sum if name == SIGHTINGS else F.max if name.startswith("max_") else F.min
     return rows.groupBy(*SUMMARY_KEYS).agg(*[reduce(name)(c).alias(name) for name, c in of.items()])
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlake.session import scratch_dir
+from trendlake.session import scratch_dir, shuffles_dropped
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,8 @@ def rank_by_range(df: DataFrame, partition_by: Sequence[str], order: Sequence[Or
     groups = [F.col(c).asc_nulls_first() for c in partition_by]
     sort = [*groups, *[o.as_sort_column() for o in order]]
     path = scratch_dir(df.sparkSession, "ranked")
-    df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
     placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
     names = [f"_group_{i}" for i in range(len(partition_by))]
     pieces = placed.groupBy(*[F.col(c).alias(n) for c, n in zip(partition_by, names)], F.col("_range").alias("_of")).agg(

@@ -12,6 +12,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -90,6 +92,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Spark's own setting: whether the shuffle files of a statement go when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a table's write go as soon as the table is written.
+
+    Otherwise they stay on the executors' disks until the driver happens to collect its garbage,
+    so a chain of written tables holds the shuffles of all its steps at once.  The session's
+    own setting is put back.
+    """
+    own = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if own is None else spark.conf.set(_DROP_SHUFFLES, own)
+
+
 _shipped: set[str] = set()
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendlake.session import scratch_dir, ship_code
+from trendlake.session import scratch_dir, ship_code, shuffles_dropped
 from trendlake.sources.snapshots import CSV_OPTIONS
 
 MAX_HEADERS = 1_000
@@ -247,7 +247,8 @@ def read_csv_files(spark: SparkSession, path: str, short_rows: str = "bad", max_
     ship_code(spark)
     lines = _lines(spark, path)
     kept = scratch_dir(spark, "csv-splits")
-    lines.mapInArrow(_survey(max_record_bytes), SURVEY).repartition("file").write.parquet(kept)
+    with shuffles_dropped(spark):
+        lines.mapInArrow(_survey(max_record_bytes), SURVEY).repartition("file").write.parquet(kept)
     survey = spark.read.parquet(kept)
     # A row for each split, as the driver's own list of splits has; joining it keeps the lines in order.
     places = _places(survey)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlake.plans.ordering import Order
+from trendlake.session import shuffles_dropped
 
 BLOOM_WORDS = 1024  # of 64 bits for each file and column
 BLOOM_HASHES = 3
@@ -58,7 +59,8 @@ def write_ordered(
     """
     spark, columns = df.sparkSession, [o.as_sort_column() for o in order]
     ranged = df.repartitionByRange(*([files] if files else []), *columns).sortWithinPartitions(*columns)
-    ranged.write.parquet(f"{path}/data")
+    with shuffles_dropped(spark):
+        ranged.write.parquet(f"{path}/data")
     rows = spark.read.schema(df.schema).parquet(f"{path}/data").withColumn("file", F.col("_metadata.file_name"))
     sums = [F.count("*").alias("n_rows")]
     for c in zones:
@@ -75,7 +77,8 @@ def write_ordered(
         index = index.join(greatest.groupBy("file").agg(F.sort_array(F.collect_list(c), asc=False).alias(f"top_{c}")), "file", "left")
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     index = index.withColumns(_file_number()).withColumn("start", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
-    index.coalesce(1).write.parquet(f"{path}/index")
+    with shuffles_dropped(spark):
+        index.coalesce(1).write.parquet(f"{path}/index")
     return open_ordered(spark, path)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlake.schema import COUNTRY, RESULT_TABLES, TableSpec
+from trendlake.session import shuffles_dropped
 from trendlake.sources.snapshots import CSV_OPTIONS
 
 # Fixed value: separator of list cells in exported / published text.
@@ -36,7 +37,8 @@ PUBLISH_ORDER = (
 
 def write_snapshots(df: DataFrame, path: str) -> None:
     """S3: overwrite a Parquet snapshot table."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_by_key(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
@@ -48,7 +50,8 @@ def write_by_key(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """
     spark, name = df.sparkSession, f"by_key_{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").bucketBy(buckets(spark), *keys).option("path", path).option("compression", "zstd")
-    writer.saveAsTable(name)
+    with shuffles_dropped(spark):
+        writer.saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay: the table has a path of its own
     return table
@@ -84,7 +87,8 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, sort_by: Seq
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
     # Spark's writer trims values unless told otherwise.
     keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    out.write.mode("overwrite").options(**options, **keep_spaces).csv(path)
+    with shuffles_dropped(df.sparkSession):
+        out.write.mode("overwrite").options(**options, **keep_spaces).csv(path)
 
 
 def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -136,7 +140,8 @@ def publish(
     if parts:
         writer = writer.partitionBy(*parts)
     if path is not None:
-        writer.parquet(path)
+        with shuffles_dropped(df.sparkSession):
+            writer.parquet(path)
         return
     _publish_to_catalog(out, writer, parts, table)
 
@@ -158,7 +163,8 @@ def _publish_to_catalog(out: DataFrame, writer, parts: Sequence[str], table: str
     prefix = f"{database}." if database else ""
     version = f"{name}__v{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:8]}"
     location = f"{root}/{database or 'default'}/{version}"
-    writer.parquet(location)
+    with shuffles_dropped(spark):
+        writer.parquet(location)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     by = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
     spark.sql(f"CREATE TABLE {prefix}`{version}` ({columns}) USING parquet{by} LOCATION '{location}'")

@@ -25,7 +25,7 @@ from trendlake.operators.lookups import browse, country_category_trends, country
 from trendlake.plans.ordering import asc
 from trendlake.schema import APPEARANCES, CATEGORY, COUNTRY, MONTH, RAW_COLUMNS, RESULT_TABLES, VIEWS, YEAR
 from trendlake.session import scratch_dir
-from trendlake.sources import buckets, export_csv, publish, publish_release, publishable, read_csv_files, sweep, write_by_key, write_ordered
+from trendlake.sources import buckets, export_csv, publish, publish_release, publishable, read_csv_files, read_snapshots, sweep, write_by_key, write_ordered, write_snapshots
 from trendlake.sources.ordered import OrderedTable
 from trendlake.sources.releases import RESULT_ORDER, open_release
 
@@ -49,7 +49,10 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return write_by_key(sighting_summary(_snapshots(spark, sf), buckets(spark)), scratch_dir(spark, "summary"), DEALT_BY)
+    """Cleaned table -> written summary, each written before the next step reads it, as in the refresh job."""
+    cleaned = scratch_dir(spark, "cleaned")
+    write_snapshots(_snapshots(spark, sf), cleaned)
+    return write_by_key(sighting_summary(read_snapshots(spark, cleaned), buckets(spark)), scratch_dir(spark, "summary"), DEALT_BY)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> OrderedTable:
