@@ -101,13 +101,15 @@ def _on_snap(op) -> Q:
     return lambda spark, sf: op(snapshots(spark, sf))
 
 
+def written_summary(spark: SparkSession, sf_dir: str, raw=trending_raw) -> DataFrame:
+    """The path the refresh job runs: cleaned table -> written summary."""
+    cleaned, summary = scratch_dir(spark, "cleaned"), scratch_dir(spark, "summary")
+    write_snapshots(clean_snapshots(raw(spark, sf_dir)), cleaned)
+    return write_by_key(sighting_summary(read_snapshots(spark, cleaned), buckets(spark)), summary, DEALT_BY)
+
+
 def _on_summary(op, raw=trending_raw) -> Q:
-    """The path the refresh job runs: cleaned table -> written summary -> analysis."""
-    def run(spark, sf):
-        cleaned, summary = scratch_dir(spark, "cleaned"), scratch_dir(spark, "summary")
-        write_snapshots(clean_snapshots(raw(spark, sf)), cleaned)
-        return op(write_by_key(sighting_summary(read_snapshots(spark, cleaned), buckets(spark)), summary, DEALT_BY))
-    return run
+    return lambda spark, sf: op(written_summary(spark, sf, raw))
 
 
 def _q_raw_csv(spark, sf):
@@ -217,8 +219,9 @@ def _q_enrich(spark, sf):
 
 
 def _q_coverage(spark, sf):
-    snap = snapshots(spark, sf)
-    lists = {"channels": top_channels(snap), "categories": top_categories(snap), "videos": top_videos(snap)}
+    # The three lists come from the written summary: one pass over the snapshots, not three.
+    summary = written_summary(spark, sf)
+    lists = {"channels": top_channels(summary), "categories": top_categories(summary), "videos": top_videos(summary)}
     return country_coverage(_region_dim(spark, sf), lists)
 
 

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from trendlake import fixtures, store_queries
 from trendlake.fixtures import trending_raw
 from trendlake.operators import clean_snapshots, sighting_summary
-from trendlake.operators.summary import SIGHTINGS
+from trendlake.operators.summary import SIGHTINGS, is_summary
 from trendlake.plans import physical_plan
 from trendlake.plans.ordering import asc, rank_by_range
 from trendlake.session import scratch_dir
@@ -88,3 +88,14 @@ def test_store_queries_summarise_a_written_cleaned_table(spark, monkeypatch):
     monkeypatch.setattr(store_queries, "sighting_summary", lambda snap, *a: plans.append(physical_plan(snap, "simple")) or sighting_summary(snap, *a))
     assert store_queries._summary(spark, SF_SMALL).agg(F.sum(SIGHTINGS)).first()[0] == E.snapshots(spark, SF_SMALL).count()
     assert len(plans) == 1 and "Join" not in plans[0] and "Exchange" not in plans[0]
+
+
+@pytest.mark.parametrize("query", ["country_coverage"])
+def test_the_rankings_of_a_query_share_one_pass_over_the_snapshots(spark, monkeypatch, query):
+    seen, views = [], []
+    for name in ("top_channels", "top_categories", "top_videos"):
+        monkeypatch.setattr(E, name, lambda snap, op=getattr(E, name): seen.append(is_summary(snap)) or op(snap))
+    monkeypatch.setattr(E, "clean_snapshots", lambda raw: views.append(raw) or clean_snapshots(raw))
+    monkeypatch.setattr(E, "sighting_summary", lambda snap, *a: seen.append("Join" not in physical_plan(snap, "simple")) or sighting_summary(snap, *a))
+    E.queries()[query](spark, SF_SMALL).collect()
+    assert seen == [True] * 4 and len(views) == 1
