@@ -90,7 +90,7 @@ def test_store_queries_summarise_a_written_cleaned_table(spark, monkeypatch):
     assert len(plans) == 1 and "Join" not in plans[0] and "Exchange" not in plans[0]
 
 
-@pytest.mark.parametrize("query", ["country_coverage"])
+@pytest.mark.parametrize("query", ["country_coverage", "constraint_summary"])
 def test_the_rankings_of_a_query_share_one_pass_over_the_snapshots(spark, monkeypatch, query):
     seen, views = [], []
     for name in ("top_channels", "top_categories", "top_videos"):
