@@ -14,7 +14,7 @@ from trendlake.operators.summary import SIGHTINGS, is_summary
 from trendlake.plans import physical_plan
 from trendlake.plans.ordering import asc, rank_by_range
 from trendlake.session import scratch_dir
-from trendlake.sources import export_csv, publish, write_by_key, write_ordered, write_snapshots
+from trendlake.sources import export_csv, publish, read_csv_files, write_by_key, write_ordered, write_snapshots
 
 from tests.conftest import SF_SMALL
 
@@ -99,3 +99,23 @@ def test_the_rankings_of_a_query_share_one_pass_over_the_snapshots(spark, monkey
     monkeypatch.setattr(E, "sighting_summary", lambda snap, *a: seen.append("Join" not in physical_plan(snap, "simple")) or sighting_summary(snap, *a))
     E.queries()[query](spark, SF_SMALL).collect()
     assert seen == [True] * 4 and len(views) == 1
+
+
+def test_compressed_csv_is_read_back_by_header(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), F.concat(F.lit(' a "b",\n'), F.col("id") % 7).alias("t"))
+    root = scratch_dir(spark, "gz")
+    export_csv(df, f"{root}/set=0", compression="gzip")
+    export_csv(df.select("t", "id"), f"{root}/set=1")
+    names = [r[0] for r in spark.read.format("binaryFile").load(f"{root}/set=0").select("path").collect()]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    files = read_csv_files(spark, root)
+    assert len(files.headers) == 2 and files.bad().isEmpty()
+    want = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, files.rows(["id", "t"]).collect())) == sorted([*want, *want])
+
+
+def test_csv_by_header_keeps_its_files_compressed(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(store_queries, "export_csv", lambda df, path, **o: used.append(o.get("compression")) or export_csv(df, path, **o))
+    store_queries.csv_by_header(spark, SF_SMALL)
+    assert used == ["gzip"] * 3

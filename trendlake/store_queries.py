@@ -266,7 +266,7 @@ def csv_by_header(spark, sf):
     part = F.length("video_id") % 3
     orders = [RAW_COLUMNS, RAW_COLUMNS[::-1], [c for c in RAW_COLUMNS if c != "channel_view_count"] + ["extra"]]
     for k, names in enumerate(orders):
-        export_csv(raw.where(part == k).withColumn("extra", F.lit('a "b",\nc')).select(*names), f"{root}/set={k}")
+        export_csv(raw.where(part == k).withColumn("extra", F.lit('a "b",\nc')).select(*names), f"{root}/set={k}", compression="gzip")
     return clean_snapshots(read_csv_files(spark, root).rows(RAW_COLUMNS))
 
 
